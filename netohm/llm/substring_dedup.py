@@ -157,9 +157,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -
     copies = written(copies, "copies")
     seeds = long_enough.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("a"))
     shared = seeds.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
+    shared = written(shared, "shared")  # a table on both sides of a join lets Spark split a hot key
     by_doc = seeds.join(shared, "a").groupBy("doc_id").agg(F.collect_set("a").alias("shared"))
     passages = written(docs.join(by_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_extend(length, seed), "w1 long, w2 int, doc_id long, start int"), "passages")
     first = passages.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    first = written(first, "first")
     hits = passages.join(first, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     return hits, copies
 

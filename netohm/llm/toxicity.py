@@ -26,8 +26,10 @@ from netohm.llm.work import ship
 PER_CLASS, MAX_CHARS = 1500, 20_000
 WIDTH, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 12
+#: Tables learn more slowly, so that the network reads them before they learn single documents by heart.
+TABLE_RATE = 0.05
 CHAR_TABLE, MOST_WORDS, MIN_DOCS = 1 << 13, 20_000, 3
-EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 8, 240, 64, 0.01, 1e-5
+EPOCHS, LEAST_STEPS, PATIENCE, BATCH, RATE, DECAY = 8, 400, 6, 64, 0.01, 1e-5
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -175,14 +177,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     """Train on whole texts and their 0/1 labels."""
     inp = Inputs(pa.array(texts, pa.string()))
     y = labels.astype(np.float32)
-    positives = max(float(y.sum()), 1.0)
-    negatives = max(len(y) - float(y.sum()), 1.0)
+    # every fifth document only tells when to stop
+    teach = np.arange(len(y)) % 5 != 4 if len(y) >= 20 else np.ones(len(y), bool)
+    positives = max(float(y[teach].sum()), 1.0)
+    negatives = max(float(teach.sum()) - float(y[teach].sum()), 1.0)
     # how many documents of each class hold each word and each n-gram
     words = H.Words(pa.array(texts, pa.string()), BETWEEN, FOLD)
     pair = np.unique(words.text_of() * np.int64(len(inp.hash)) + inp.word)
     doc, word = pair // len(inp.hash), pair % len(inp.hash)
-    with_pos = np.bincount(word, y[doc], len(inp.hash))
-    with_any = np.bincount(word, minlength=len(inp.hash))
+    with_pos = np.bincount(word, (y * teach)[doc], len(inp.hash))
+    with_any = np.bincount(word, teach[doc].astype(float), len(inp.hash))
     odds = _odds(with_pos, with_any, positives, negatives)
     common = np.flatnonzero(with_any >= MIN_DOCS)
     common = np.sort(common[np.argsort(-with_any[common], kind="stable")[:MOST_WORDS]])
@@ -196,16 +200,29 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     gram = np.unique(np.repeat(doc, size) * np.int64(CHAR_TABLE) + inp.grams[np.repeat(begin[word], size) + own])
     char = (0.1 * r.standard_normal((CHAR_TABLE, CHAR_DIM))).astype(np.float32)
     gram_doc, gram = gram // CHAR_TABLE, gram % CHAR_TABLE
-    char[:, 0] = _odds(np.bincount(gram, y[gram_doc], CHAR_TABLE), np.bincount(gram, minlength=CHAR_TABLE), positives, negatives)
+    char[:, 0] = _odds(np.bincount(gram, (y * teach)[gram_doc], CHAR_TABLE), np.bincount(gram, teach[gram_doc].astype(float), CHAR_TABLE), positives, negatives)
     net = Network(inp.hash[common], table, char, seed)
     ids = net.word_ids(inp.hash)
     first, last = np.searchsorted(inp.doc, np.arange(inp.n_docs)), np.searchsorted(inp.doc, np.arange(inp.n_docs), "right")
-    usable = np.flatnonzero(last > first)
+    usable = np.flatnonzero((last > first) & teach)
+    held = np.flatnonzero((last > first) & ~teach)
     memory = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    tick = 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, len(usable) // BATCH)))):
+    tick, least, kept, worse = 0, np.inf, None, 0
+    per_epoch = max(1, len(usable) // BATCH)
+    epochs, patience = max(EPOCHS, -(-LEAST_STEPS // per_epoch)), max(PATIENCE, LEAST_STEPS // 2 // per_epoch)
+    for epoch in range(epochs + 1):
         gates = net.gates(net.embed(ids, inp.grams, inp.gram_count))
         logit = np.concatenate([net.run(gates, inp.window(np.arange(i, min(i + 8192, len(inp.doc)))))[0] for i in range(0, len(inp.doc), 8192)])
+        if len(held):
+            top = np.array([logit[first[i] : last[i]].max() for i in held])
+            loss = float(np.mean(np.logaddexp(0, np.where(y[held] > 0, -top, top))))
+            worse = 0 if loss < least else worse + 1
+            if loss < least:
+                least, kept = loss, {k: v.copy() for k, v in net.p.items()}
+            if worse >= patience:
+                break
+        if epoch == epochs:
+            break
         best = np.array([first[i] + int(np.argmax(logit[first[i] : last[i]])) for i in usable])
         for some in np.array_split(r.permutation(len(usable)), max(1, len(usable) // BATCH)):
             window = inp.window(best[some])
@@ -227,15 +244,17 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
                 m, s = memory[k]
                 m += 0.1 * (g[k] - m)
                 s += 0.001 * (g[k] ** 2 - s)
-                v -= RATE * ((m / (1 - 0.9**tick)) / (np.sqrt(s / (1 - 0.999**tick)) + 1e-8) + DECAY * v)
+                v -= RATE * (TABLE_RATE if k in ("word", "char") else 1) * ((m / (1 - 0.9**tick)) / (np.sqrt(s / (1 - 0.999**tick)) + 1e-8) + DECAY * v)
+    if kept is not None:
+        net.p = kept
     return net
 
 
 def _odds(with_pos: np.ndarray, with_any: np.ndarray, positives: float, negatives: float) -> np.ndarray:
-    """Smoothed log odds of holding it, and 0 where too few documents do."""
+    """Smoothed log odds of holding it, less for what few documents hold, and 0 where too few do."""
     pos = (with_pos + 0.5) / (positives + 1)
     neg = (with_any - with_pos + 0.5) / (negatives + 1)
-    return np.where(with_any >= MIN_DOCS, np.clip(np.log(pos / neg), -3, 3), 0).astype(np.float32)
+    return np.where(with_any >= MIN_DOCS, np.clip(np.log(pos / neg), -3, 3) * with_any / (with_any + 10), 0).astype(np.float32)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "toxic") -> tuple[list[str], np.ndarray]:

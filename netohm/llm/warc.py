@@ -84,14 +84,16 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.regexp_replace("__head", r"\r\n", "; "), F.lit(CRLF),
     )
 
-    def record(kind: str, content_type: str, block: Column) -> DataFrame:
-        return split.withColumn("__block", block).select(
-            *rest, record_id(kind, F.col("record_id")).alias("record_id"), F.lit(kind).alias("warc_type"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
-            F.lit(content_type).alias("content_type"), digest(F.col("__block")).alias("block_digest"), F.col("payload_digest").alias("payload_digest"),
-            F.octet_length("__block").cast("long").alias("content_length"), F.col("__block").alias("block"),
+    def record(kind: str, content_type: str, block: Column) -> Column:
+        return F.struct(
+            record_id(kind, F.col("record_id")).alias("record_id"), F.lit(kind).alias("warc_type"), F.lit(content_type).alias("content_type"), digest(block).alias("block_digest"),
+            F.octet_length(block).cast("long").alias("content_length"), block.alias("block"),
         )
 
-    return record("metadata", "application/warc-fields", fields).unionByName(record("conversion", "text/plain; charset=utf-8", F.col("__text")))
+    split = split.select("*", fields.alias("__fields"))
+    both = F.array(record("metadata", "application/warc-fields", F.col("__fields")), record("conversion", "text/plain; charset=utf-8", F.col("__text")))
+    out = split.select(*rest, F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "payload_digest", F.inline(both))
+    return out.select(*rest, *RECORD)
 
 
 def write_records(records: DataFrame, target: str) -> None:

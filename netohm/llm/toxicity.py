@@ -195,12 +195,17 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     table[:-1, 0] = odds[common]
     table[-1] = 0
     begin = np.cumsum(inp.gram_count) - inp.gram_count
-    size = inp.gram_count[word]
-    own = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    gram = np.unique(np.repeat(doc, size) * np.int64(CHAR_TABLE) + inp.grams[np.repeat(begin[word], size) + own])
+    gram_pos, gram_any = np.zeros(CHAR_TABLE), np.zeros(CHAR_TABLE)
+    for low in range(0, len(y), 100):  # some documents at a time: their n-grams are many
+        some = slice(*np.searchsorted(doc, [low, low + 100]))
+        size = inp.gram_count[word[some]]
+        own = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        gram = np.unique(np.repeat(doc[some], size) * np.int64(CHAR_TABLE) + inp.grams[np.repeat(begin[word[some]], size) + own])
+        gram_doc, gram = gram // CHAR_TABLE, gram % CHAR_TABLE
+        gram_pos += np.bincount(gram, (y * teach)[gram_doc], CHAR_TABLE)
+        gram_any += np.bincount(gram, teach[gram_doc].astype(float), CHAR_TABLE)
     char = (0.1 * r.standard_normal((CHAR_TABLE, CHAR_DIM))).astype(np.float32)
-    gram_doc, gram = gram // CHAR_TABLE, gram % CHAR_TABLE
-    char[:, 0] = _odds(np.bincount(gram, (y * teach)[gram_doc], CHAR_TABLE), np.bincount(gram, teach[gram_doc].astype(float), CHAR_TABLE), positives, negatives)
+    char[:, 0] = _odds(gram_pos, gram_any, positives, negatives)
     net = Network(inp.hash[common], table, char, seed)
     ids = net.word_ids(inp.hash)
     first, last = np.searchsorted(inp.doc, np.arange(inp.n_docs)), np.searchsorted(inp.doc, np.arange(inp.n_docs), "right")
@@ -212,7 +217,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     epochs, patience = max(EPOCHS, -(-LEAST_STEPS // per_epoch)), max(PATIENCE, LEAST_STEPS // 2 // per_epoch)
     for epoch in range(epochs + 1):
         gates = net.gates(net.embed(ids, inp.grams, inp.gram_count))
-        logit = np.concatenate([net.run(gates, inp.window(np.arange(i, min(i + 8192, len(inp.doc)))))[0] for i in range(0, len(inp.doc), 8192)])
+        logit = np.concatenate([net.run(gates, inp.window(np.arange(i, min(i + 2048, len(inp.doc)))))[0] for i in range(0, len(inp.doc), 2048)])
         if len(held):
             top = np.array([logit[first[i] : last[i]].max() for i in held])
             loss = float(np.mean(np.logaddexp(0, np.where(y[held] > 0, -top, top))))
@@ -260,13 +265,14 @@ def _odds(with_pos: np.ndarray, with_any: np.ndarray, positives: float, negative
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "toxic") -> tuple[list[str], np.ndarray]:
     """Texts and labels of a bounded sample, the same for the same rows."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").distinct()
-    some = docs.where(F.length("text").between(1, MAX_CHARS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = some.join(marked, "doc_id")
+    texts = docs.where(F.length("text").between(1, MAX_CHARS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = texts.select("doc_id").join(marked, "doc_id").distinct()
     picked = None
     for y in (0, 1):
         part = both.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = sorted(((r["doc_id"], r["text"], r["y"]) for r in picked.collect()))  # at most 2 * per_class rows
+    found = texts.join(F.broadcast(picked), "doc_id")  # at most 2 * per_class ids
+    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in found.collect())
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 

@@ -5,10 +5,11 @@ last followed the two ids before (order 2), one of the id that last followed the
 adaptive counts of magnitude classes (order 0). An id is coded as one of EVENTS: the order-2 guess holds, the
 order-1 guess holds, or one of 16 classes with the bits below the class's leading one. The event's
 distribution mixes three adaptive count vectors: one for the block, one chosen by how well the order-1
-guess at this context has done, one by the order-2 guess. Counts add up, so a context weighs more as it learns more.
+guess at this context has done, one by the order-2 guess. Counts add up, so a context weighs more as it learns more;
+the sums that coding reads follow them every REFRESH ids, and after each of the first REFRESH.
 
-Arithmetic coding is carryless with 64-bit bounds and 16-bit words. Blocks are lanes of numpy arrays: step t
-codes id t of every block.
+The range has 48 bits and leaves in 16-bit words; a word's carry is added to the words before it at the end. Blocks
+are lanes of numpy arrays: step t codes id t of every block.
 """
 
 from __future__ import annotations
@@ -18,74 +19,70 @@ import zlib
 
 import numpy as np
 
-U = np.uint64
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 HEAD = struct.Struct("<4sIII")
 EVENTS, STATES = 18, 4
+ROWS = 1 + 2 * STATES
 TABLE1, TABLE2 = 1 << 10, 1 << 12
-GAIN, LIMIT = 24, 1 << 12
-TOP, BOT = U(1 << 48), U(1 << 32)
+GAIN, LIMIT, REFRESH = 24, 1 << 12, 16
+#: While a range is below BOT, 16 bits leave. Ids take two words at most: 14 bits of counts, 15 below the class.
+FULL, BOT = 1 << 48, 1 << 32
 NONE = 65535
 
+CLASS = np.frexp(np.arange(NONE) + 1.0)[1].astype(np.int64) - 1
+BELOW = np.arange(NONE) + 1 - (1 << CLASS)
+#: A context's trust after a guess that failed, and after one that held.
+NEXT = np.array([s >> 1 for s in range(STATES)] + [min(s + 1, STATES - 1) for s in range(STATES)], np.uint32) << 16
+
 
 class _Model:
-    """State of n blocks."""
+    """State of n blocks; row 0 of a pair is order 1, row 1 order 2."""
 
     def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.guess1 = np.full(n * TABLE1, NONE, np.uint16)
-        self.guess2 = np.full(n * TABLE2, NONE, np.uint16)
-        self.trust1 = np.zeros(n * TABLE1, np.uint8)
-        self.trust2 = np.zeros(n * TABLE2, np.uint8)
-        self.counts = np.ones((n * (1 + 2 * STATES), EVENTS), np.int64)
-        self.last, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self, m: int):
-        lane, last, last2 = self.lane[:m], self.last[:m], self.last2[:m]
-        self.at1 = lane * TABLE1 + ((last * 40503) >> 6) % TABLE1
-        self.at2 = lane * TABLE2 + ((last * 40503 + last2 * 30011) >> 4) % TABLE2
-        self.p1, self.p2 = self.guess1[self.at1], self.guess2[self.at2]
-        base = lane * (1 + 2 * STATES)
-        self.rows = (base, base + 1 + self.trust1[self.at1], base + 1 + STATES + self.trust2[self.at2])
-        mixed = self.counts[self.rows[0]]
-        mixed += self.counts[self.rows[1]]
-        mixed += self.counts[self.rows[2]]
-        return np.cumsum(mixed, axis=1)
-
-    def update(self, m: int, ids: np.ndarray, event: np.ndarray) -> None:
-        for rows in self.rows:
-            self.counts[rows, event] += GAIN
-        self.step = getattr(self, "step", 0) + 1
-        if self.step % 64 == 0:
-            heavy = np.flatnonzero(self.counts.sum(axis=1) > LIMIT)
-            self.counts[heavy] = (self.counts[heavy] + 1) >> 1
-        for guess, trust, at, p in ((self.guess1, self.trust1, self.at1, self.p1), (self.guess2, self.trust2, self.at2, self.p2)):
-            hit = p == ids
-            t = trust[at]
-            trust[at] = np.where(hit, np.minimum(t + 1, STATES - 1), t >> 1)
-            guess[at] = ids
-        self.last2[:m] = self.last[:m]
+        lane = np.arange(n)
+        slots = TABLE1 + TABLE2
+        self.slot = np.full(n * slots, NONE, np.uint32)  # the guess, and trust in the bits above it
+        self.base = np.stack([lane * slots, lane * slots + TABLE1])
+        self.context, self.last = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        self.row = np.stack([lane * ROWS, lane * ROWS + 1, lane * ROWS + 1 + STATES])
+        self.width = n * ROWS
+        self.counts, self.sums = np.ones((EVENTS, n * ROWS), np.uint16), np.zeros((EVENTS + 1, n * ROWS), np.uint16)
+        self.flat_counts, self.flat_sums = self.counts.reshape(-1), self.sums.reshape(-1)
+        self.step = 0
+        self._refresh(n)
+
+    def _refresh(self, m: int) -> None:
+        counts, sums = self.counts[:, : m * ROWS], self.sums[:, : m * ROWS]
+        np.cumsum(counts, axis=0, dtype=np.uint16, out=sums[1:])
+        heavy = np.flatnonzero(sums[-1] > LIMIT)
+        if len(heavy):
+            counts[:, heavy] = (counts[:, heavy] + 1) >> 1
+            sums[1:, heavy] = np.cumsum(counts[:, heavy], axis=0, dtype=np.uint16)
+
+    def look(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Guesses of both orders, and the three rows of counts to mix."""
+        self.at = self.base[:, :m] + self.context[:, :m]
+        slot = self.slot.take(self.at)
+        self.guessed, self.trusted = slot.astype(np.uint16), slot >> 16
+        self.rows = self.row[:, :m].copy()
+        self.rows[1:] += self.trusted
+        return self.guessed, self.rows
+
+    def learn(self, m: int, ids: np.ndarray, event: np.ndarray) -> None:
+        self.flat_counts[self.rows + event * self.width] += GAIN
+        self.slot[self.at] = NEXT.take((self.guessed == ids) * np.uint8(STATES) + self.trusted) | ids
+        ids = ids.astype(np.int64)
+        mixed = ids * 40503
+        self.context[0, :m] = (mixed >> 6) & (TABLE1 - 1)
+        self.context[1, :m] = ((mixed + self.last[:m] * 30011) >> 4) & (TABLE2 - 1)
         self.last[:m] = ids
+        self.step += 1
+        if self.step < REFRESH or self.step % REFRESH == 0:
+            self._refresh(m)
 
 
-def _classes(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids + 1.0)[1] - 1
-
-
-def _renorm(low: np.ndarray, span: np.ndarray, emit) -> None:
-    act = np.arange(len(low))
-    while True:
-        lo, sp = low[act], span[act]
-        settled = (lo ^ (lo + sp)) < TOP
-        thin = sp < BOT
-        go = settled | thin
-        if not go.any():
-            return
-        act, lo, sp = act[go], lo[go], sp[go]
-        cut = ~settled[go]
-        sp[cut] = (U(0) - lo[cut]) & (BOT - U(1))
-        emit(act, lo)
-        low[act], span[act] = lo << U(16), sp << U(16)
+def _mixed(three: np.ndarray) -> np.ndarray:
+    return (three[0] + three[1] + three[2]).astype(np.int64)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -101,39 +98,46 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             raise ValueError("ids must be below 65535")
         ids[: size[j], j] = blocks[i]
     model = _Model(n)
-    low, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    words, fill = np.zeros((n, longest * 2 + 8), np.uint16), np.zeros(n, np.int64)
+    low, span = np.zeros(n, np.int64), np.full(n, FULL, np.int64)
+    words, end = np.zeros((longest * 2 + 8, n), np.uint32), np.arange(n)
+    flat = words.reshape(-1)
 
-    def emit(act, lo):
-        words[act, fill[act]] = (lo >> U(48)).astype(np.uint16)
-        fill[act] += 1
+    def emit(act):
+        at, lo = end[act], low[act]
+        flat[at] = lo >> 32
+        end[act] = at + n
+        low[act] = (lo & (BOT - 1)) << 16
 
     live = np.searchsorted(-size, -np.arange(longest), side="left")
     for t in range(longest):
         m = int(live[t])
         x = ids[t, :m]
-        cum = model.predict(m)
-        cls = _classes(x)
-        two, one = x == model.p2, x == model.p1
-        event = np.where(two, 0, np.where(one, 1, cls + 2))
-        lane = model.lane[:m]
-        top = cum[lane, event]
-        bottom = np.where(event > 0, cum[lane, event - 1], 0)
-        bits = np.where(event > 1, cls, 0).astype(U)
-        rest = np.where(event > 1, x.astype(np.int64) + 1 - (1 << cls.astype(np.int64)), 0).astype(U)
+        (one, two), rows = model.look(m)
+        cls = CLASS.take(x)
+        event = np.where(x == two, 0, np.where(x == one, 1, cls + 2))
+        plain = event > 1
+        at = rows + event * model.width
+        total = _mixed(model.sums[-1].take(rows))
+        bottom, top = _mixed(model.flat_sums.take(at)), _mixed(model.flat_sums.take(at + model.width))
         lo, sp = low[:m], span[:m]
-        r = sp // cum[:, -1].astype(U)
-        lo += bottom.astype(U) * r
-        sp[:] = ((top - bottom).astype(U) * r) >> bits
-        lo += rest * sp
-        _renorm(lo, sp, emit)
-        model.update(m, x, event)
-    for _ in range(4):
-        emit(np.arange(n), low)
-        low <<= U(16)
+        r = (sp / total).astype(np.int64)  # whole numbers below 2**53: exact
+        sp[:] = ((top - bottom) * r) >> (cls * plain)
+        lo += bottom * r + BELOW.take(x) * plain * sp
+        act = np.flatnonzero(sp < BOT)
+        while len(act):
+            emit(act)
+            s = sp[act] << 16
+            sp[act] = s
+            act = act[s < BOT]
+        model.learn(m, x, event)
+    for _ in range(3):
+        emit(np.arange(n))
+    fill = end // n
+    for k in range(int(fill.max()) - 1, 0, -1):
+        words[k - 1] += words[k] >> 16
     out: list[bytes] = [b""] * n
     for j, i in enumerate(order):
-        w = words[j, : fill[j]].astype("<u2").tobytes()
+        w = words[: fill[j], j].astype("<u2").tobytes()
         out[i] = HEAD.pack(MAGIC, size[j], zlib.crc32(ids[: size[j], j].astype("<u4").tobytes()), len(w) // 2) + w
     return out
 
@@ -143,46 +147,47 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     if not coded:
         return []
     heads = [HEAD.unpack_from(c) for c in coded]
-    if any(h[0] != MAGIC or len(c) != HEAD.size + 2 * h[3] for h, c in zip(heads, coded)):
+    if any(h[0] != MAGIC or len(c) != HEAD.size + 2 * h[3] or h[3] > 2 * h[1] + 3 for h, c in zip(heads, coded)):
         raise ValueError("not a block of this format")
     order = np.argsort([-h[1] for h in heads], kind="stable")
     size = np.array([heads[i][1] for i in order])
     n, longest = len(order), int(size[0])
-    words = np.zeros((n, max(h[3] for h in heads) + 8), np.uint16)
+    words = np.zeros((longest * 2 + 8, n), np.uint16)
     for j, i in enumerate(order):
-        words[j, : heads[i][3]] = np.frombuffer(coded[i], "<u2", offset=HEAD.size)
+        words[: heads[i][3], j] = np.frombuffer(coded[i], "<u2", offset=HEAD.size)
     ids = np.zeros((longest, n), np.uint16)
     model = _Model(n)
-    low, span, code, at = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U), np.zeros(n, U), np.full(n, 4, np.int64)
-    for k in range(4):
-        code = (code << U(16)) | words[:, k].astype(U)
-
-    def take(act, lo):
-        code[act] = (code[act] << U(16)) | words[act, np.minimum(at[act], words.shape[1] - 1)].astype(U)
-        at[act] += 1
-
+    w = words[:3].astype(np.int64)
+    code, span, at = (w[0] << 32) | (w[1] << 16) | w[2], np.full(n, FULL, np.int64), 3 * n + np.arange(n)
+    flat, lane = words.reshape(-1), np.arange(n)
     live = np.searchsorted(-size, -np.arange(longest), side="left")
     for t in range(longest):
         m = int(live[t])
-        cum = model.predict(m)
-        lane = model.lane[:m]
-        lo, sp, co = low[:m], span[:m], code[:m]
-        total = cum[:, -1]
-        r = sp // total.astype(U)
-        value = np.minimum(((co - lo) // r).astype(np.int64), total - 1)
-        event = (cum <= value[:, None]).sum(axis=1)
-        event = np.minimum(event, EVENTS - 1)
-        top = cum[lane, event]
-        bottom = np.where(event > 0, cum[lane, event - 1], 0)
+        (one, two), rows = model.look(m)
+        a = model.sums.take(rows, axis=1)
+        a = a[:, 0] + a[:, 1] + a[:, 2]
+        co, sp = code[:m], span[:m]
+        total = a[-1].astype(np.int64)
+        r = (sp / total).astype(np.int64)
+        value = np.minimum((co / r).astype(np.int64), total - 1).astype(np.uint16)
+        event = (a[1:EVENTS] <= value).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
+        i, a = event * m + lane[:m], a.reshape(-1)
+        bottom, top = a.take(i).astype(np.int64), a.take(i + m).astype(np.int64)
         cls = np.maximum(event - 2, 0)
-        lo += bottom.astype(U) * r
-        sp[:] = ((top - bottom).astype(U) * r) >> cls.astype(U)
-        rest = np.minimum(((co - lo) // np.maximum(sp, U(1))).astype(np.int64), (1 << cls) - 1)
-        lo += rest.astype(U) * sp
-        x = np.where(event == 0, model.p2, np.where(event == 1, model.p1, ((1 << cls) + rest - 1).astype(np.uint16)))
+        sp[:] = ((top - bottom) * r) >> cls
+        co -= bottom * r
+        rest = np.minimum((co / sp).astype(np.int64), (1 << cls) - 1)
+        co -= rest * sp
+        x = np.where(event == 0, two, np.where(event == 1, one, ((1 << cls) + rest - 1).astype(np.uint16)))
         ids[t, :m] = x
-        _renorm(lo, sp, take)
-        model.update(m, x, event)
+        act = np.flatnonzero(sp < BOT)
+        while len(act):
+            k, s = at[act], sp[act] << 16
+            code[act] = (code[act] << 16) | flat[k]
+            at[act] = k + n
+            sp[act] = s
+            act = act[s < BOT]
+        model.learn(m, x, event)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
     for j, i in enumerate(order):
         out[i] = ids[: size[j], j].copy()

@@ -23,7 +23,7 @@ from netohm.llm.hashing import lists
 from netohm.llm.tokens import encoder
 from netohm.llm.work import ship
 
-END_ID, BLOCK, ROW, LANES = 2, 4096, 1 << 16, 3000
+END_ID, BLOCK, ROW, LANES = 2, 4096, 1 << 16, 2000
 FILE_SCHEMA = "place long, doc_ids array<long>, n_tokens array<long>, block_bytes array<int>, payload binary"
 
 

@@ -37,10 +37,15 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MOST:
             self.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out = self.make(piece)
         return out
 
+    def make(self, piece: str) -> bytes:
+        # of printable ASCII only the space has a stand-in
+        shown = piece.replace(" ", self.table[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class _Chunks(dict):
     """Ids of a chunk between spaces; front is the space before it or nothing."""
@@ -58,6 +63,12 @@ class _Chunks(dict):
             return self[a] + b"".join(line + self.head[x] for x in rest)
         if len(self) >= MOST:
             self.clear()
+        if chunk.isalpha():  # letters are one piece
+            self[chunk] = out = self.pieces.make(self.front + chunk)
+            return out
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # so are they before one mark
+            self[chunk] = out = self[chunk[:-1]] + self.pieces[chunk[-1]]
+            return out
         self[chunk] = out = b"".join(map(self.pieces.__getitem__, PATTERN.findall(self.front + chunk)))
         return out
 

@@ -4,10 +4,15 @@ Shingles are `k` words, labelled with their occurrence number in the text, so th
 takes the `least` labels with the smallest hash values and keeps them in text order; texts agree on a sketch
 if the same labels are least and stand in the same order, which follows edit similarity. Texts that agree on
 one of `sketches` sketches (or on two neighbouring ones together) are candidates: all pairs in groups of up to `small`
-texts; in larger groups each text with the group's hub, whose choice differs from sketch to sketch, so that work
-stays linear and a group's texts meet through some hub. Candidates are verified by alignment: labels of one text are
-matched to the other's inside a diagonal band, the longest chain in order is aligned, and a pair is linked if
-aligned / (labels of both - aligned) >= threshold.
+texts; in larger groups first each text with the group's hub, whose choice differs from sketch to sketch. Candidates are
+verified by alignment: labels of one text are matched to the other's inside a diagonal band, the longest chain in order
+is aligned, and a pair is linked if aligned / (labels of both - aligned) >= threshold.
+
+Then every pair of a larger group whose texts are not yet in one class is linked or ruled out: the group is cut into
+blocks of up to about `block` texts, and for each two blocks the labels that all pairs share are counted. Aligned labels
+are shared ones, so only pairs that share enough are aligned. The largest class of a group is not compared with itself,
+and a pair is compared on the first sketch that it agrees on. The work grows with texts outside the largest class times
+texts of the group; groups that the hubs have joined cost nothing.
 
 Classes are the components of the links. Texts with equal words are one class before sketching, so copies cost nothing.
 
@@ -28,7 +33,7 @@ from netohm.llm import hashing as H
 from netohm.llm.components import components
 from netohm.llm.work import ship, written
 
-K, LEAST, SKETCHES, SMALL, THRESHOLD = 5, 3, 14, 16, 0.8
+K, LEAST, SKETCHES, SMALL, THRESHOLD, BLOCK = 5, 3, 14, 16, 0.8, 512
 
 
 def _labels(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,22 +157,108 @@ def _verify(k: int, threshold: float):
     return run
 
 
-def _candidates(reps: DataFrame, small: int) -> DataFrame:
+def _shared(labels: np.ndarray, text: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
+    """How many labels each two of n texts share."""
+    out = np.zeros((n, n), np.float32)
+    _, column, times = np.unique(labels, return_inverse=True, return_counts=True)
+    several = times > 1  # labels of a text differ, so these are in several texts
+    number = np.cumsum(several) - 1
+    keep = several[column]
+    column, text = number[column[keep]], text[keep]
+    order = np.argsort(column, kind="stable")
+    column, text = column[order], text[order]
+    for low in range(0, int(several.sum()), width):
+        s, e = np.searchsorted(column, [low, low + width])
+        held = np.zeros((n, width), np.float32)
+        held[text[s:e], column[s:e] - low] = 1
+        out += held @ held.T
+    return out
+
+
+def _settle(k: int, threshold: float):
+    """Links between the classes that meet in one or two blocks of a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        ids, block, cls = (table.column(c).to_numpy() for c in ("doc_id", "block", "class_id"))
+        seqs = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("seq")]
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in seqs])])
+        labels, count = _labels(np.concatenate(seqs).astype(np.uint64), first, k)
+        left = np.triu(cls[:, None] != cls[None, :], 1)
+        if table.column("bi")[0] != table.column("bj")[0]:
+            left &= block[:, None] != block[None, :]
+        for t in range(table.column("s")[0].as_py()):
+            left &= keys[:, t][:, None] != keys[:, t][None, :]
+        both = count[:, None] + count[None, :]
+        left &= np.minimum(count[:, None], count[None, :]) >= threshold * np.maximum(count[:, None], count[None, :]) - 1e-9
+        a, b = [], []
+        if left.any():
+            shared = _shared(labels, np.repeat(np.arange(len(ids)), count), len(ids)).astype(np.float64)
+            left &= shared >= threshold * (both - shared) - 1e-9
+            i, j = np.nonzero(left)
+            order = np.argsort(-(shared[i, j] / (both[i, j] - shared[i, j])), kind="stable")
+            root = {c: c for c in cls.tolist()}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                u, v = top(int(cls[x])), top(int(cls[y]))
+                if u != v and aligned(seqs[x], seqs[y], k, threshold) >= threshold - 1e-12:
+                    root[max(u, v)] = min(u, v)
+                    a.append(int(ids[x]))
+                    b.append(int(ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(large: DataFrame, classes: DataFrame, reps: DataFrame, seqs: DataFrame, k: int, threshold: float, block: int) -> DataFrame | None:
+    """Links of all pairs in large groups whose texts are in different classes; None where there are no such pairs."""
+    rows = large.join(classes, "doc_id", "left").select("key", "s", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = written(rows, "large_classes")
+    held = rows.groupBy("key", "class_id").agg(F.count("*").alias("m"))
+    mixed = held.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("c"), F.max(F.struct("m", "class_id")).alias("most")).where("c > 1")
+    mixed = written(mixed.select("key", "n", "most"), "mixed")
+    if mixed.isEmpty():
+        return None
+    main, others = F.ceil(F.col("most.m") / block), F.ceil((F.col("n") - F.col("most.m")) / block)
+    inside = F.col("class_id") == F.col("most.class_id")
+    salt = F.xxhash64("key", "doc_id")
+    rows = rows.join(mixed, "key").select(
+        "key", "s", "doc_id", "class_id",
+        F.when(inside, F.pmod(salt, main)).otherwise(main + F.pmod(salt, others)).alias("block"),
+        F.sequence(F.when(inside, main).otherwise(F.lit(0).cast("long")), main + others - 1).alias("with"),
+    )
+    rows = written(rows, "blocks")
+    texts = seqs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").join(reps.select("doc_id", "keys"), "doc_id")
+    wide = rows.join(written(texts, "block_texts"), "doc_id").withColumn("other", F.explode("with"))
+    wide = wide.select("key", "s", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "class_id", "keys", "seq")
+    return wide.groupBy("key", "bi", "bj").applyInArrow(_settle(k, threshold), "a long, b long").distinct()
+
+
+def _candidates(reps: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify, and the rows of groups of over `small` texts that agree on sketch s."""
     both = F.array_union(
         F.transform("keys", lambda x, i: F.xxhash64(i, x)),
         F.transform("keys", lambda x, i: F.xxhash64(F.lit("two"), i, x, F.element_at("keys", (i + 1) % F.size("keys") + 1))),
     )
-    rows = reps.select("doc_id", F.explode(both).alias("key"))
+    rows = reps.select("doc_id", F.size("keys").alias("sketches"), F.posexplode(both).alias("s", "key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc_id").alias("x"), "doc_id")).alias("hub")).where("n > 1")
     groups = written(groups.select("key", "n", F.col("hub.doc_id").alias("hub")), "groups")  # as a table, its join can split hot keys
     rows = rows.join(groups, "key")
-    star = rows.where((F.col("n") > small) & (F.col("doc_id") != F.col("hub"))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    large = written(rows.where(F.col("n") > small), "large")
+    star = large.where(F.col("doc_id") != F.col("hub")).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
     few = rows.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("doc_id")).alias("g"))
     pairs = few.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    return star.unionByName(pairs.select("p.a", "p.b")).distinct()
+    # texts that agree on two neighbouring sketches agree on one
+    return star.unionByName(pairs.select("p.a", "p.b")).distinct(), large.where("s < sketches").select("key", "s", "doc_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, sketches: int = SKETCHES, least: int = LEAST, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, sketches: int = SKETCHES, least: int = LEAST, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) of every row; class_id is the least doc_id of the class, n_links counts verified links of its distinct text."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -177,7 +268,8 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     named = sig.drop("keys").join(copies, ["d1", "d2", "n_words"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     named = written(named, "named")
     reps = sig.where("n_words > 0").select("doc_id", "keys").join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = written(_candidates(reps, small), "pairs")
+    pairs, large = _candidates(reps, small)
+    pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # the same join at every size: ids of candidates grow with the documents
     seqs = written(docs.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(_sequences, "doc_id long, seq binary").dropDuplicates(["doc_id"]), "sequences")
@@ -185,6 +277,10 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     wide = right.join(seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")), "a").select("a", "b", "sa", "sb")
     links = written(wide.mapInArrow(_verify(k, threshold), "a long, b long"), "links")
     classes = components(links)
+    more = _rest(large, classes, reps, seqs, k, threshold, block)
+    if more is not None:
+        links = written(links.unionByName(more), "all_links")
+        classes = components(links)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = written(classes.withColumnRenamed("doc_id", "rep").join(degree, "rep"), "classes")
     return named.join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -100,6 +100,30 @@ def test_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def edited(base, seed, edits):
+    r, w = np.random.default_rng(seed), list(base)
+    for j in r.choice(len(w), edits, replace=False):
+        w[j] = f"e{seed}x{j}"
+    return w
+
+
+def test_large_families_hold_together(spark):
+    code = {}
+    number = lambda w: np.array([code.setdefault(x, len(code)) for x in w], np.uint32)
+    base, other = words(21, 300), words(22, 200)
+    texts = [base] + [edited(base, i, 5) for i in range(1, 1001)] + [edited(other, i, 4) for i in range(1001, 1101)]
+    assert all(order_minhash.aligned(number(base), number(t), 5, 0.8) >= 0.8 for t in texts[:1001])
+    seqs, root = [number(t) for t in texts[1001:]], list(range(100))
+    for i in range(100):
+        for j in range(i):
+            if order_minhash.aligned(seqs[i], seqs[j], 5, 0.8) >= 0.8:
+                u, v = root[i], root[j]
+                root = [min(u, v) if x in (u, v) else x for x in root]
+    want = {i: 0 for i in range(1001)} | {1001 + i: 1001 + c for i, c in enumerate(root)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (9, 8), (20, 21), (21, 20)], "a long, b long")
     assert {r["doc_id"]: r["class_id"] for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 8: 1, 20: 20, 21: 20}

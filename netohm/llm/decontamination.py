@@ -3,9 +3,9 @@
 Numbers, units after numbers and capitalised names inside sentences become typed slots; other words are lower-cased
 without punctuation. Windows of `window` tokens are compared as templates, that is with all values of a slot type alike, by a
 hash join of documents with benchmark items, so a question with other figures still meets its source. For windows with
-slots the values must then fit: within one item and document, one value of the item always stands for the same value of
-the document and the other way round, over all windows that met; items that break this are dropped for that
-document. Windows of slots mostly (fewer than half plain words) are not compared.
+slots the values must then fit within an occurrence, that is over the windows of an item and a document that met at one
+distance of places: one value of the item always stands for the same value of the document and the other way round.
+Occurrences that break this are dropped; the item is reported if any occurrence fits. Windows of slots mostly (fewer than half plain words) are not compared.
 
 Items with fewer tokens than a window are one window of their own length if they have `least` tokens; shorter
 ones are ignored.
@@ -59,7 +59,10 @@ def _slots(tokens: Column, at: Column, size: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_slots) for every document and item that share template windows with fitting slots."""
+    """(doc_id, item_id, n_windows, n_slots) for every document and item that share template windows with fitting slots.
+
+    n_windows counts places of the document, n_slots pairs of values, over the occurrences that fit.
+    """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= least)
     items = items.select("item_id", "tokens", F.transform("tokens", _template).alias("codes"), F.least(F.size("tokens"), F.lit(window)).alias("size"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most window - least + 1 values
@@ -81,7 +84,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
         places = part if places is None else places.unionByName(part)
     places = written(places, "places")
     met = places.join(known.drop("size"), "h")
-    plain = met.where(F.size("slots") == 0).groupBy("doc_id", "item_id").agg(F.count_distinct("doc_at").alias("n_windows"))
+    plain = met.where(F.size("slots") == 0).groupBy("doc_id", "item_id").agg(F.collect_set("doc_at").alias("places"))
     slotted = known.where(F.size("slots") > 0).select("h").distinct()
     wanted = written(places.join(slotted, "h", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("doc_at", "size", "h")).alias("at")), "slotted")
     values = (
@@ -92,15 +95,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
         .distinct()
     )
     pairs = values.join(known.where(F.size("slots") > 0).drop("size"), "h").select(
-        "doc_id", "item_id", "doc_at", F.explode(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a["v"].alias("theirs"), b["v"].alias("ours")))).alias("s")
-    )
-    pairs = pairs.groupBy("doc_id", "item_id", "s.theirs", "s.ours").agg(F.collect_set("doc_at").alias("places"))
-    fits = pairs.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_slots"), F.count_distinct("theirs").alias("a"), F.count_distinct("ours").alias("b"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows")
-    )
-    fits = fits.where((F.col("n_slots") == F.col("a")) & (F.col("n_slots") == F.col("b"))).select("doc_id", "item_id", "n_windows", "n_slots")
-    both = plain.select("doc_id", "item_id", "n_windows", F.lit(0).alias("n_slots")).unionByName(fits)
-    return both.groupBy("doc_id", "item_id").agg(F.sum("n_windows").cast("long").alias("n_windows"), F.sum("n_slots").cast("long").alias("n_slots"))
+        "doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("off"), "doc_at",
+        F.explode(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a["v"].alias("theirs"), b["v"].alias("ours")))).alias("s"),
+    )
+    fits = pairs.groupBy("doc_id", "item_id", "off").agg(F.collect_set("s").alias("s"), F.collect_set("doc_at").alias("places"))
+    fits = fits.where((F.size("s") == F.size(F.array_distinct("s.theirs"))) & (F.size("s") == F.size(F.array_distinct("s.ours"))))
+    both = plain.select("doc_id", "item_id", "places", F.lit(None).cast(fits.schema["s"].dataType).alias("s")).unionByName(fits.select("doc_id", "item_id", "places", "s"))
+    number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    return both.groupBy("doc_id", "item_id").agg(number("places").alias("n_windows"), number("s").alias("n_slots"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

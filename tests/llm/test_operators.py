@@ -253,6 +253,21 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(docs, items.where("item_id > 2")).count() == 0
 
 
+def found(spark, texts, items):
+    schema = "doc_id long, text string", "item_id long, text string"
+    got = decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), schema[0]), spark.createDataFrame(list(enumerate(items)), schema[1]))
+    return {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"]) for r in got.collect()}
+
+
+def test_decontamination_by_occurrence(spark):
+    q = "the shop sells 12 apples and then 5 pears to each of those people"
+    again = "first add 3 cups of flour to the bowl and stir it well then add 4 cups of flour to the bowl and stir it well then rest"
+    variant = q.replace("12", "40").replace(" 5 ", " 7 ")
+    bent = "the shop sells 12 apples and then 12 pears to each of those people"
+    texts = [f"{q}. {variant}.", f"so {variant} or {variant.replace('40', '41')}", f"well {again} now", again.replace("3", "8").replace("4", "9"), bent]
+    assert found(spark, texts, [q, again]) == {(0, 0): (4, 4), (1, 0): (4, 3), (2, 1): (16, 4), (3, 1): (16, 4)}
+
+
 def test_warc(spark, tmp_path):
     html = '<html lang="en"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x --><p>One<br>two &lt;3</p><a href="/x">link</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", html, "z"), (2, None, None, "z")], "page_id long, url string, html string, block string")

@@ -5,10 +5,14 @@ without punctuation. Windows of `window` tokens are compared as templates, that
 hash join of documents with benchmark items, so a question with other figures still meets its source. For windows with
 slots the values must then fit within an occurrence, that is over the windows of an item and a document that met at one
 distance of places: one value of the item always stands for the same value of the document and the other way round.
-Occurrences that break this are dropped; the item is reported if any occurrence fits. Windows of slots mostly (fewer than half plain words) are not compared.
+Occurrences that break this are dropped; the item is reported if any occurrence fits.
 
-Items with fewer tokens than a window are one window of their own length if they have `least` tokens; shorter
-ones are ignored.
+Capitalised words elsewhere, as at the start of a sentence, may be names or not: windows are compared with all of them as
+words and with all of them as names, and slots must fit in one of the two ways. Windows of slots mostly (fewer than half
+plain words in either way) say little as templates; they are compared by their exact tokens.
+
+Items with fewer tokens than a window are one window of their own length; those under `least` tokens are compared by
+their exact tokens only. So verbatim copies of every item with a token are found, whatever its length and slots.
 
 Defined cases: null and empty texts match nothing; repeated rows of a doc_id count as one document; repeated items match each
 under their own item_id; an empty benchmark or table gives no rows; extra columns are ignored.
@@ -26,36 +30,64 @@ WINDOW, LEAST = 13, 5
 BROADCAST_ROWS = 500_000
 #: Units that follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|pounds?|lbs?|euros?|dollars?|cents?|percent|mph|kmh"
-MARKS = ("0n", "0u", "0p")
+#: Number, unit, name, and a capitalised word that may be a name.
+MARKS = ("0n", "0u", "0p", "0q")
 
 
 def tokens(text: Column) -> Column:
     """The tokens of a text; slots carry their value after a two-letter mark."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;] )(\p{Lu}\p{Ll}+)", "0P$1")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\d+)", "0N$1")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;] )(\p{Lu}\p{Ll}+)", "0P$1")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)", "0Q$1")
     t = F.regexp_replace(t, rf"(0N\d+) ?(?:0P)?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 0U$2")
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")
     return F.filter(F.split(t, " "), lambda w: w != "")
 
 
-def _is_slot(w: Column) -> Column:
-    return F.substring(w, 1, 2).isin(*MARKS)
+def _mark(w: Column) -> Column:
+    return F.substring(w, 1, 2)
+
+
+def _bare(w: Column) -> Column:
+    return F.substring(w, 3, 1 << 30)
+
+
+def _template(w: Column, names: bool) -> Column:
+    """The code of a token; names: capitalised words that may be names are."""
+    unsure = F.xxhash64(F.lit("0p")) if names else F.xxhash64(_bare(w))
+    marked = F.when(_mark(w) == "0q", unsure).when(_mark(w).isin(*MARKS), F.xxhash64(_mark(w))).otherwise(F.xxhash64(w))
+    return F.when(F.substring(w, 1, 1) == "0", marked).otherwise(F.xxhash64(w))
 
 
-def _template(w: Column) -> Column:
-    return F.when(F.substring(w, 1, 1) == "0", F.when(_is_slot(w), F.xxhash64(F.substring(w, 1, 2))).otherwise(F.xxhash64(w))).otherwise(F.xxhash64(w))
+def _exact(w: Column) -> Column:
+    return F.when(_mark(w).isin(*MARKS), F.xxhash64(_bare(w))).otherwise(F.xxhash64(w))
+
+
+def _codes(texts: DataFrame, key: str) -> DataFrame:
+    """Tokens and their codes as words, as names and as they are."""
+    t = texts.select(key, tokens(F.col("text")).alias("tokens"))
+    return t.select(
+        key, "tokens", F.transform("tokens", lambda w: _template(w, False)).alias("word"), F.transform("tokens", lambda w: _template(w, True)).alias("name"), F.transform("tokens", _exact).alias("exact")
+    )
 
 
 def _windows(codes: str, size: int) -> Column:
     """Hashes of all windows of `size` codes, in order."""
     at = F.sequence(F.lit(0), F.size(codes) - size)
-    return F.when(F.size(codes) >= size, F.transform(at, lambda i: F.xxhash64(F.lit(size), *[F.get(codes, i + k) for k in range(size)])))
+    salt = F.lit(-size if codes == "exact" else size)
+    return F.when(F.size(codes) >= size, F.transform(at, lambda i: F.xxhash64(salt, *[F.get(codes, i + k) for k in range(size)])))
 
 
-def _slots(tokens: Column, at: Column, size: Column) -> Column:
-    return F.filter(F.transform(F.slice(tokens, at + 1, size), lambda w, k: F.struct(k.cast("int").alias("k"), w.alias("v"))), lambda s: _is_slot(s["v"]))
+def _slots(tokens: Column, at: Column, size: Column, names: bool) -> Column:
+    """Places in the window and values of its slots."""
+    marks = MARKS if names else MARKS[:3]
+    return F.filter(F.transform(F.slice(tokens, at + 1, size), lambda w, k: F.struct(k.cast("int").alias("k"), w.alias("v"))), lambda s: _mark(s["v"]).isin(*marks))
+
+
+def _value(w: Column) -> Column:
+    return F.when(_mark(w) == "0q", F.concat(F.lit("0p"), _bare(w))).otherwise(w)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -63,26 +95,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
 
     n_windows counts places of the document, n_slots pairs of values, over the occurrences that fit.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= least)
-    items = items.select("item_id", "tokens", F.transform("tokens", _template).alias("codes"), F.least(F.size("tokens"), F.lit(window)).alias("size"))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most window - least + 1 values
+    items = _codes(benchmark, "item_id").where(F.size("tokens") > 0).withColumn("size", F.least(F.size("tokens"), F.lit(window)))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_slots long")
     parts = None
     for n in sizes:
-        part = items.where(F.col("size") == n).select("item_id", "tokens", F.lit(n).alias("size"), F.posexplode(_windows("codes", n)).alias("at", "h"))
-        parts = part if parts is None else parts.unionByName(part)
-    known = parts.select("item_id", "size", "h", "at", _slots(F.col("tokens"), F.col("at"), F.col("size")).alias("slots"))
-    known = written(known.where(2 * F.size("slots") <= F.col("size")), "templates")
+        for kind in ("word", "name", "exact"):
+            part = items.where(F.col("size") == n).select("item_id", "tokens", "size", F.lit(kind).alias("kind"), F.posexplode(_windows(kind, n)).alias("at", "h"))
+            parts = part if parts is None else parts.unionByName(part)
+    slots = {names: _slots(F.col("tokens"), F.col("at"), F.col("size"), names) for names in (False, True)}
+    known = parts.select("item_id", "size", "kind", "h", "at", F.size("tokens").alias("n"), slots[False].alias("sure"), slots[True].alias("all"))
+    short, heavy = F.col("n") < least, 2 * F.size("all") > F.col("size")
+    wanted = F.when(F.col("kind") == "word", ~short & (2 * F.size("sure") <= F.col("size"))).when(F.col("kind") == "name", ~short & ~heavy).otherwise(short | heavy)
+    held = F.when(F.col("kind") == "word", F.col("sure")).when(F.col("kind") == "name", F.col("all")).otherwise(F.slice("all", 1, 0))
+    known = written(known.where(wanted).select("item_id", "size", "kind", "h", "at", held.alias("slots")), "templates")
     keys = known.select("h").distinct()
     if known.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    codes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(tokens(F.col("text")), _template).alias("codes"))
+    kinds: dict[int, list[str]] = {}
+    for r in sorted(known.select("size", "kind").distinct().collect()):
+        kinds.setdefault(r["size"], []).append(r["kind"])
+    codes = _codes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     places = None
-    for n in sizes:
-        part = codes.select("doc_id", F.lit(n).alias("size"), F.posexplode(_windows("codes", n)).alias("doc_at", "h")).join(keys, "h", "left_semi")
+    for n, some in kinds.items():
+        part = codes.select("doc_id", (F.size("tokens") - n + 1).alias("m"), F.posexplode(F.concat(*[_windows(kind, n) for kind in some])).alias("i", "h")).join(keys, "h", "left_semi")
+        part = part.select("doc_id", F.lit(n).alias("size"), (F.col("i") % F.col("m")).alias("doc_at"), "h")
         places = part if places is None else places.unionByName(part)
-    places = written(places, "places")
+    places = written(places.distinct(), "places")
     met = places.join(known.drop("size"), "h")
     plain = met.where(F.size("slots") == 0).groupBy("doc_id", "item_id").agg(F.collect_set("doc_at").alias("places"))
     slotted = known.where(F.size("slots") > 0).select("h").distinct()
@@ -91,14 +131,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(wanted, "doc_id")
         .select("doc_id", tokens(F.col("text")).alias("tokens"), F.explode("at").alias("w"))
-        .select("doc_id", "w.doc_at", "w.h", _slots(F.col("tokens"), F.col("w.doc_at"), F.col("w.size")).alias("doc_slots"))
+        .select("doc_id", "w.doc_at", "w.h", F.slice(F.col("tokens"), F.col("w.doc_at") + 1, F.col("w.size")).alias("ours"))
         .distinct()
     )
     pairs = values.join(known.where(F.size("slots") > 0).drop("size"), "h").select(
-        "doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("off"), "doc_at",
-        F.explode(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a["v"].alias("theirs"), b["v"].alias("ours")))).alias("s"),
+        "doc_id", "item_id", "kind", (F.col("doc_at") - F.col("at")).alias("off"), "doc_at",
+        F.explode(F.transform("slots", lambda x: F.struct(_value(x["v"]).alias("theirs"), _value(F.get("ours", x["k"])).alias("ours")))).alias("s"),
     )
-    fits = pairs.groupBy("doc_id", "item_id", "off").agg(F.collect_set("s").alias("s"), F.collect_set("doc_at").alias("places"))
+    fits = pairs.groupBy("doc_id", "item_id", "kind", "off").agg(F.collect_set("s").alias("s"), F.collect_set("doc_at").alias("places"))
     fits = fits.where((F.size("s") == F.size(F.array_distinct("s.theirs"))) & (F.size("s") == F.size(F.array_distinct("s.ours"))))
     both = plain.select("doc_id", "item_id", "places", F.lit(None).cast(fits.schema["s"].dataType).alias("s")).unionByName(fits.select("doc_id", "item_id", "places", "s"))
     number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")

@@ -268,6 +268,16 @@ def test_decontamination_by_occurrence(spark):
     assert found(spark, texts, [q, again]) == {(0, 0): (4, 4), (1, 0): (4, 3), (2, 1): (16, 4), (3, 1): (16, 4)}
 
 
+def test_decontamination_of_names_and_short_items(spark):
+    pens = "Anna has 3 pens. Anna buys 2 more pens and gives all of them away. How many are left?"
+    items = ["Anna has 3 pens and buys 2 more", "What is 17 * 23 + 4?", "Name the capital", pens]
+    texts = [
+        "Ben has 5 pens and buys 7 more", "we heard, Anna has 3 pens and buys 2 more", "Now: What is 17 * 23 + 4? Yes", "What is 18 * 23 + 4?", "please name the capital of it", "Name a capital",
+        pens.replace("Anna", "Ben").replace("3", "8"), "6 has 5 pens and buys 7 more", pens.replace("Anna has", "Ben has"),
+    ]
+    assert set(found(spark, texts, items)) == {(0, 0), (1, 0), (2, 1), (4, 2), (6, 3), (8, 3)}
+
+
 def test_warc(spark, tmp_path):
     html = '<html lang="en"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x --><p>One<br>two &lt;3</p><a href="/x">link</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", html, "z"), (2, None, None, "z")], "page_id long, url string, html string, block string")

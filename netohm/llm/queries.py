@@ -57,7 +57,8 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the SQL below states the runs of two lines; the operator and the pipeline also take single long lines
+    out = line_dedup.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), single_words=None)
     return out.select("doc_id", "n_lines", "n_deleted", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 

@@ -138,6 +138,16 @@ def test_line_dedup(spark, none):
     assert line_dedup.remove_repeated_runs(none).count() == 0
 
 
+def test_line_dedup_of_single_long_lines(spark):
+    long, under = " ".join(words(31, 50)), " ".join(words(32, 49))
+    texts = [f"a b\n{long}\nc d\n{under}", f"e f\n  {long} \ng h\n{under}\ni", f"{long}\nj\n{long}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in line_dedup.remove_repeated_runs(d).collect()}
+    assert got == {0: (texts[0], 0), 1: (f"e f\ng h\n{under}\ni", 1), 2: ("j", 2)}
+    kept = line_dedup.remove_repeated_runs(d, single_words=None).collect()
+    assert {r["doc_id"]: r["n_deleted"] for r in kept} == {0: 0, 1: 0, 2: 0}
+
+
 def test_tokens_match_the_library():
     enc = tokens.encoder(tokens.default_path())
     for _, t, *_ in rows():

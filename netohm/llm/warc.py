@@ -3,7 +3,7 @@
 responses() frames raw pages as response records; derivatives() makes of each response one metadata record (title, language,
 counts of links and of characters) and one conversion record (plain text). Both carry WARC-Refers-To with the response's
 record id, its target URI and date, the response's own headers in the metadata block, and SHA-1 digests of blocks and
-payloads. write_records() and read_records() keep records as WARC 1.1 text files that Spark writes and splits.
+payloads. write_records() and read_records() keep records as WARC 1.1 text files, one gzip stream for each part file.
 
 Defined cases: null html is an empty page; null url becomes an empty target URI; a page without title has an empty one; repeated
 rows give repeated records with one id; extra columns are ignored; an empty table gives no records.
@@ -11,9 +11,12 @@ rows give repeated records with one id; extra columns are ignored; an empty tabl
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netohm.llm.work import ship
+
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -36,14 +39,14 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?is)<title[^>]*>.*?</title>", " ")
-    t = F.regexp_replace(t, r"[ \t\r\n]+", " ")
-    t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|tr|ul|ol|article|nav)>|<br ?/?>", "\n")
+    t = F.regexp_replace(t, r"[ \t\r\n]{2,}|[\t\r\n]", " ")  # a single space may stay as it is
+    t = F.regexp_replace(t, r"(?i)<(?:/(?:p|div|li|h[1-6]|tr|ul|ol|article|nav)|br ?/?)>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     for name, char in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")
+    t = F.regexp_replace(t, r" \n[ \n]*|\n[ \n]+", "\n")
+    return F.trim(t, F.lit(" \n"))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -97,29 +100,73 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def write_records(records: DataFrame, target: str) -> None:
-    """WARC/1.1 text, gzipped; the reader splits it by record heads."""
+    """WARC/1.1 text, gzipped by part file; Content-Length is that of the block as written."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit(CRLF))).otherwise(F.lit(""))
     c = F.col
+    block = F.coalesce("block", F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF), line("WARC-Type", c("warc_type")), line("WARC-Record-ID", c("record_id")), line("WARC-Refers-To", c("refers_to")), line("WARC-Target-URI", c("target_uri")),
         line("WARC-Date", c("warc_date")), line("WARC-Block-Digest", c("block_digest")), line("WARC-Payload-Digest", c("payload_digest")), line("Content-Type", c("content_type")),
-        line("Content-Length", c("content_length").cast("string")),
+        line("Content-Length", F.octet_length(block).cast("string")),
     )
-    records.select(F.concat(head, F.lit(CRLF), F.col("block")).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(target)
+    records.select(F.concat(head, F.lit(CRLF), block).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(target)
+
+
+MARK = b"\r\n\r\nWARC/1."
+FIELDS = {"record_id": b"warc-record-id", "warc_type": b"warc-type", "refers_to": b"warc-refers-to", "target_uri": b"warc-target-uri", "warc_date": b"warc-date", "content_type": b"content-type", "block_digest": b"warc-block-digest", "payload_digest": b"warc-payload-digest"}
+
+
+def _head(part: bytes) -> dict[bytes, bytes] | None:
+    """Header fields by name in small letters; None if this is no head of a record."""
+    end = part.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    lines = part[:end].split(b"\r\n")[1:]
+    fields = {n.strip().lower(): v.strip() for n, _, v in (x.partition(b":") for x in lines)}
+    return fields if b"warc-type" in fields and fields.get(b"content-length", b"").isdigit() else None
+
+
+def _joined(batches):
+    """Records of parts in file order: parts follow the first until Content-Length is reached, whatever they hold."""
+    file, open_, held, need = None, None, [], 0
+
+    def record():
+        whole = MARK.join(held)
+        at = whole.find(b"\r\n\r\n") + 4
+        n = int(open_[b"content-length"])
+        text = lambda b: b.decode("utf-8", "replace")
+        row = {k: text(open_[f]) if f in open_ else None for k, f in FIELDS.items()}
+        return row | {"target_uri": row["target_uri"] or "", "content_length": n, "block": text(whole[at : at + n])}
+
+    for b in batches:
+        out = []
+        for name, part in zip(b.column("file").to_pylist(), b.column("value")):
+            part = part.as_py()
+            if name != file:
+                file, open_ = name, None
+            if open_ is None:
+                open_ = _head(part)
+                if open_ is None:  # before the first head of a split
+                    continue
+                held, need = [part], part.find(b"\r\n\r\n") + 4 + int(open_[b"content-length"]) - len(part)
+            else:
+                held.append(part)
+                need -= len(MARK) + len(part)
+            if need <= 0:
+                out.append(record())
+                open_ = None
+        yield pa.RecordBatch.from_pylist(out, schema=READ)
+
+
+READ = pa.schema([(c, pa.int64() if c == "content_length" else pa.string()) for c in RECORD])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC text files. A record begins where a line WARC/1.x follows an empty line and a type header comes next."""
-    raw = spark.read.option("lineSep", CRLF + CRLF + "WARC/1.").text(path).select(F.regexp_replace("value", r"^WARC/1\.", "").alias("value")).where("value <> ''")
-    cut = F.locate(CRLF + CRLF, F.col("value"))
-    raw = raw.select(F.substring(F.col("value"), F.lit(1), cut + 1).alias("head"), F.substring(F.col("value"), cut + 4, F.length("value")).alias("rest"))
-
-    def field(name: str) -> Column:
-        return F.nullif(F.regexp_extract("head", rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
-
-    return raw.select(
-        field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("warc_type"), field("WARC-Refers-To").alias("refers_to"), F.coalesce(field("WARC-Target-URI"), F.lit("")).alias("target_uri"),
-        field("WARC-Date").alias("warc_date"), field("Content-Type").alias("content_type"), field("WARC-Block-Digest").alias("block_digest"), field("WARC-Payload-Digest").alias("payload_digest"),
-        field("Content-Length").cast("long").alias("content_length"),
-        F.decode(F.substring(F.encode("rest", "UTF-8"), F.lit(1), field("Content-Length").cast("int")), "UTF-8").alias("block"),
-    )
+    """Records of WARC text files, plain or gzipped, cut by Content-Length: text that looks like a record's head stays in its block.
+
+    Parts between marks come in file order from one task for each gzipped file. Where Spark splits a plain file, a split's first part
+    is taken for a record if it has a type and a length. A record that the file cuts short is left out.
+    """
+    ship(spark)
+    parts = spark.read.option("lineSep", MARK.decode()).text(path).select(F.concat(F.col("_metadata.file_path"), F.lit("@"), F.col("_metadata.file_block_start").cast("string")).alias("file"), F.col("value").cast("binary").alias("value"))
+    return parts.mapInArrow(_joined, ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in RECORD))

@@ -78,6 +78,13 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    a, own, late = words(41, 60), words(42, 60), words(43, 320)
+    texts = [(1, " ".join(a)), (2, " ".join(a)), (2, " ".join(own)), (3, " ".join(late + a)), (3, " ".join(own[:55])), (3, " ".join(own[:55]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 60, 0), (2, 60, 0), (2, 60, 60), (3, 55, 55), (3, 55, 55), (3, 380, 60)]
+
+
 def test_order_minhash(docs, none):
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
     assert got == {**{i: i for i in range(12)}, 5: 4, 6: 4}
@@ -305,3 +312,15 @@ def test_warc(spark, tmp_path):
     key = lambda x: sorted(map(str, x.select(*cols).collect()))
     assert key(back) == key(everything)
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_blocks_that_look_like_records(spark, tmp_path):
+    quoted = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc"
+    html = [f"before\r\n\r\n{quoted}\r\n\r\nafter", "\r\n\r\nWARC/1.", "é" * 9 + "\r\n\r\n", "", "plain"]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(2)
+    source = warc.responses(pages)
+    warc.write_records(source.drop("page_id"), str(tmp_path / "w"))
+    key = lambda x: sorted(map(str, x.select("record_id", "target_uri", "content_length", "block").collect()))
+    assert key(warc.read_records(spark, str(tmp_path / "w"))) == key(source)
+    (tmp_path / "plain.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 2\r\n\r\nok\r\n\r\nWARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 9\r\n\r\ncut")
+    assert [r["block"] for r in warc.read_records(spark, str(tmp_path / "plain.warc")).collect()] == ["ok"]

@@ -66,12 +66,13 @@ def _signatures(length: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").cast(pa.int64()),
+                        b.column("t"),
                         pa.array(w.counts, pa.int64()),
                         pa.array(H.signed(H.spans(h, w.first[:-1], w.first[1:], H.BASES[1])), pa.int64()),
                         pa.array(H.signed(H.spans(h, w.first[:-1], w.first[1:], H.BASES[2])), pa.int64()),
                         H.lists(H.signed(np.ascontiguousarray(pair[:, 1])), counts, pa.int64()),
                     ],
-                    names=["doc_id", "n_words", "d1", "d2", "anchors"],
+                    names=["doc_id", "t", "n_words", "d1", "d2", "anchors"],
                 )
 
     return run
@@ -93,16 +94,17 @@ def _extend(length: int, seed: int):
                 mine = _pair_key(text[at], k_grams[anchor])
                 hit = np.isin(mine, _pair_key(owner, flat))
                 at = at[hit]
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)[text[at]] if len(at) else np.zeros(0, np.int64)
+                ids, digests = (b.column(c).to_numpy(zero_copy_only=False)[text[at]] if len(at) else np.zeros(0, np.int64) for c in ("doc_id", "t"))
                 own = at - w.first[text[at]] if len(at) else at
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(H.signed(H.spans(h, at, at + length, H.BASES[1])), pa.int64()),
                         pa.array((H.spans(h, at, at + length, H.BASES[2]) >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()),
                         pa.array(ids, pa.int64()),
+                        pa.array(digests, pa.int64()),
                         pa.array(own.astype(np.int32), pa.int32()),
                     ],
-                    names=["w1", "w2", "doc_id", "start"],
+                    names=["w1", "w2", "doc_id", "t", "start"],
                 )
 
     return run
@@ -144,32 +146,36 @@ def _cut(length: int, texts: bool):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash t of the text, text: a doc_id may have several texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, starts) of passages that start in an earlier document too, and doc_ids of whole copies."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, t, starts) of passages that start in an earlier document too, and (doc_id, t) of whole copies; t is the text's xxhash64."""
+    docs, key = _texts(docs), ["doc_id", "t"]
     ship(docs.sparkSession)
-    sig = written(docs.mapInArrow(_signatures(length, seed), "doc_id long, n_words long, d1 long, d2 long, anchors array<long>"), "signatures")
+    sig = written(docs.mapInArrow(_signatures(length, seed), "doc_id long, t long, n_words long, d1 long, d2 long, anchors array<long>"), "signatures")
     long_enough = sig.where(F.col("n_words") >= length)
     least = long_enough.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    copies = (
-        long_enough.select("doc_id", "d1", "d2", "n_words").join(least.where("least < most").drop("most"), ["d1", "d2", "n_words"]).where("doc_id > least").select("doc_id").distinct()
-    )
+    least = written(least.where("least < most").drop("most"), "least")  # a table on both sides of a join lets Spark split a hot key
+    copies = long_enough.select(*key, "d1", "d2", "n_words").join(least, ["d1", "d2", "n_words"]).where("doc_id > least").select(*key).distinct()
     copies = written(copies, "copies")
-    seeds = long_enough.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("a"))
+    seeds = long_enough.join(copies, key, "left_anti").select(*key, F.explode("anchors").alias("a"))
     shared = seeds.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
-    shared = written(shared, "shared")  # a table on both sides of a join lets Spark split a hot key
-    by_doc = seeds.join(shared, "a").groupBy("doc_id").agg(F.collect_set("a").alias("shared"))
-    passages = written(docs.join(by_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_extend(length, seed), "w1 long, w2 int, doc_id long, start int"), "passages")
+    shared = written(shared, "shared")
+    by_doc = seeds.join(shared, "a").groupBy(*key).agg(F.collect_set("a").alias("shared"))
+    passages = written(docs.join(by_doc, key).select(*key, "text", "shared").mapInArrow(_extend(length, seed), "w1 long, w2 int, doc_id long, t long, start int"), "passages")
     first = passages.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     first = written(first, "first")
-    hits = passages.join(first, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    hits = passages.join(first, ["w1", "w2"]).where("doc_id > lo").groupBy(*key).agg(F.collect_set("start").alias("starts"))
     return hits, copies
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept words as text) of every document."""
     hits, copies = repeated_passages(docs, length, seed)
-    marks = hits.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id", "left").select("doc_id", "text", "starts", "copy")
+    marks = hits.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("starts", F.array().cast("array<int>")).withColumn("copy", F.lit(True)))
+    joined = _texts(docs).join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "starts", "copy")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
     return joined.mapInArrow(_cut(length, texts), schema)

@@ -145,6 +145,42 @@ def test_line_dedup(spark, none):
     assert line_dedup.remove_repeated_runs(none).count() == 0
 
 
+def brute_lines(texts, min_lines, min_words, single):
+    """Kept text of each (doc_id, text), for texts in the order of places."""
+    seqs = [[(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n")) if split(x)] for _, t in texts]
+    gone = [set() for _ in texts]
+    for size, least in ((min_lines, min_words), (1, single)):
+        first = {}
+        for d, s in enumerate(seqs):
+            for j in range(len(s) - size + 1):
+                run = tuple(x for _, x in s[j : j + size])
+                if sum(len(split(x)) for x in run) < least:
+                    continue
+                e, k = first.setdefault(run, (d, j))
+                if (e, k) != (d, j):
+                    gone[d] |= {s[g][0] for g in range(j, j + size) if e != d or not k <= g < k + size}
+    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, (_, t) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 4, 7])
+def test_line_dedup_against_brute_force(spark, min_lines):
+    r = np.random.default_rng(min_lines)
+    some = [f"line {k} of a few words" for k in range(5)] + ["", "  ", " ".join(words(51, 12))]
+    texts = [(i, "\n".join(some[k] for k in r.choice(8, r.integers(0, 30), p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05]))) for i in range(25)]
+    texts += [(30, "\n".join([some[0]] * n)) for n in (1, 2, 3)][2:] + [(31, None), (32, ""), (33, texts[3][1]), (34, "\n".join([some[0], some[1]] * 9))]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.remove_repeated_runs(d, min_lines, 10, 12).collect()}
+    assert got == {i: t for (i, _), t in zip(texts, brute_lines(texts, min_lines, 10, 12))}
+
+
+def test_line_dedup_of_overlaps_and_repeated_ids(spark):
+    a, b, own = "alpha beta gamma delta epsilon", "one two three four five six", "nothing else holds this line\nnor this one of six words"
+    texts = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}"), (2, own), (3, f"{own}"), (4, "\n".join(["some words that make a line"] * 3)), (5, "x"), (5, "x")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((x["doc_id"], x["text"]) for x in line_dedup.remove_repeated_runs(d).collect())
+    assert got == sorted([(1, texts[0][1]), (2, ""), (2, own), (3, ""), (4, "\n".join(["some words that make a line"] * 2)), (5, "x"), (5, "x")])
+
+
 def test_line_dedup_of_single_long_lines(spark):
     long, under = " ".join(words(31, 50)), " ".join(words(32, 49))
     texts = [f"a b\n{long}\nc d\n{under}", f"e f\n  {long} \ng h\n{under}\ni", f"{long}\nj\n{long}"]

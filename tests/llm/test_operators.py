@@ -263,13 +263,48 @@ def test_quality_rules(docs, none):
     assert robust_outliers.quality_rules(none).count() == 0
 
 
-def test_robust_estimates_resist_outliers(spark):
+def best_share(x, starts, seed):
+    """Location and covariance of the three quarters of rows with the least determinant that random starts lead to."""
+    floors, r, n = np.diag(np.square(robust_outliers.FLOORS)), np.random.default_rng(seed), len(x)
+    h, best = int(np.ceil(robust_outliers.SHARE * n)), None
+    for _ in range(starts):
+        rows = x[r.choice(n, 6, replace=False)]
+        for _ in range(12):
+            m, c = rows.mean(0), np.cov(rows.T, bias=True) * robust_outliers.CONSISTENT + floors
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            rows = x[np.argsort(d)[:h]]
+        m, c = rows.mean(0), np.cov(rows.T, bias=True) * robust_outliers.CONSISTENT + floors
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    return best
+
+
+def test_robust_estimates_against_numpy(spark):
     r = np.random.default_rng(1)
-    x = r.normal(5, 0.3, 1000)
-    x[:150] = 30
-    df = spark.createDataFrame([("g", float(v), 0.0, 0.0, 0.0) for v in x], "grp string, u0 double, u1 double, u2 double, u3 double")
-    p = robust_outliers.estimates(df).first()
-    assert abs(p["m0"] - 5) < 0.1 and 0.2 < p["l00"] < 0.6
+    mix = r.normal(size=(4, 4))
+    groups = {"a": r.normal(size=(600, 4)) @ mix, "b": 3 + r.normal(size=(300, 4)) * [1, 2, 0.5, 1], "c": r.normal(size=(40, 4)), "one": np.ones((1, 4))}
+    groups["a"][:150] = [9, -9, 9, 4] + 0.1 * r.normal(size=(150, 4))
+    groups["b"][:60, 2] = 40
+    df = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "grp string, u0 double, u1 double, u2 double, u3 double").repartition(3)
+    got = {p["grp"]: p for p in robust_outliers.estimates(df).collect()}
+    assert {g: p["n"] for g, p in got.items()} == {g: len(x) for g, x in groups.items()}
+    for g in "abc":
+        size, m, c = best_share(groups[g], 200, 7)
+        mine = np.array([[got[g][f"c{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)]) * robust_outliers.CONSISTENT + np.diag(np.square(robust_outliers.FLOORS))
+        assert np.linalg.slogdet(mine)[1] < size + (0.1 if g != "c" else 0.5)
+        if g != "c":
+            assert np.allclose([got[g][f"m{i}"] for i in range(4)], m, atol=0.1) and np.allclose(mine, c, rtol=0.15, atol=0.15)
+
+
+def test_quality_verdicts_by_group(spark):
+    r = np.random.default_rng(4)
+    plain = lambda n, size: " ".join("x" * k for k in r.poisson(size, n) + 1)
+    texts = [(i, plain(200, 4), "en", "a") for i in range(300)] + [(300 + i, plain(200, 9), "de", "b") for i in range(199)] + [(600 + i, plain(200, 9), "de", None) for i in range(3)]
+    texts += [(700, plain(200, 30), "en", "a"), (701, plain(200, 30), "de", "b"), (702, plain(60, 4) + " #$%&" * 40, "en", "a"), (703, plain(200, 4), None, ""), (704, plain(200, 4), "", None)]
+    got = {x["doc_id"]: x for x in robust_outliers.quality_rules(spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")).collect()}
+    judged = {i: x["kept"] for i, x in got.items() if not x["base_failed"]}
+    assert not any(judged.get(i, False) for i in (700, 701, 702))
+    assert np.mean([k for i, k in judged.items() if i < 700]) > 0.98 and all(judged.get(i, True) for i in (600, 601, 602))
 
 
 def test_quality_classifier(spark, docs, none):

@@ -78,6 +78,8 @@ def library(spark: SparkSession, sf_dir: str, second: bool = False, star: bool =
     return SpefLibrary(one, names, full, resolve_coupling(full, one))
 
 
+#: Name map lines that stay together.
+CHUNK = 100_000
 HEADER = "\n".join(['*SPEF "IEEE 1481-1999"', '*DESIGN "derived"', "*T_UNIT 1.00 NS", "*C_UNIT 1.00 PF", "*R_UNIT 1.00 OHM", "*L_UNIT 1.00 HENRY", "*DIVIDER /", "*DELIMITER :", "*BUS_DELIMITER [ ]", "*NAME_MAP"])
 
 
@@ -102,5 +104,8 @@ def spef_lines(lib: SpefLibrary) -> DataFrame:
 
 
 def write_spef(lib: SpefLibrary, path: str) -> None:
-    """Sorted text; each net lies in one part file and the header in the first."""
-    spef_lines(lib).repartitionByRange("k1").sortWithinPartitions("k1", "k2").select("value").write.mode("overwrite").text(path)
+    """Sorted text; each net lies in one part file. Names are spread by CHUNK, each behind a comment, by which a part file shows that it is header."""
+    chunk = F.when(F.col("k1") == -1, F.floor(F.col("k2") / CHUNK)).otherwise(F.lit(0)).cast("int")
+    lines = spef_lines(lib).withColumn("chunk", chunk)
+    marks = lines.where("k1 = -1").select("k1", "chunk").distinct().select("k1", F.lit(-1).alias("k2"), F.lit("// names").alias("value"), "chunk")
+    lines.unionByName(marks).repartitionByRange("k1", "chunk").sortWithinPartitions("k1", "chunk", "k2").select("value").write.mode("overwrite").text(path)

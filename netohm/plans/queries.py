@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +12,12 @@ from netohm.operators import compare as C
 from netohm.operators import coupling, filters, resistance, rewrite
 from netohm.plans import derived as D
 from netohm.sources import datafiles
+from netohm.sources.shared import scratch
 from netohm.sources.spef import read_spef
 
 MILLI = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6  # noqa: E731  six decimals, the same in SQL
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='netohm-')}/netohm-{uuid.uuid4().hex}-{name}"
-
-
 def cap_rows(s: SparkSession, d: str) -> DataFrame:
     return C.compare_caps(D.caps1(s, d), D.caps2(s, d))
 

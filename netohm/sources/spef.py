@@ -1,18 +1,26 @@
 """SPEF files as DataFrames. Files split at net blocks, so large ones are read in parallel.
 
 nets: lib_id, pos, net, total_cap, total_cap_pf, driver, sinks, edges (n1, n2, r), raw_ccaps (n1, n2, c)
+
+The header is read line by line. Net blocks are parsed once, each in its own row, on Arrow batches; ids become names by one
+join on the distinct ids of each block, and the result is kept as a table in the shared folder. A file's header must stay
+below 2 GB, as the block reader passes over it as one record; a folder of part files may spread it over several.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netohm.functions import text as T
 from netohm.functions import units as U
+from netohm.sources.shared import kept
 
 LIB_KEYS = ("t_unit", "c_unit", "r_unit", "l_unit", "c_scale", "r_scale")
 
@@ -46,37 +54,44 @@ def unique_name(base: str, taken: set[str]) -> str:
     return name
 
 
+def _place() -> Column:
+    """The order of records: file, start of the split, row within the task that reads it."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), row.alias("row"))
+
+
 def read_blocks(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
     """lib_id, pos, is_header, block: the header and the text of each net after *D_NET, in file order by pos."""
-    raw = spark.read.option("lineSep", "\n*D_NET ").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")
-    )
+    raw = spark.read.option("lineSep", "\n*D_NET ").text(path).select("value", _place().alias("rec"))
     cut = F.split(F.regexp_replace("value", r"(?m)^[ \t]*\*D_NET(?=[ \t])", "\u0001"), "\u0001")
-    parts = raw.select((F.col("at") + F.col("row")).alias("rec"), "file", "at", "value", F.posexplode(cut).alias("k", "block"))
-    opens = (F.col("at") == 0) & (F.col("value").rlike(r'^\s*(\*[A-Za-z]|//|")') | ~F.col("value").rlike(r"^[ \t]*\S+[ \t]+\S"))
-    return parts.select(F.lit(lib_id).alias("lib_id"), F.struct("file", "rec", "k").alias("pos"), ((F.col("k") == 0) & opens).alias("is_header"), "block")
+    parts = raw.select("rec", "value", F.posexplode(cut).alias("k", "block"))
+    opens = (F.col("rec.at") == 0) & (F.col("value").rlike(r'^\s*(\*[A-Za-z]|//|")') | ~F.col("value").rlike(r"^[ \t]*\S+[ \t]+\S"))
+    return parts.select(F.lit(lib_id).alias("lib_id"), F.struct("rec.file", "rec.at", "rec.row", "k").alias("pos"), ((F.col("k") == 0) & opens).alias("is_header"), "block")
 
 
-def _lines(blocks: DataFrame, most: int) -> DataFrame:
-    lines = blocks.select("lib_id", "pos", F.posexplode(F.split("block", "\n")).alias("ln", "raw"))
-    return lines.withColumn("t", T.split_tokens(T.strip_comment(F.col("raw")), most)).where(F.size("t") > 0)
+def read_header(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
+    """lib_id, pos, t: tokens of the lines before the first net, in file order by pos."""
+    lines = spark.read.text(path).select(_place().alias("pos"), "value")
+    first = lines.where(F.col("value").rlike(r"^[ \t]*\*D_NET(?=\s|$)")).agg(F.min("pos").alias("first"))
+    lines = lines.join(F.broadcast(first)).where(F.col("first").isNull() | (F.col("pos") < F.col("first")))  # first is one row
+    return lines.select(F.lit(lib_id).alias("lib_id"), "pos", T.split_tokens(T.strip_comment(F.col("value")), 4).alias("t")).where(F.size("t") > 0)
 
 
-def parse_header(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(libraries, name_map) of header blocks."""
-    lines = _lines(blocks.where("is_header"), 4)
+def parse_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(libraries, name_map) of header lines. Every *NAME_MAP section counts up to its first line that is no entry; of equal ids the first."""
     key = F.get("t", F.lit(0))
     entry = (F.size("t") >= 2) & key.rlike(r"^\*\d")
     value = T.unescape(T.strip_quotes(F.get("t", F.lit(1))))
-    marks = lines.select("lib_id", "ln", "t", F.when(key == "*NAME_MAP", F.lit(1)).when(~entry, F.lit(0)).alias("m"), entry.alias("entry"))
-    # the section ends at the first line that is no entry: the latest mark before an entry tells
-    starts = marks.where(F.col("m").isNotNull()).groupBy("lib_id").agg(F.max(F.when(F.col("m") == 1, F.col("ln"))).alias("from"))
-    ends = marks.join(starts, "lib_id").where((F.col("m") == 0) & (F.col("ln") > F.col("from"))).groupBy("lib_id").agg(F.min("ln").alias("to"))
-    held = marks.where("entry").join(starts, "lib_id").join(ends, "lib_id", "left").where((F.col("ln") > F.col("from")) & (F.col("to").isNull() | (F.col("ln") < F.col("to"))))
-    name_map = held.groupBy("lib_id", F.get("t", F.lit(0)).alias("id")).agg(F.min_by(value, "ln").alias("name"))
+    # rows of section bounds: as many as *NAME_MAP lines
+    starts = lines.where(key == "*NAME_MAP").groupBy("lib_id").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
+    marked = lines.join(F.broadcast(starts), "lib_id").withColumn("from", F.try_element_at(F.filter("starts", lambda s: s < F.col("pos")), F.lit(-1))).where("`from` is not null")
+    ends = marked.where(~entry & (key != "*NAME_MAP")).groupBy("lib_id", "from").agg(F.min("pos").alias("to"))
+    held = marked.where(entry).join(F.broadcast(ends), ["lib_id", "from"], "left").where(F.col("to").isNull() | (F.col("pos") < F.col("to")))
+    name_map = held.groupBy("lib_id", key.alias("id")).agg(F.min_by(value, "pos").alias("name"))
 
     def last(name: str, at: int, default: str) -> Column:
-        return F.coalesce(F.max_by(F.when((key == name) & (F.size("t") >= 3), F.get("t", F.lit(at))), F.when((key == name) & (F.size("t") >= 3), F.col("ln"))), F.lit(default))
+        hit = (key == name) & (F.size("t") >= 3)
+        return F.coalesce(F.max_by(F.when(hit, F.get("t", F.lit(at))), F.when(hit, F.col("pos"))), F.lit(default))
 
     def scale(name: str) -> Column:
         v = T.parse_number(last(name, 1, "1"))
@@ -101,60 +116,157 @@ def resolve(df: DataFrame, name_map: DataFrame, *columns: str, escaped: bool = T
     return df
 
 
+_NUMBER, _END = re.compile(T.NUMBER), re.compile(r"^[ \t]*\*END(?=\s|$)", re.M)
+_ROLES = {("*I", "O"): "driver", ("*I", "I"): "sink", ("*I", "B"): "driver", ("*P", "O"): "sink", ("*P", "I"): "driver", ("*P", "B"): "driver"}
+
+
+def number(token: str) -> float:
+    """As functions.text.parse_number."""
+    m = _NUMBER.match(token)
+    if m is None and len(token) < 64:
+        m = _NUMBER.match(re.sub(r"[^-+.eE0-9]", "", token))
+    return float(m.group()) if m else 0.0
+
+
+def _tokens(line: str) -> list[str]:
+    """Tokens between blanks, without the comment."""
+    line = line.split("//", 1)[0]
+    return line.split() if line.isascii() else [x for x in re.split(r"[ \t\r]+", line) if x]
+
+
+class _Pairs:
+    """Lists of (n1, n2, value) of many nets, as flat columns."""
+
+    def __init__(self, value: str):
+        self.value, self.ends, self.columns = value, [0], ([], [], [])
+
+    def add(self, rows: list[tuple[str, str, float]]) -> None:
+        for column, x in zip(self.columns, zip(*rows)):
+            column.extend(x)
+        self.ends.append(len(self.columns[0]))
+
+    def array(self) -> pa.Array:
+        flat = pa.StructArray.from_arrays([pa.array(self.columns[0], pa.string()), pa.array(self.columns[1], pa.string()), pa.array(self.columns[2], pa.float64())], names=["n1", "n2", self.value])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat)
+
+
+def parse_block(text: str) -> tuple[str, float, str, list[str], list, list] | None:
+    """net, total, driver, sinks, resistors and coupling capacitors of a block as they stand; None without a total."""
+    end = _END.search(text)
+    lines = (text[: end.start()] if end else text).split("\n")
+    head = _tokens(lines[0])
+    if len(head) < 2:
+        return None
+    section, driver, sinks, wires = "", "", [], {"*RES": [], "*CAP": []}
+    for line in lines[1:]:
+        t = _tokens(line)
+        if not t:
+            continue
+        first = t[0]
+        if first in ("*CONN", "*CAP", "*RES"):
+            section = first
+        elif first in ("*I", "*P"):
+            if len(t) >= 3:
+                role = _ROLES.get((first, next((x[0] for x in t[2:6] if x[0] in "OBI"), "")))
+                if role == "sink":
+                    sinks.append(t[1])
+                elif role and not driver:
+                    driver = t[1]
+        elif len(t) >= 4 and section in wires and first[0] != "*":
+            wires[section].append((t[1], t[2], number(t[3])))
+    return head[0], number(head[1]), driver, sinks, wires["*RES"], wires["*CAP"]
+
+
+BLOCK = "net string, total_cap double, driver string, sinks array<string>, edges array<struct<n1:string,n2:string,r:double>>, raw_ccaps array<struct<n1:string,n2:string,c:double>>"
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    """Arrow columns of BLOCK."""
+    edges, caps = _Pairs("r"), _Pairs("c")
+    for r in rows:
+        edges.add(r[4])
+        caps.add(r[5])
+    cols = [*zip(*(r[:4] for r in rows))] if rows else [[], [], [], []]
+    kinds = (pa.string(), pa.float64(), pa.string(), pa.list_(pa.string()))
+    return [*(pa.array(c, k) for c, k in zip(cols, kinds)), edges.array(), caps.array()]
+
+
+def _ids(row: tuple) -> list[str]:
+    """Distinct ids of the name map that a block's names begin with."""
+    names = {row[0], row[2], *row[3]}
+    for n1, n2, _ in (*row[4], *row[5]):
+        names.add(n1)
+        names.add(n2)
+    return sorted({n.split(":", 1)[0] for n in names if n.startswith("*")})
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [parse_block(x) for x in b.column("block").to_pylist()]
+        rows = [r for r in got if r is not None]
+        held = b.filter(pa.array([r is not None for r in got], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([held.column("lib_id"), held.column("pos"), pa.array([_ids(r) for r in rows], pa.list_(pa.string())), *_columns(rows)], names=["lib_id", "pos", "ids", *_NAMES])
+
+
+_NAMES = ["net", "total_cap", "driver", "sinks", "edges", "raw_ccaps"]
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names for ids; escaped brackets lose their mark, but for nets."""
+    for b in batches:
+        out = []
+        cols = [b.column(c).to_pylist() for c in (*_NAMES, "names")]
+        for net, total, driver, sinks, edges, caps, names in zip(*cols):
+            known = dict(names or ())
+
+            def whole(n: str, plain: bool = True) -> str:
+                if n.startswith("*"):
+                    base, colon, tail = n.partition(":")
+                    n = known.get(base, base) + colon + tail
+                return n.replace("\\[", "[").replace("\\]", "]") if plain and "\\" in n else n
+
+            out.append((
+                whole(net, False), total, whole(driver), [whole(s) for s in sinks],
+                [(whole(e["n1"]), whole(e["n2"]), e["r"]) for e in edges], [(whole(e["n1"]), whole(e["n2"]), e["c"]) for e in caps],
+            ))
+        yield pa.RecordBatch.from_arrays([b.column("lib_id"), b.column("pos"), *_columns(out)], names=["lib_id", "pos", *_NAMES])
+
+
+POS = "struct<file:string,at:bigint,row:bigint,k:int>"
+
+
 def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame) -> DataFrame:
     """Nets of net blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order."""
-    body = F.regexp_replace("block", r"(?m)^[ \t]*\*END(?=\s|$)[\s\S]*", "")
-    lines = _lines(blocks.where("not is_header").withColumn("block", body), 6)
-    head = lines.where("ln = 0 and size(t) >= 2").select("lib_id", "pos", F.get("t", F.lit(0)).alias("net"), T.parse_number(F.get("t", F.lit(1))).alias("total_cap"))
-    head = resolve(head, name_map, "net", escaped=False)
-    # the section of a line is the last mark before it; lines of one block stand together
-    marked = blocks.where("not is_header").select(
-        "lib_id", "pos", F.split(F.regexp_replace(body, r"(?m)^[ \t]*\*(CONN|CAP|RES)(?=\s|$)[^\n]*", "\u0001$1\u0002"), "\u0001").alias("s")
-    )
-    marked = marked.select("lib_id", "pos", F.posexplode("s").alias("sk", "s")).where("sk >= 0")
-    kind = F.when(F.instr("s", "\u0002") > 0, F.substring_index("s", "\u0002", 1)).otherwise(F.lit(""))
-    rows = marked.select("lib_id", "pos", "sk", kind.alias("kind"), F.posexplode(F.split(F.element_at(F.split("s", "\u0002"), -1), "\n")).alias("sl", "raw"))
-    rows = rows.where("sk > 0 or sl > 0").withColumn("t", T.split_tokens(T.strip_comment(F.col("raw")), 6)).where("size(t) >= 3").withColumn("at", F.struct("pos", "sk", "sl"))
-    first = F.get("t", F.lit(0))
-    direction = F.substring(F.get(F.filter(F.slice("t", 3, 4), lambda x: F.substring(x, 1, 1).isin("O", "B", "I")), F.lit(0)), 1, 1)
-    pins = rows.where(first.isin("*I", "*P")).select("lib_id", "pos", "at", F.get("t", F.lit(1)).alias("a"), F.lit(None).cast("string").alias("b"), T.pin_role(first, direction).alias("what"), F.lit(0.0).alias("v"))
-    pins = pins.where("what is not null")
-    wires = rows.where((F.size("t") >= 4) & ~first.startswith("*") & F.col("kind").isin("RES", "CAP")).select(
-        "lib_id", "pos", "at", F.get("t", F.lit(1)).alias("a"), F.get("t", F.lit(2)).alias("b"), F.col("kind").alias("what"), T.parse_number(F.get("t", F.lit(3))).alias("v")
-    )
-    flat = resolve(pins.unionByName(wires), name_map, "a", "b").join(head, ["lib_id", "pos"])
-    heads = head.select("lib_id", "pos", F.struct("pos", F.lit(-1).alias("sk"), F.lit(-1).alias("sl")).alias("at"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit("net").alias("what"), F.lit(0.0).alias("v"), "net", "total_cap")
-    every = flat.unionByName(heads)
-
-    def listed(what: str, *cols: Column) -> Column:
-        got = F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("at", *cols))))
-        return F.transform(got, lambda x: x.dropFields("at"))
-
-    is_net = F.col("what") == "net"
-    nets = every.groupBy("lib_id", "net").agg(
-        F.min("pos").alias("pos"), F.max_by("total_cap", F.when(is_net, F.col("pos"))).alias("total_cap"),
-        F.coalesce(F.min_by("a", F.when(F.col("what") == "driver", F.col("at"))), F.lit("")).alias("driver"),
-        listed("sink", F.col("a")).alias("sinks"), listed("RES", F.col("a").alias("n1"), F.col("b").alias("n2"), F.col("v").alias("r")).alias("edges"),
-        listed("CAP", F.col("a").alias("n1"), F.col("b").alias("n2"), F.col("v").alias("c")).alias("raw_ccaps"),
-    )
-    nets = nets.join(libraries.select("lib_id", "c_unit", "c_scale"), "lib_id")
-    return nets.select(
-        "lib_id", "pos", "net", "total_cap", U.convert_capacitance(F.col("total_cap") * F.col("c_scale"), F.col("c_unit")).alias("total_cap_pf"), "driver",
-        F.transform("sinks", lambda x: x["a"]).alias("sinks"), "edges", "raw_ccaps",
+    rows = blocks.where("not is_header").select("lib_id", "pos", "block").mapInArrow(_parse, f"lib_id string, pos {POS}, ids array<string>, {BLOCK}")
+    rows = kept(rows, "blocks")
+    ids = rows.select("lib_id", "pos", F.explode("ids").alias("id")).join(name_map, ["lib_id", "id"])
+    names = ids.groupBy("lib_id", "pos").agg(F.collect_list(F.struct("id", "name")).alias("pairs")).select("lib_id", "pos", F.map_from_entries("pairs").alias("names"))
+    named = rows.drop("ids").join(names, ["lib_id", "pos"], "left").mapInArrow(_named, f"lib_id string, pos {POS}, {BLOCK}")
+    named = kept(named, "nets")
+    twice = named.groupBy("lib_id", "net").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = named.join(twice, ["lib_id", "net"], "left_semi").groupBy("lib_id", "net").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in _NAMES if c != "net"]))).alias("x"))
+    flat = lambda c: F.flatten(F.transform("x", lambda r: r[c])).alias(c)
+    merged = again.select(
+        "lib_id", F.get("x", F.lit(0))["pos"].alias("pos"), "net", F.element_at("x", -1)["total_cap"].alias("total_cap"),
+        F.coalesce(F.get(F.filter(F.transform("x", lambda r: r["driver"]), lambda d: d != ""), F.lit(0)), F.lit("")).alias("driver"), flat("sinks"), flat("edges"), flat("raw_ccaps"),
     )
+    nets = named.join(twice, ["lib_id", "net"], "left_anti").select(merged.columns).unionByName(merged)
+    nets = nets.join(F.broadcast(libraries.select("lib_id", "c_unit", "c_scale")), "lib_id")  # a row for each library
+    total = U.convert_capacitance(F.col("total_cap") * F.col("c_scale"), F.col("c_unit")).alias("total_cap_pf")
+    return nets.select("lib_id", "pos", "net", "total_cap", total, "driver", "sinks", "edges", "raw_ccaps")
 
 
 def read_spef(spark: SparkSession, path: str, lib_id: str | None = None) -> SpefLibrary:
-    """A SPEF file as a library with resolved coupling."""
+    """A SPEF file, or a folder of part files, as a library with resolved coupling. It is parsed here, once."""
     from netohm.operators.coupling import resolve_coupling
 
     lib_id = lib_id or os.path.splitext(os.path.basename(path))[0]
-    blocks = read_blocks(spark, path, lib_id)
-    libraries, name_map = parse_header(blocks)
+    header = kept(read_header(spark, path, lib_id), "header")
+    libraries, name_map = parse_header(header)
     one = spark.createDataFrame([(lib_id,)], "lib_id string")  # a file without a header has default units
     defaults = {"t_unit": "NS", "c_unit": "PF", "r_unit": "OHM", "l_unit": "HENRY", "c_scale": 1.0, "r_scale": 1.0}
     libraries = one.join(libraries, "lib_id", "left").select("lib_id", *[F.coalesce(c, F.lit(defaults[c])).alias(c) for c in LIB_KEYS])
-    nets = parse_nets(blocks, name_map, libraries)
+    nets = parse_nets(read_blocks(spark, path, lib_id), name_map, libraries)
     return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map))
 
 

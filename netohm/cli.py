@@ -51,8 +51,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         for df, path, columns in ((c.cap, a.net_cap_data, datafiles.CAP), (c.res, a.net_res_data, datafiles.RES), (c.ccap, a.net_ccap_data, datafiles.CCAP)):
             if path:
                 datafiles.write_data(df, path, columns)
-        left, right = coupling_report(one, two)
-        print(f"coupling pairs in one library only: {left.count()} and {right.count()}")
+        for k, pairs in enumerate(coupling_report(one, two), 1):  # sorted; the lines come part by part
+            print(f"[ccap] net pairs only in spef{k}: {pairs.count()}")
+            for r in pairs.toLocalIterator():
+                print(f"[ccap][only_spef{k}] {r['net1']} {r['net2']}")
     elif a.net_cap_data or a.net_res_data or a.net_ccap_data:
         c = datafiles.load_comparison(spark, a.net_cap_data, a.net_res_data, a.net_ccap_data)
     else:

@@ -63,9 +63,15 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def hover_number(v: Column) -> Column:
-    """A short form for tooltips: fixed in the middle range, exponent outside."""
+    """A short form for details of a point: more digits for small numbers, four significant ones from 1000 on."""
     a = F.abs(v)
-    return F.when(v == 0, F.lit("0")).when((a >= 1e-3) & (a < 1e4), F.format_string("%.4f", v)).otherwise(F.format_string("%.3e", v))
+    large = F.when(a < 9999.5, F.format_string("%.0f", v)).otherwise(F.regexp_replace(F.format_string("%.3e", v), r"\.?0+e", "e"))
+    return F.when(v == 0, F.lit("0")).when(a < 1e-3, F.format_string("%.4e", v)).when(a < 1, F.format_string("%.6f", v)).when(a < 1000, F.format_string("%.4f", v)).otherwise(large)
+
+
+def stat_number(v: Column) -> Column:
+    """A short form for statistics."""
+    return F.when(v == 0, F.lit("0")).when(F.abs(v) >= 1e-3, F.format_string("%.4f", v)).otherwise(F.format_string("%.4e", v))
 
 
 def pin_role(kind: Column, direction: Column) -> Column:

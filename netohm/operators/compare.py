@@ -11,6 +11,7 @@ from netohm.functions import stats
 from netohm.functions import units as U
 from netohm.operators.coupling import regroup
 from netohm.operators.resistance import driver_sink_resistances
+from netohm.sources.shared import kept
 from netohm.sources.spef import SpefLibrary
 
 
@@ -67,8 +68,10 @@ def in_ohm(resistances: DataFrame, libraries: DataFrame) -> DataFrame:
 
 
 def compare(a: SpefLibrary, b: SpefLibrary, method: str = "dijkstra") -> Comparison:
+    """All sections, worked out once as tables in the shared folder."""
     res = [in_ohm(driver_sink_resistances(x.nets, method), x.libraries) for x in (a, b)]
-    return Comparison(compare_caps(a.nets, b.nets), compare_resistances(*res), compare_coupling(a.coupling_caps, b.coupling_caps))
+    parts = {"cap": compare_caps(a.nets, b.nets), "res": compare_resistances(*res), "ccap": compare_coupling(a.coupling_caps, b.coupling_caps)}
+    return Comparison(**{k: kept(df, k) for k, df in parts.items()})
 
 
 def coupling_report(a: SpefLibrary, b: SpefLibrary) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,37 +42,81 @@ def distances(edges, source: str) -> dict[str, float]:
     return best
 
 
+def _factor(g: dict[str, dict[str, float]], ground: dict[str, float]) -> tuple[dict[str, int], list[tuple[float, list[tuple[str, float]]]]]:
+    """Elimination of all nodes, fewest neighbours first: each node's step, and its pivot with the shares that its neighbours take.
+
+    Conductances only add up, so there is no cancellation; a tree fills nothing in.
+    """
+    heap = [(len(x), n) for n, x in g.items()]
+    heapq.heapify(heap)
+    step: dict[str, int] = {}
+    out = []
+    while heap:
+        degree, n = heapq.heappop(heap)
+        if n in step or degree != len(g[n]):
+            continue
+        near = g.pop(n)
+        pivot = ground[n] + sum(near.values())
+        step[n] = len(out)
+        out.append((pivot, [(m, c / pivot) for m, c in near.items()]))
+        listed = list(near.items())
+        for i, (m, c) in enumerate(listed):
+            own = g[m]
+            del own[n]
+            ground[m] += c * ground[n] / pivot
+            for o, d in listed[:i]:
+                own[o] = g[o][m] = own.get(o, 0.0) + c * d / pivot
+        for m, _ in listed:
+            heapq.heappush(heap, (len(g[m]), m))
+    return step, out
+
+
 def equivalent(edges, source: str, sinks: list[str], strict: bool = False) -> dict[str, float]:
-    """Thevenin resistance from source to each sink node: one inverse of the Laplacian grounded at the source, over the source's component.
+    """Thevenin resistance from source to each sink node, from a sparse factor of the Laplacian grounded at the source, over the source's component.
 
     strict: no result at all if the net has nodes outside that component.
     """
     live = [e for e in edges if e["r"] > OPEN and e["n1"] != e["n2"]]
     reach = {source}
-    g = _adjacent(live)
+    around = _adjacent(live)
     stack = [source]
     while stack:
-        for m, _ in g.get(stack.pop(), ()):
+        for m, _ in around.get(stack.pop(), ()):
             if m not in reach:
                 reach.add(m)
                 stack.append(m)
     every = {n for e in edges for n in (e["n1"], e["n2"])}
     if len(reach) < 2 or (strict and every - reach):
         return {}
-    at = {n: i for i, n in enumerate(sorted(reach - {source}))}
-    lap = np.zeros((len(at), len(at)))
+    g: dict[str, dict[str, float]] = {n: {} for n in reach if n != source}
+    ground = dict.fromkeys(g, 0.0)
     for e in live:
-        a, b, c = at.get(e["n1"]), at.get(e["n2"]), 1 / e["r"]
-        if e["n1"] not in reach:
+        a, b, c = e["n1"], e["n2"], 1 / e["r"]
+        if a not in reach:
+            continue
+        if source in (a, b):
+            ground[b if a == source else a] += c
+        else:
+            g[a][b] = g[b][a] = g[a].get(b, 0.0) + c
+    step, factor = _factor(g, ground)
+    out = {}
+    for s in sinks:
+        if s not in step:
             continue
-        for x in (a, b):
-            if x is not None:
-                lap[x, x] += c
-        if a is not None and b is not None:
-            lap[a, b] -= c
-            lap[b, a] -= c
-    own = np.diag(np.linalg.inv(lap))
-    return {s: float(own[at[s]]) for s in sinks if s in at and own[at[s]] > 0}
+        share, todo, total = {s: 1.0}, [(step[s], s)], 0.0
+        while todo:
+            k, n = heapq.heappop(todo)
+            pivot, near = factor[k]
+            x = share.pop(n)
+            total += x * x / pivot
+            for m, part in near:
+                if m not in share:
+                    share[m] = 0.0
+                    heapq.heappush(todo, (step[m], m))
+                share[m] += x * part
+        if total > 0:
+            out[s] = total
+    return out
 
 
 def net_resistances(driver: str, sinks, edges, method: str = "dijkstra", strict: bool = False) -> dict[str, float]:

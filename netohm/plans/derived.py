@@ -103,9 +103,13 @@ def spef_lines(lib: SpefLibrary) -> DataFrame:
     return head.unionByName(names).unionByName(nets_)
 
 
-def write_spef(lib: SpefLibrary, path: str) -> None:
-    """Sorted text; each net lies in one part file. Names are spread by CHUNK, each behind a comment, by which a part file shows that it is header."""
+def write_lines_of(lines: DataFrame, path: str) -> None:
+    """Lines (k1, k2, value) as sorted text; each net lies in one part file. Names (k1 = -1) are spread by CHUNK, each behind a comment, by which a part file shows that it is header."""
     chunk = F.when(F.col("k1") == -1, F.floor(F.col("k2") / CHUNK)).otherwise(F.lit(0)).cast("int")
-    lines = spef_lines(lib).withColumn("chunk", chunk)
+    lines = lines.withColumn("chunk", chunk)
     marks = lines.where("k1 = -1").select("k1", "chunk").distinct().select("k1", F.lit(-1).alias("k2"), F.lit("// names").alias("value"), "chunk")
     lines.unionByName(marks).repartitionByRange("k1", "chunk").sortWithinPartitions("k1", "chunk", "k2").select("value").write.mode("overwrite").text(path)
+
+
+def write_spef(lib: SpefLibrary, path: str) -> None:
+    write_lines_of(spef_lines(lib), path)

@@ -1,10 +1,13 @@
 """Adaptive context-mixing range coder for token ids, run over many blocks at once.
 
 Each block starts with a reset model and carries a checksum. Three orders predict the next id: a table of the id that
-last followed the two ids before (order 2), one of the id that last followed the id before (order 1), and
-adaptive counts of magnitude classes (order 0). An id is coded as one of EVENTS: the order-2 guess holds, the
-order-1 guess holds, or one of 16 classes with the bits below the class's leading one. The event's
-distribution mixes three adaptive count vectors: one for the block, one chosen by how well the order-1
+last followed the two ids before (order 2), one of the id that last followed the id before (order 1), and a ranking of
+the block's frequent ids (order 0). An id is coded as one of EVENTS: the order-2 guess holds, the order-1 guess holds, its rank
+has one of 7 magnitudes, or it is not ranked and has one of 16; the bits below a magnitude's leading one follow. A ranked id
+that is coded by its rank moves to half that rank; one without rank takes a place of the lower half in turn. Ids that a higher
+order has predicted leave the ranking alone.
+
+The event's distribution mixes three adaptive count vectors: one for the block, one chosen by how well the order-1
 guess at this context has done, one by the order-2 guess. Counts add up, so a context weighs more as it learns more;
 the sums that coding reads follow them every REFRESH ids, and after each of the first REFRESH.
 
@@ -19,11 +22,12 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 HEAD = struct.Struct("<4sIII")
-EVENTS, STATES = 18, 4
+RANKS, RANK_CLASSES, STATES = 127, 7, 4
+EVENTS = 2 + RANK_CLASSES + 16
 ROWS = 1 + 2 * STATES
-TABLE1, TABLE2 = 1 << 10, 1 << 12
+TABLE1, TABLE2, PLACES = 1 << 10, 1 << 12, 1 << 11
 GAIN, LIMIT, REFRESH = 24, 1 << 12, 16
 #: While a range is below BOT, 16 bits leave. Ids take two words at most: 14 bits of counts, 15 below the class.
 FULL, BOT = 1 << 48, 1 << 32
@@ -35,6 +39,10 @@ BELOW = np.arange(NONE) + 1 - (1 << CLASS)
 NEXT = np.array([s >> 1 for s in range(STATES)] + [min(s + 1, STATES - 1) for s in range(STATES)], np.uint32) << 16
 
 
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint32) * np.uint32(40503) >> np.uint32(5)) & np.uint32(PLACES - 1)
+
+
 class _Model:
     """State of n blocks; row 0 of a pair is order 1, row 1 order 2."""
 
@@ -49,6 +57,11 @@ class _Model:
         self.counts, self.sums = np.ones((EVENTS, n * ROWS), np.uint16), np.zeros((EVENTS + 1, n * ROWS), np.uint16)
         self.flat_counts, self.flat_sums = self.counts.reshape(-1), self.sums.reshape(-1)
         self.step = 0
+        self.ranked = np.full((n, RANKS + 1), NONE, np.uint16)
+        self.ranked[:, :RANKS] = np.arange(RANKS)
+        self.flat_ranked, self.rank_base = self.ranked.reshape(-1), lane * (RANKS + 1)
+        self.where, self.where_base = np.zeros(n * PLACES, np.uint8), lane * PLACES
+        self.where.reshape(n, PLACES)[:, _hashed(np.arange(RANKS, dtype=np.uint16))] = np.arange(RANKS)
         self._refresh(n)
 
     def _refresh(self, m: int) -> None:
@@ -68,6 +81,24 @@ class _Model:
         self.rows[1:] += self.trusted
         return self.guessed, self.rows
 
+    def rank(self, m: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each id's rank in its block, and whether it has one (that its place in `where` still tells)."""
+        rank = self.where.take(self.where_base[:m] + _hashed(ids))
+        return rank, self.flat_ranked.take(self.rank_base[:m] + rank) == ids
+
+    def rerank(self, ids: np.ndarray, rank: np.ndarray, event: np.ndarray) -> None:
+        """rank counts for ids that were coded by it."""
+        at = np.flatnonzero(event > 1)
+        ids, rank, base, place = ids.take(at), rank.take(at), self.rank_base.take(at), self.where_base.take(at)
+        new = event.take(at) >= 2 + RANK_CLASSES
+        to = np.where(new, RANKS // 2 + self.step % (RANKS - RANKS // 2), rank >> 1)
+        rank = np.where(new, to, rank)
+        other = self.flat_ranked.take(base + to)
+        self.flat_ranked[base + rank] = other
+        self.where[place + _hashed(other)] = rank
+        self.flat_ranked[base + to] = ids
+        self.where[place + _hashed(ids)] = to
+
     def learn(self, m: int, ids: np.ndarray, event: np.ndarray) -> None:
         self.flat_counts[self.rows + event * self.width] += GAIN
         self.slot[self.at] = NEXT.take((self.guessed == ids) * np.uint8(STATES) + self.trusted) | ids
@@ -113,8 +144,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         m = int(live[t])
         x = ids[t, :m]
         (one, two), rows = model.look(m)
-        cls = CLASS.take(x)
-        event = np.where(x == two, 0, np.where(x == one, 1, cls + 2))
+        rank, has = model.rank(m, x)
+        coded = np.where(has, rank, x)
+        cls = CLASS.take(coded)
+        event = np.where(x == two, 0, np.where(x == one, 1, cls + np.where(has, 2, 2 + RANK_CLASSES)))
         plain = event > 1
         at = rows + event * model.width
         total = _mixed(model.sums[-1].take(rows))
@@ -122,13 +155,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         lo, sp = low[:m], span[:m]
         r = (sp / total).astype(np.int64)  # whole numbers below 2**53: exact
         sp[:] = ((top - bottom) * r) >> (cls * plain)
-        lo += bottom * r + BELOW.take(x) * plain * sp
+        lo += bottom * r + BELOW.take(coded) * plain * sp
         act = np.flatnonzero(sp < BOT)
         while len(act):
             emit(act)
             s = sp[act] << 16
             sp[act] = s
             act = act[s < BOT]
+        model.rerank(x, rank, event)
         model.learn(m, x, event)
     for _ in range(3):
         emit(np.arange(n))
@@ -173,12 +207,16 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         event = (a[1:EVENTS] <= value).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
         i, a = event * m + lane[:m], a.reshape(-1)
         bottom, top = a.take(i).astype(np.int64), a.take(i + m).astype(np.int64)
-        cls = np.maximum(event - 2, 0)
+        ranked = event < 2 + RANK_CLASSES
+        cls = np.where(ranked, np.maximum(event - 2, 0), event - 2 - RANK_CLASSES)
         sp[:] = ((top - bottom) * r) >> cls
         co -= bottom * r
         rest = np.minimum((co / sp).astype(np.int64), (1 << cls) - 1)
         co -= rest * sp
-        x = np.where(event == 0, two, np.where(event == 1, one, ((1 << cls) + rest - 1).astype(np.uint16)))
+        coded = (1 << cls) + rest - 1
+        rank = np.where(ranked, coded, 0)
+        x = np.where(ranked, model.flat_ranked.take(model.rank_base[:m] + rank), coded.astype(np.uint16))
+        x = np.where(event == 0, two, np.where(event == 1, one, x))
         ids[t, :m] = x
         act = np.flatnonzero(sp < BOT)
         while len(act):
@@ -187,6 +225,7 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
             at[act] = k + n
             sp[act] = s
             act = act[s < BOT]
+        model.rerank(x, rank, event)
         model.learn(m, x, event)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
     for j, i in enumerate(order):

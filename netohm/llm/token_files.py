@@ -5,7 +5,7 @@ Every block is reset and checksummed, so any row can be read alone. Spark writes
 and recovery of lost tasks; shard and place give the order.
 
 Defined cases: null and empty texts hold the end id only; a doc_id's repeated rows stand side by side; an empty
-table gives an empty file set; a damaged block raises ValueError when read.
+table gives an empty file set; ids from 65535 on raise ValueError when written, and so does a damaged block when read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,10 @@ def _encode(path: str, end_id: int):
         def close():
             nonlocal docs, sizes, buffer
             if docs:
-                rows.append((docs, sizes, np.frombuffer(b"".join(buffer), "<u4").astype(np.uint16)))
+                ids = np.frombuffer(b"".join(buffer), "<u4")
+                if ids.max() >= context_coder.NONE:
+                    raise ValueError(f"ids must be below {context_coder.NONE}")
+                rows.append((docs, sizes, ids.astype(np.uint16)))
                 docs, sizes, buffer = [], [], []
 
         def flush():

@@ -118,7 +118,8 @@ def _sequences(batches):
             w = H.Words(b.column("text"))
             short = (w.hashes() >> np.uint64(32)).astype(np.uint32)
             seq = [short[s:e].tobytes() for s, e in zip(w.first[:-1], w.first[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(seq, pa.binary())], names=["doc_id", "seq"])
+            d1, d2 = (pa.array(H.signed(H.spans(w.hashes(), w.first[:-1], w.first[1:], x)), pa.int64()) for x in H.BASES[1:])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), d1, d2, pa.array(seq, pa.binary())], names=["doc_id", "d1", "d2", "seq"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, k: int, threshold: float) -> float:
@@ -267,12 +268,13 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     copies = written(copies, "copies")  # a table on both sides of the join lets Spark split a hot text
     named = sig.drop("keys").join(copies, ["d1", "d2", "n_words"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     named = written(named, "named")
-    reps = sig.where("n_words > 0").select("doc_id", "keys").join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    least = lambda c: F.min_by(c, F.struct("d1", "d2")).alias(c)  # noqa: E731  one text for a repeated doc_id
+    reps = sig.where("n_words > 0").join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(least("keys"))
     pairs, large = _candidates(reps, small)
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # the same join at every size: ids of candidates grow with the documents
-    seqs = written(docs.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(_sequences, "doc_id long, seq binary").dropDuplicates(["doc_id"]), "sequences")
+    seqs = written(docs.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(_sequences, "doc_id long, d1 long, d2 long, seq binary").groupBy("doc_id").agg(least("seq")), "sequences")
     right = pairs.join(seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("sb")), "b")
     wide = right.join(seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")), "a").select("a", "b", "sa", "sb")
     links = written(wide.mapInArrow(_verify(k, threshold), "a long, b long"), "links")

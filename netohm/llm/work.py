@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-_TABLES: list[str] = []
+_MADE = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,16 +47,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netohm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    made = getattr(_MADE, "tables", None)
+    if made is not None:
+        made.append(path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far. Call it when no lazy result needs them any more."""
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of the tables that this thread writes meanwhile."""
+    before, _MADE.tables = getattr(_MADE, "tables", None), []
+    try:
+        yield _MADE.tables
+    finally:
+        _MADE.tables = before
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of tables that no lazy result needs any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(_TABLES.pop()).getParent()
+    for folder in folders:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(conf).delete(p, True)
 
 

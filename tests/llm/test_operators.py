@@ -131,6 +131,24 @@ def test_large_families_hold_together(spark):
     assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()} == want
 
 
+def test_recall_against_all_pairs(spark):
+    texts = [edited(words(70 + f, 400), 100 * f + i, i) for f in range(6) for i in range(12)]
+    code = {}
+    seqs = [np.array([code.setdefault(x, len(code)) for x in t], np.uint32) for t in texts]
+    pairs = [(i, j) for i in range(len(seqs)) for j in range(i) if order_minhash.aligned(seqs[i], seqs[j], 5, 0.8) >= 0.8]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    cls = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()}
+    assert len(pairs) > 50 and np.mean([cls[i] == cls[j] for i, j in pairs]) >= 0.95
+    assert all(any(cls[i] == cls[j] and i != j for j in range(len(seqs))) for i in cls if cls[i] != i)
+
+
+def test_repeated_ids_in_near_duplicates(spark):
+    a, b = " ".join(words(80, 60)), " ".join(words(81, 60))
+    d = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, b)], "doc_id long, text string").repartition(3)
+    runs = [sorted(map(tuple, order_minhash.near_duplicates(d.repartition(n)).collect())) for n in (1, 4)]
+    assert runs[0] == runs[1] and len(runs[0]) == 5
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (9, 8), (20, 21), (21, 20)], "a long, b long")
     assert {r["doc_id"]: r["class_id"] for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 8: 1, 20: 20, 21: 20}
@@ -209,6 +227,16 @@ def test_coder_round_trip():
         context_coder.decode_blocks([bytes(broken)])
 
 
+def test_coder_learns_the_ids_of_a_block():
+    r = np.random.default_rng(8)
+    share = 1 / np.arange(1, 301)
+    share /= share.sum()
+    block = (r.permutation(50_000)[:300][r.choice(300, 20_000, p=share)]).astype(np.uint16)
+    coded = context_coder.encode_blocks([block])
+    assert 8 * len(coded[0]) / len(block) < 1.25 * -(share * np.log2(share)).sum()
+    assert np.array_equal(context_coder.decode_blocks(coded)[0], block)
+
+
 def ids(t, end):
     enc = tokens.encoder(tokens.default_path())
     return np.append(np.asarray(enc.whole.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(end)).astype("<u4")

@@ -2,9 +2,9 @@
 
 nets: lib_id, pos, net, total_cap, total_cap_pf, driver, sinks, edges (n1, n2, r), raw_ccaps (n1, n2, c)
 
-The header is read line by line. Net blocks are parsed once, each in its own row, on Arrow batches; ids become names by one
-join on the distinct ids of each block, and the result is kept as a table in the shared folder. A file's header must stay
-below 2 GB, as the block reader passes over it as one record; a folder of part files may spread it over several.
+Net blocks are parsed once, each in its own row, on Arrow batches; ids become names there, and the result is kept as a
+table in the shared folder. A file's header is one record and so must stay below 2 GB; a folder of part files may spread
+it over several.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from netohm.functions import text as T
 from netohm.functions import units as U
 from netohm.sources.shared import kept
 
+#: Name maps up to this many names (some 100 bytes each) go to all tasks.
+BROADCAST_NAMES = 300_000
 LIB_KEYS = ("t_unit", "c_unit", "r_unit", "l_unit", "c_scale", "r_scale")
 
 
@@ -69,12 +71,10 @@ def read_blocks(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
     return parts.select(F.lit(lib_id).alias("lib_id"), F.struct("rec.file", "rec.at", "rec.row", "k").alias("pos"), ((F.col("k") == 0) & opens).alias("is_header"), "block")
 
 
-def read_header(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
-    """lib_id, pos, t: tokens of the lines before the first net, in file order by pos."""
-    lines = spark.read.text(path).select(_place().alias("pos"), "value")
-    first = lines.where(F.col("value").rlike(r"^[ \t]*\*D_NET(?=\s|$)")).agg(F.min("pos").alias("first"))
-    lines = lines.join(F.broadcast(first)).where(F.col("first").isNull() | (F.col("pos") < F.col("first")))  # first is one row
-    return lines.select(F.lit(lib_id).alias("lib_id"), "pos", T.split_tokens(T.strip_comment(F.col("value")), 4).alias("t")).where(F.size("t") > 0)
+def read_header(blocks: DataFrame) -> DataFrame:
+    """lib_id, pos, t: tokens of the lines of header blocks, in file order by pos."""
+    lines = blocks.where("is_header").select("lib_id", "pos", F.posexplode(F.split("block", "\n")).alias("ln", "value"))
+    return lines.select("lib_id", F.struct("pos.*", "ln").alias("pos"), T.split_tokens(T.strip_comment(F.col("value")), 4).alias("t")).where(F.size("t") > 0)
 
 
 def parse_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,58 +191,53 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [*(pa.array(c, k) for c, k in zip(cols, kinds)), edges.array(), caps.array()]
 
 
-def _ids(row: tuple) -> list[str]:
-    """Distinct ids of the name map that a block's names begin with."""
-    names = {row[0], row[2], *row[3]}
-    for n1, n2, _ in (*row[4], *row[5]):
-        names.add(n1)
-        names.add(n2)
-    return sorted({n.split(":", 1)[0] for n in names if n.startswith("*")})
+_NAMES = ["net", "total_cap", "driver", "sinks", "edges", "raw_ccaps"]
+POS = "struct<file:string,at:bigint,row:bigint,k:int>"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [parse_block(x) for x in b.column("block").to_pylist()]
-        rows = [r for r in got if r is not None]
-        held = b.filter(pa.array([r is not None for r in got], pa.bool_()))
-        yield pa.RecordBatch.from_arrays([held.column("lib_id"), held.column("pos"), pa.array([_ids(r) for r in rows], pa.list_(pa.string())), *_columns(rows)], names=["lib_id", "pos", "ids", *_NAMES])
+def _named(row: tuple, known: dict[str, str]) -> tuple:
+    """A parsed block with names for ids; escaped brackets lose their mark, but for nets."""
 
+    def whole(n: str, plain: bool = True) -> str:
+        if n[:1] == "*":
+            base, colon, tail = n.partition(":")
+            n = known.get(base, base) + colon + tail
+        return n.replace("\\[", "[").replace("\\]", "]") if plain and "\\" in n else n
 
-_NAMES = ["net", "total_cap", "driver", "sinks", "edges", "raw_ccaps"]
+    net, total, driver, sinks, *wires = row
+    return whole(net, False), total, whole(driver), [whole(s) for s in sinks], *([(whole(a), whole(b), v) for a, b, v in x] for x in wires)
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names for ids; escaped brackets lose their mark, but for nets."""
-    for b in batches:
-        out = []
-        cols = [b.column(c).to_pylist() for c in (*_NAMES, "names")]
-        for net, total, driver, sinks, edges, caps, names in zip(*cols):
-            known = dict(names or ())
+def _parse(names):
+    """names: a broadcast name map, or None where blocks bring their own as the column names."""
 
-            def whole(n: str, plain: bool = True) -> str:
-                if n.startswith("*"):
-                    base, colon, tail = n.partition(":")
-                    n = known.get(base, base) + colon + tail
-                return n.replace("\\[", "[").replace("\\]", "]") if plain and "\\" in n else n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = [names.value] * b.num_rows if names is not None else [dict(m or ()) for m in b.column("names").to_pylist()]
+            got = [parse_block(x) for x in b.column("block").to_pylist()]
+            rows = [_named(r, m) for r, m in zip(got, maps) if r is not None]
+            held = b.filter(pa.array([r is not None for r in got], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([held.column("lib_id"), held.column("pos"), *_columns(rows)], names=["lib_id", "pos", *_NAMES])
 
-            out.append((
-                whole(net, False), total, whole(driver), [whole(s) for s in sinks],
-                [(whole(e["n1"]), whole(e["n2"]), e["r"]) for e in edges], [(whole(e["n1"]), whole(e["n2"]), e["c"]) for e in caps],
-            ))
-        yield pa.RecordBatch.from_arrays([b.column("lib_id"), b.column("pos"), *_columns(out)], names=["lib_id", "pos", *_NAMES])
+    return run
 
 
-POS = "struct<file:string,at:bigint,row:bigint,k:int>"
-
+def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
+    """Nets of net blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order.
 
-def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Nets of net blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order."""
-    rows = blocks.where("not is_header").select("lib_id", "pos", "block").mapInArrow(_parse, f"lib_id string, pos {POS}, ids array<string>, {BLOCK}")
-    rows = kept(rows, "blocks")
-    ids = rows.select("lib_id", "pos", F.explode("ids").alias("id")).join(name_map, ["lib_id", "id"])
-    names = ids.groupBy("lib_id", "pos").agg(F.collect_list(F.struct("id", "name")).alias("pairs")).select("lib_id", "pos", F.map_from_entries("pairs").alias("names"))
-    named = rows.drop("ids").join(names, ["lib_id", "pos"], "left").mapInArrow(_named, f"lib_id string, pos {POS}, {BLOCK}")
-    named = kept(named, "nets")
+    Up to broadcast_names names go to all tasks; more of them meet the blocks in a join on the ids that each block holds.
+    """
+    spark = blocks.sparkSession
+    rows, names = blocks.where("not is_header").select("lib_id", "pos", "block"), None
+    listed = name_map.select("id", "name").limit(broadcast_names + 1).collect() if broadcast_names else []
+    if 0 < len(listed) <= broadcast_names or name_map.isEmpty():
+        names = spark.sparkContext.broadcast({r["id"]: r["name"] for r in listed})
+    else:
+        ids = rows.select("lib_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("block", F.lit(r"(\*\d[^\s:]*)"), F.lit(1)))).alias("id"))
+        net = rows.select("lib_id", "pos", F.regexp_extract("block", r"^[ \t]*(\*[^\s:]+)", 1).alias("id"))
+        met = ids.unionByName(net).distinct().join(name_map, ["lib_id", "id"]).groupBy("lib_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names"))
+        rows = rows.join(met, ["lib_id", "pos"], "left")
+    named = kept(rows.mapInArrow(_parse(names), f"lib_id string, pos {POS}, {BLOCK}"), "nets")
     twice = named.groupBy("lib_id", "net").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     again = named.join(twice, ["lib_id", "net"], "left_semi").groupBy("lib_id", "net").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in _NAMES if c != "net"]))).alias("x"))
     flat = lambda c: F.flatten(F.transform("x", lambda r: r[c])).alias(c)
@@ -250,7 +245,9 @@ def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame) ->
         "lib_id", F.get("x", F.lit(0))["pos"].alias("pos"), "net", F.element_at("x", -1)["total_cap"].alias("total_cap"),
         F.coalesce(F.get(F.filter(F.transform("x", lambda r: r["driver"]), lambda d: d != ""), F.lit(0)), F.lit("")).alias("driver"), flat("sinks"), flat("edges"), flat("raw_ccaps"),
     )
-    nets = named.join(twice, ["lib_id", "net"], "left_anti").select(merged.columns).unionByName(merged)
+    nets = named
+    if not twice.isEmpty():
+        nets = named.join(twice, ["lib_id", "net"], "left_anti").select(merged.columns).unionByName(merged)
     nets = nets.join(F.broadcast(libraries.select("lib_id", "c_unit", "c_scale")), "lib_id")  # a row for each library
     total = U.convert_capacitance(F.col("total_cap") * F.col("c_scale"), F.col("c_unit")).alias("total_cap_pf")
     return nets.select("lib_id", "pos", "net", "total_cap", total, "driver", "sinks", "edges", "raw_ccaps")
@@ -261,12 +258,13 @@ def read_spef(spark: SparkSession, path: str, lib_id: str | None = None) -> Spef
     from netohm.operators.coupling import resolve_coupling
 
     lib_id = lib_id or os.path.splitext(os.path.basename(path))[0]
-    header = kept(read_header(spark, path, lib_id), "header")
-    libraries, name_map = parse_header(header)
+    blocks = read_blocks(spark, path, lib_id)
+    libraries, name_map = parse_header(kept(read_header(blocks), "header"))
+    name_map = kept(name_map, "names")
     one = spark.createDataFrame([(lib_id,)], "lib_id string")  # a file without a header has default units
     defaults = {"t_unit": "NS", "c_unit": "PF", "r_unit": "OHM", "l_unit": "HENRY", "c_scale": 1.0, "r_scale": 1.0}
     libraries = one.join(libraries, "lib_id", "left").select("lib_id", *[F.coalesce(c, F.lit(defaults[c])).alias(c) for c in LIB_KEYS])
-    nets = parse_nets(read_blocks(spark, path, lib_id), name_map, libraries)
+    nets = parse_nets(blocks, name_map, libraries)
     return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map))
 
 

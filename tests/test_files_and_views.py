@@ -45,6 +45,15 @@ def test_header_sections_and_repeated_nets(spark, two):
     assert nets["b"]["sinks"] == ["b:s", "b:t", "b:u"] and [e["r"] for e in nets["b"]["edges"]] == [1.0, 2.0, 3.0, 4.0]
 
 
+def test_names_by_broadcast_and_by_join(spark, two):
+    from netohm.sources.spef import parse_header, parse_nets, read_blocks, read_header
+
+    blocks = read_blocks(spark, two[0], "x")
+    libraries, names = parse_header(read_header(blocks))
+    found = [sorted(map(str, parse_nets(blocks, names, libraries, n).select("net", "driver", "sinks", "edges", "raw_ccaps").collect())) for n in (0, 1, 100)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
 def test_compare_two_files_and_command_line(spark, two, tmp_path, capsys):
     a, b = read_spefs(spark, two)
     c = C.compare(a, b)

@@ -155,6 +155,7 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     binned = near.groupBy("grp", "start", "bin").agg(
         F.count("*").alias("n"), *[F.sum(u).alias(f"s{i}") for i, u in enumerate(VECTOR)], *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}{j}") for i, j in PAIRS]
     )
+    binned = written(binned, "bins")  # else Spark would deal the partial sums of all tasks by group for the window
     whole = W.partitionBy("grp", "start")  # bins of one group: some hundreds at most
     binned = binned.select("*", F.sum("n").over(whole).alias("all"), F.sum("n").over(whole.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     inner = binned.where(F.coalesce("before", F.lit(0)) < SHARE * F.col("all"))

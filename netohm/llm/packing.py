@@ -27,15 +27,17 @@ from netohm.llm.tokens import encoder
 from netohm.llm.work import ship, written
 
 WINDOW, SWEEPS, GROUP = 1024, 30, 20_000
+#: Combinations of three lengths that are tried for each first length; leaving some out costs padding, not rests.
+SPREAD = 6
 
 
-def patterns(window: int) -> list[tuple[int, ...]]:
-    """Combinations of two lengths, and a spread of those of three, that fill a window."""
+def patterns(window: int, spread: int = SPREAD) -> list[tuple[int, ...]]:
+    """Combinations of two lengths, and `spread` of those of three for each first length, that fill a window."""
     two = [(i, window - i) for i in range(1, window // 2 + 1)]
     three = []
     for i in range(1, window // 3 + 1):
         top = (window - i) // 2
-        three += [(i, j, window - i - j) for j in sorted({int(x) for x in np.linspace(i, top, 6)})]
+        three += [(i, j, window - i - j) for j in sorted({int(x) for x in np.linspace(i, top, spread)})]
     return two + three
 
 

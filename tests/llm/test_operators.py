@@ -344,6 +344,26 @@ def test_quality_classifier(spark, docs, none):
     assert quality_classifier.classify(none, labels).count() == 0
 
 
+def test_quality_scores_against_numpy(spark):
+    r = np.random.default_rng(11)
+    texts = [(i, "\n".join(" ".join(words(1000 * i + k, int(r.integers(1, 12)))) + ("!#" * int(r.integers(0, 3)) if i % 2 else "") for k in range(int(r.integers(1, 9))))) for i in range(120)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    rows = {x["doc_id"]: np.array([x[f] for f in quality_classifier.FEATURES]) for x in quality_classifier.statistics(d).collect()}
+    parts = {k: np.array([rows[i] for i in range(90) if i % 2 == k]) for k in (0, 1)}
+    own = {k: np.cov(x.T, bias=True) for k, x in parts.items()}
+    common = sum(len(parts[k]) * own[k] for k in (0, 1)) / 90
+    log = {}
+    for k in (0, 1):
+        c = (1 - quality_classifier.DIAGONAL) * ((1 - quality_classifier.POOLED) * own[k] + quality_classifier.POOLED * common)
+        c += quality_classifier.DIAGONAL * np.diag(np.diag(common)) + quality_classifier.RIDGE * np.eye(len(c))
+        x = np.array([rows[i] for i in range(120)]) - parts[k].mean(0)
+        log[k] = np.log(len(parts[k]) / 90) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", x, np.linalg.inv(c), x)
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -30, 30)))
+    got = {x["doc_id"]: x["score"] for x in quality_classifier.classify(d, labels).collect()}
+    assert np.allclose([got[i] for i in range(120)], want, atol=1e-6)
+
+
 def test_toxicity(spark, docs, none):
     bad = [("badword", "awful1", "awful2", "awful3")[i % 4] for i in range(400)]
     train = [(i, " ".join(words(i, 90) + ([bad[i]] if i % 2 else []) + words(i + 500, 60))) for i in range(400)]

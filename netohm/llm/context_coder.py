@@ -66,7 +66,8 @@ class _Model:
 
     def _refresh(self, m: int) -> None:
         counts, sums = self.counts[:, : m * ROWS], self.sums[:, : m * ROWS]
-        np.cumsum(counts, axis=0, dtype=np.uint16, out=sums[1:])
+        for e in range(EVENTS):  # row by row: much faster than a sum along the first axis
+            np.add(sums[e], counts[e], out=sums[e + 1])
         heavy = np.flatnonzero(sums[-1] > LIMIT)
         if len(heavy):
             counts[:, heavy] = (counts[:, heavy] + 1) >> 1

@@ -13,10 +13,12 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from netohm.functions import text as T
 from netohm.functions import units as U
@@ -24,6 +26,7 @@ from netohm.sources.shared import kept
 
 #: Name maps up to this many names (some 100 bytes each) go to all tasks.
 BROADCAST_NAMES = 300_000
+POS = "struct<file:string,at:bigint,row:bigint,k:int>"
 LIB_KEYS = ("t_unit", "c_unit", "r_unit", "l_unit", "c_scale", "r_scale")
 
 
@@ -71,34 +74,69 @@ def read_blocks(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
     return parts.select(F.lit(lib_id).alias("lib_id"), F.struct("rec.file", "rec.at", "rec.row", "k").alias("pos"), ((F.col("k") == 0) & opens).alias("is_header"), "block")
 
 
+HEADER_ROW = f"lib_id string, pos {POS[:-1]},ln:int>, kind string, open boolean, a string, b string, c string"
+
+
+def _header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of header blocks: name (id, value; open is null for a section that an earlier block has to open), unit, and state (at the end of the block)."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for lib, pos, text in zip(batch.column("lib_id").to_pylist(), batch.column("pos").to_pylist(), batch.column("block").to_pylist()):
+            state, seen = None, set()
+
+            def add(ln, *row):
+                for column, x in zip(out, (lib, pos, ln, *row)):
+                    column.append(x)
+
+            for ln, line in enumerate(text.split("\n")):
+                t = _tokens(line)[:4]
+                if not t:
+                    continue
+                if len(t) >= 2 and _ENTRY.match(t[0]):
+                    if state is not False and (state, t[0]) not in seen:
+                        seen.add((state, t[0]))
+                        value = t[1][1:-1] if len(t[1]) >= 2 and t[1][0] == t[1][-1] == '"' else t[1]
+                        add(ln, "name", state, t[0], value.replace("\\[", "[").replace("\\]", "]"), None)
+                    continue
+                state = t[0] == "*NAME_MAP"
+                if len(t) >= 3 and t[0].endswith("_UNIT"):
+                    add(ln, "unit", None, t[0], t[1], t[2])
+            add(0, "state", state, None, None, None)
+        places = pa.array([{**p, "ln": n} for p, n in zip(out[1], out[2])], pa.struct([("file", pa.string()), ("at", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), ("ln", pa.int32())]))
+        flat = [pa.array(out[0], pa.string()), places, pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_()), *(pa.array(c, pa.string()) for c in out[5:])]
+        yield pa.RecordBatch.from_arrays(flat, names=["lib_id", "pos", "kind", "open", "a", "b", "c"])
+
+
+_ENTRY = re.compile(r"\*\d")
+
+
 def read_header(blocks: DataFrame) -> DataFrame:
-    """lib_id, pos, t: tokens of the lines of header blocks, in file order by pos."""
-    lines = blocks.where("is_header").select("lib_id", "pos", F.posexplode(F.split("block", "\n")).alias("ln", "value"))
-    return lines.select("lib_id", F.struct("pos.*", "ln").alias("pos"), T.split_tokens(T.strip_comment(F.col("value")), 4).alias("t")).where(F.size("t") > 0)
-
-
-def parse_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(libraries, name_map) of header lines. Every *NAME_MAP section counts up to its first line that is no entry; of equal ids the first."""
-    key = F.get("t", F.lit(0))
-    entry = (F.size("t") >= 2) & key.rlike(r"^\*\d")
-    value = T.unescape(T.strip_quotes(F.get("t", F.lit(1))))
-    # rows of section bounds: as many as *NAME_MAP lines
-    starts = lines.where(key == "*NAME_MAP").groupBy("lib_id").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
-    marked = lines.join(F.broadcast(starts), "lib_id").withColumn("from", F.try_element_at(F.filter("starts", lambda s: s < F.col("pos")), F.lit(-1))).where("`from` is not null")
-    ends = marked.where(~entry & (key != "*NAME_MAP")).groupBy("lib_id", "from").agg(F.min("pos").alias("to"))
-    held = marked.where(entry).join(F.broadcast(ends), ["lib_id", "from"], "left").where(F.col("to").isNull() | (F.col("pos") < F.col("to")))
-    name_map = held.groupBy("lib_id", key.alias("id")).agg(F.min_by(value, "pos").alias("name"))
-
-    def last(name: str, at: int, default: str) -> Column:
-        hit = (key == name) & (F.size("t") >= 3)
-        return F.coalesce(F.max_by(F.when(hit, F.get("t", F.lit(at))), F.when(hit, F.col("pos"))), F.lit(default))
+    """Rows of the header blocks, as _header gives them."""
+    return blocks.where("is_header").select("lib_id", "pos", "block").mapInArrow(_header, HEADER_ROW)
+
+
+def parse_header(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(libraries, name_map) of header rows. Every *NAME_MAP section counts up to its first line that is no entry; of equal ids the first."""
+    block = F.struct("pos.file", "pos.at", "pos.row", "pos.k").alias("block")
+    before = W.partitionBy("lib_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each header block
+    states = rows.where("kind = 'state'").select("lib_id", block, F.col("open").alias("own"))
+    states = states.select("lib_id", "block", F.last("own", True).over(before).alias("inherited"))
+    names = rows.where("kind = 'name'").select("lib_id", "pos", block, "open", F.col("a").alias("id"), F.col("b").alias("name"))
+    names = names.join(F.broadcast(states), ["lib_id", "block"]).where(F.coalesce("open", "inherited"))
+    name_map = names.groupBy("lib_id", "id").agg(F.min_by("name", "pos").alias("name"))
+    if rows.where("kind = 'name'").select(block, "open").distinct().limit(2).count() < 2:  # ids of one block and state differ
+        name_map = names.select("lib_id", "id", "name")
+
+    def last(name: str, column: str, default: str) -> Column:
+        hit = F.col("a") == name
+        return F.coalesce(F.max_by(F.when(hit, F.col(column)), F.when(hit, F.col("pos"))), F.lit(default))
 
     def scale(name: str) -> Column:
-        v = T.parse_number(last(name, 1, "1"))
+        v = T.parse_number(last(name, "b", "1"))
         return F.when(v == 0, F.lit(1.0)).otherwise(v)
 
-    libraries = lines.groupBy("lib_id").agg(
-        last("*T_UNIT", 2, "NS").alias("t_unit"), last("*C_UNIT", 2, "PF").alias("c_unit"), last("*R_UNIT", 2, "OHM").alias("r_unit"), last("*L_UNIT", 2, "HENRY").alias("l_unit"),
+    libraries = rows.where("kind <> 'name'").groupBy("lib_id").agg(
+        last("*T_UNIT", "c", "NS").alias("t_unit"), last("*C_UNIT", "c", "PF").alias("c_unit"), last("*R_UNIT", "c", "OHM").alias("r_unit"), last("*L_UNIT", "c", "HENRY").alias("l_unit"),
         scale("*C_UNIT").alias("c_scale"), scale("*R_UNIT").alias("r_scale"),
     )
     return libraries, name_map
@@ -134,20 +172,11 @@ def _tokens(line: str) -> list[str]:
     return line.split() if line.isascii() else [x for x in re.split(r"[ \t\r]+", line) if x]
 
 
-class _Pairs:
-    """Lists of (n1, n2, value) of many nets, as flat columns."""
-
-    def __init__(self, value: str):
-        self.value, self.ends, self.columns = value, [0], ([], [], [])
-
-    def add(self, rows: list[tuple[str, str, float]]) -> None:
-        for column, x in zip(self.columns, zip(*rows)):
-            column.extend(x)
-        self.ends.append(len(self.columns[0]))
-
-    def array(self) -> pa.Array:
-        flat = pa.StructArray.from_arrays([pa.array(self.columns[0], pa.string()), pa.array(self.columns[1], pa.string()), pa.array(self.columns[2], pa.float64())], names=["n1", "n2", self.value])
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat)
+def _pairs(lists: list[list[tuple[str, str, float]]], value: str) -> pa.Array:
+    """Lists of (n1, n2, value) as an Arrow column."""
+    n1, n2, v = zip(*chain.from_iterable(lists)) if any(lists) else ((), (), ())
+    flat = pa.StructArray.from_arrays([pa.array(n1, pa.string()), pa.array(n2, pa.string()), pa.array(v, pa.float64())], names=["n1", "n2", value])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), flat)
 
 
 def parse_block(text: str) -> tuple[str, float, str, list[str], list, list] | None:
@@ -182,17 +211,13 @@ BLOCK = "net string, total_cap double, driver string, sinks array<string>, edges
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
     """Arrow columns of BLOCK."""
-    edges, caps = _Pairs("r"), _Pairs("c")
-    for r in rows:
-        edges.add(r[4])
-        caps.add(r[5])
-    cols = [*zip(*(r[:4] for r in rows))] if rows else [[], [], [], []]
-    kinds = (pa.string(), pa.float64(), pa.string(), pa.list_(pa.string()))
-    return [*(pa.array(c, k) for c, k in zip(cols, kinds)), edges.array(), caps.array()]
+    net, total, driver, sinks, edges, caps = zip(*rows) if rows else ((),) * 6
+    flat = pa.array(list(chain.from_iterable(sinks)), pa.string())
+    sinks = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, sinks))], pa.int32()), flat)
+    return [pa.array(net, pa.string()), pa.array(total, pa.float64()), pa.array(driver, pa.string()), sinks, _pairs(edges, "r"), _pairs(caps, "c")]
 
 
 _NAMES = ["net", "total_cap", "driver", "sinks", "edges", "raw_ccaps"]
-POS = "struct<file:string,at:bigint,row:bigint,k:int>"
 
 
 def _named(row: tuple, known: dict[str, str]) -> tuple:
@@ -229,9 +254,9 @@ def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame, bro
     """
     spark = blocks.sparkSession
     rows, names = blocks.where("not is_header").select("lib_id", "pos", "block"), None
-    listed = name_map.select("id", "name").limit(broadcast_names + 1).collect() if broadcast_names else []
-    if 0 < len(listed) <= broadcast_names or name_map.isEmpty():
-        names = spark.sparkContext.broadcast({r["id"]: r["name"] for r in listed})
+    if name_map.count() <= broadcast_names:
+        listed = name_map.select("id", "name").toArrow()
+        names = spark.sparkContext.broadcast(dict(zip(listed.column("id").to_pylist(), listed.column("name").to_pylist())))
     else:
         ids = rows.select("lib_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("block", F.lit(r"(\*\d[^\s:]*)"), F.lit(1)))).alias("id"))
         net = rows.select("lib_id", "pos", F.regexp_extract("block", r"^[ \t]*(\*[^\s:]+)", 1).alias("id"))

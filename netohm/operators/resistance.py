@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netohm.sources.shared import ship
+
 OPEN = 1e-15
 
 
@@ -149,6 +151,7 @@ def driver_sink_resistances(nets: DataFrame, method: str = "dijkstra", strict: b
                 rows += [(lib, net, driver, s, r) for s, r in net_resistances(driver, sinks, edges, method, strict).items()]
             yield pd.DataFrame(rows, columns=["lib_id", "net", "driver", "sink", "r"])
 
+    ship(nets.sparkSession)
     return nets.select("lib_id", "net", "driver", "sinks", "edges").mapInPandas(run, "lib_id string, net string, driver string, sink string, r double")
 
 

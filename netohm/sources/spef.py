@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from netohm.functions import text as T
 from netohm.functions import units as U
-from netohm.sources.shared import kept
+from netohm.sources.shared import kept, ship
 
 #: Name maps up to this many names (some 100 bytes each) go to all tasks.
 BROADCAST_NAMES = 300_000
@@ -67,6 +67,7 @@ def _place() -> Column:
 
 def read_blocks(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
     """lib_id, pos, is_header, block: the header and the text of each net after *D_NET, in file order by pos."""
+    ship(spark)
     raw = spark.read.option("lineSep", "\n*D_NET ").text(path).select("value", _place().alias("rec"))
     cut = F.split(F.regexp_replace("value", r"(?m)^[ \t]*\*D_NET(?=[ \t])", "\u0001"), "\u0001")
     parts = raw.select("rec", "value", F.posexplode(cut).alias("k", "block"))

@@ -43,6 +43,8 @@ FLOORS = (0.25, 0.12, 0.18, 0.16)
 CUT = 23.51
 #: Rows that the estimate of a language weighs against a group's own, and distance bins in each power of two.
 PRIOR, BINS = 200, 64
+#: Estimates of up to this many groups and starts are broadcast (some 200 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -151,7 +153,10 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """grp, start, n (rows of the group), M and C of the share of rows nearest by params, for every group and start."""
-    near = rows.join(params.select("grp", "start", *M, *_cholesky()), "grp").select("grp", "start", *VECTOR, F.floor(F.log2(_distance() + 1e-6) * BINS).alias("bin"))
+    factors = params.select("grp", "start", *M, *_cholesky())
+    if params.count() <= BROADCAST_ROWS:  # else rows would be dealt by group
+        factors = F.broadcast(factors)
+    near = rows.join(factors, "grp").select("grp", "start", *VECTOR, F.floor(F.log2(_distance() + 1e-6) * BINS).alias("bin"))
     binned = near.groupBy("grp", "start", "bin").agg(
         F.count("*").alias("n"), *[F.sum(u).alias(f"s{i}") for i, u in enumerate(VECTOR)], *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}{j}") for i, j in PAIRS]
     )

@@ -14,11 +14,14 @@ from netohm.llm import (
     packing,
     quality_classifier,
     robust_outliers,
+    spelling,
     substring_dedup,
+    token_counts,
     token_files,
     tokens,
     toxicity,
     warc,
+    whitening,
 )
 from netohm.llm.work import shared_dir, table
 
@@ -76,11 +79,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_rest(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damaged=31)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokens.default_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_robust_outliers, op2_toxicity, op3_token_files, op4_substring_dedup, op5_decontamination,
         op6_warc_derivatives, op7_line_dedup, op8_packing, op9_order_minhash, op10_quality_classifier,
+        op11_whitening, op12_spelling_variants, op13_token_counts,
     )
 }
 

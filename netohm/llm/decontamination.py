@@ -20,7 +20,7 @@ neighbouring plain words with most letters, and every two neighbouring words of
 `broadcast_rows` anchors are broadcast and documents are read once; with more of them word pairs shuffle to the anchors,
 and documents that met some are read again.
 
-Defined cases: null and empty texts match nothing; repeated rows of a doc_id count as one document; repeated items match each
+Defined cases: null and empty texts match nothing; equal rows count once, and other texts of the same doc_id each for itself; repeated items match each
 under their own item_id; an empty benchmark or table gives no rows; extra columns are ignored.
 """
 
@@ -118,7 +118,7 @@ def _anchors(known: DataFrame) -> DataFrame:
 
 
 def _met(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
-    """doc_id, at (from 1), own (the tokens) and h of windows of documents around an anchor of the benchmark's."""
+    """doc_id, t (the text's hash), at (from 1), own (the tokens) and h of windows of documents around an anchor of the benchmark's."""
     anchors = _anchors(known)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), tokens(F.col("text")).alias("tokens"))
     # after the explode Spark compiles the rest; inside a transform it would interpret it
@@ -129,32 +129,35 @@ def _met(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     start = F.col("i") - F.col("p") + 1
     own = F.slice("tokens", F.col("at"), F.col("size")).alias("own")
     if small:
-        rows = rows.join(F.broadcast(anchors), "key").where((start >= 1) & (start + F.col("size") <= F.size("tokens") + 1)).select("doc_id", "tokens", start.alias("at"), "size").select("doc_id", "at", own)
+        rows = rows.join(F.broadcast(anchors), "key").where((start >= 1) & (start + F.col("size") <= F.size("tokens") + 1)).select("doc_id", "t", "tokens", start.alias("at"), "size").select("doc_id", "t", "at", own)
     else:
         rows = rows.select("doc_id", "t", "i", F.size("tokens").alias("n"), "key").join(anchors, "key").where((start >= 1) & (start + F.col("size") <= F.col("n") + 1))
         rows = written(rows.select("doc_id", "t", start.alias("at"), "size").distinct(), "places").groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "size")).alias("w"))
-        rows = texts.join(rows, ["doc_id", "t"]).select("doc_id", "tokens", F.inline("w")).select("doc_id", "at", own)
-    return rows.select("doc_id", "at", "own", F.explode(F.array_distinct(F.array(*[_hash(F.col("own"), k) for k in CODES]))).alias("h"))
+        rows = texts.join(rows, ["doc_id", "t"]).select("doc_id", "t", "tokens", F.inline("w")).select("doc_id", "t", "at", own)
+    return rows.select("doc_id", "t", "at", "own", F.explode(F.array_distinct(F.array(*[_hash(F.col("own"), k) for k in CODES]))).alias("h"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots) for every document and item that share template windows with fitting slots.
 
-    n_windows counts places of the document, n_slots pairs of values, over the occurrences that fit.
+    n_windows counts places of the document, n_slots pairs of values, over the occurrences that fit; texts of a repeated doc_id are
+    held against an item each for itself, and their numbers add up.
     """
     known = written(_known(benchmark, window, least), "templates")
     small = known.count() <= broadcast_rows
     hashes = known.select("h").distinct()
     met = _met(docs, known, small).join(F.broadcast(hashes) if small else hashes, "h", "left_semi")
     pairs = written(met.distinct(), "met").join(known.withColumnRenamed("at", "its"), "h")
-    plain = pairs.where(F.size("slots") == 0).groupBy("doc_id", "item_id").agg(F.collect_set("at").alias("places"))
+    text = ["doc_id", "t", "item_id"]
+    plain = pairs.where(F.size("slots") == 0).groupBy(*text).agg(F.collect_set("at").alias("places"))
     slots = F.transform("slots", lambda x: F.struct(x["v"].alias("theirs"), F.concat(F.substring(x["v"], 1, 2), _bare(F.get("own", x["k"]))).alias("ours")))
-    held = pairs.where(F.size("slots") > 0).select("doc_id", "item_id", "kind", (F.col("at") - F.col("its")).alias("off"), "at", F.explode(slots).alias("s"))
-    fits = held.groupBy("doc_id", "item_id", "kind", "off").agg(F.collect_set("s").alias("s"), F.collect_set("at").alias("places"))
+    held = pairs.where(F.size("slots") > 0).select(*text, "kind", (F.col("at") - F.col("its")).alias("off"), "at", F.explode(slots).alias("s"))
+    fits = held.groupBy(*text, "kind", "off").agg(F.collect_set("s").alias("s"), F.collect_set("at").alias("places"))
     fits = fits.where((F.size("s") == F.size(F.array_distinct("s.theirs"))) & (F.size("s") == F.size(F.array_distinct("s.ours"))))
-    both = plain.select("doc_id", "item_id", "places", F.lit(None).cast(fits.schema["s"].dataType).alias("s")).unionByName(fits.select("doc_id", "item_id", "places", "s"))
+    both = plain.select(*text, "places", F.lit(None).cast(fits.schema["s"].dataType).alias("s")).unionByName(fits.select(*text, "places", "s"))
     number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    return both.groupBy("doc_id", "item_id").agg(number("places").alias("n_windows"), number("s").alias("n_slots"))
+    each = both.groupBy(*text).agg(number("places").alias("n_windows"), number("s").alias("n_slots"))
+    return each.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.sum("n_slots").alias("n_slots"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

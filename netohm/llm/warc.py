@@ -127,7 +127,7 @@ def _head(part: bytes) -> dict[bytes, bytes] | None:
 
 
 def _joined(batches):
-    """Records of parts in file order: parts follow the first until Content-Length is reached, whatever they hold."""
+    """Records of parts in file order: a record starts where the one before it has ended, and takes parts until Content-Length is reached, whatever they hold."""
     file, open_, held, need = None, None, [], 0
 
     def record():
@@ -146,7 +146,7 @@ def _joined(batches):
                 file, open_ = name, None
             if open_ is None:
                 open_ = _head(part)
-                if open_ is None:  # before the first head of a split
+                if open_ is None:  # between records, or text that is no WARC
                     continue
                 held, need = [part], part.find(b"\r\n\r\n") + 4 + int(open_[b"content-length"]) - len(part)
             else:
@@ -164,9 +164,16 @@ READ = pa.schema([(c, pa.int64() if c == "content_length" else pa.string()) for
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC text files, plain or gzipped, cut by Content-Length: text that looks like a record's head stays in its block.
 
-    Parts between marks come in file order from one task for each gzipped file. Where Spark splits a plain file, a split's first part
-    is taken for a record if it has a type and a length. A record that the file cuts short is left out.
+    One task takes a file's parts between marks in their order, as only the lengths from its start on tell where records begin. A gzipped
+    file is read by one task; the parts of plain ones, which Spark reads in splits, are dealt by file first. A record that the file cuts short is left out.
     """
     ship(spark)
-    parts = spark.read.option("lineSep", MARK.decode()).text(path).select(F.concat(F.col("_metadata.file_path"), F.lit("@"), F.col("_metadata.file_block_start").cast("string")).alias("file"), F.col("value").cast("binary").alias("value"))
-    return parts.mapInArrow(_joined, ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in RECORD))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")
+    raw = spark.read.option("lineSep", MARK.decode()).text(path)
+    packed = F.col("_metadata.file_name").endswith(".gz")
+    file, value = F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")
+    schema = ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in RECORD)
+    whole = raw.where(packed).select(file, value)
+    cut = raw.where(~packed).select(file, F.col("_metadata.file_block_start").alias("start"), row, value)
+    ordered = cut.repartition("file").sortWithinPartitions("file", "start", "row").select("file", "value")
+    return whole.mapInArrow(_joined, schema).unionByName(ordered.mapInArrow(_joined, schema))

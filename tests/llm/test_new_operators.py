@@ -186,3 +186,113 @@ def test_token_counts_refuse_other_files(spark):
 
     with pytest.raises(ValueError, match="byte-level"):
         token_counts.count_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("x", F.lit(1)), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --- 5 and 6 ---
+
+
+def decontamination_tokens(text):
+    import regex
+
+    from netohm.llm.decontamination import UNITS
+
+    t = re.sub(r"(\d)[.,](?=\d)", r"\1", text or "")
+    t = regex.sub(rf"(\d) ?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", r"\1 0U\2", t)
+    t = regex.sub(r" (?<=[\p{Ll}\d,;] )(?=\p{Lu}\p{Ll})", " 0P", t)
+    t = regex.sub(r"(?=\p{Lu})(?<![\p{L}\p{N}])", "0Q", t)
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
+
+
+def leaks_by_brute_force(docs, items, window, least):
+    """All windows of all texts against all windows of all items."""
+    from netohm.llm.decontamination import MARKS, NUMBERS
+
+    marked = lambda w: w[:2] in MARKS and len(w) > 2
+    bare = lambda w: w[2:] if marked(w) else w
+
+    def slot(w, names):
+        if bare(w) in NUMBERS:
+            return "n"
+        if marked(w):
+            return ("p" if names else None) if w[:2] == "0q" else w[1]
+        return "n" if w[0] <= "9" else None
+
+    def code(own, kind):
+        if kind == "exact":
+            return tuple(map(bare, own))
+        return tuple(slot(w, kind == "name") or ":" + bare(w) for w in own)
+
+    out = {}
+    for doc, text in {(d, t) for d, t in docs if t}:
+        words = decontamination_tokens(text)
+        for item, its in items:
+            q = decontamination_tokens(its)
+            size = min(len(q), window)
+            places, met = set(), {}
+            for a in range(len(q) - size + 1 if size else 0):
+                own = q[a : a + size]
+                sure, every = (sum(slot(w, n) is not None for w in own) for n in (False, True))
+                kinds = [k for k, ok in (("word", len(q) >= least and 2 * sure <= size), ("name", len(q) >= least and 2 * every <= size), ("exact", len(q) < least or 2 * every > size)) if ok]
+                for b in range(len(words) - size + 1):
+                    ours = words[b : b + size]
+                    for kind in kinds:
+                        if code(own, kind) != code(ours, kind):
+                            continue
+                        pairs = {(slot(x, kind == "name") + ":" + bare(x), slot(x, kind == "name") + ":" + bare(y)) for x, y in zip(own, ours) if kind != "exact" and slot(x, kind == "name")}
+                        if pairs:
+                            held = met.setdefault((kind, b - a), (set(), set()))
+                            held[0].update(pairs)
+                            held[1].add(b)
+                        else:
+                            places.add(b)
+            values = set()
+            for pairs, at in met.values():
+                if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                    places |= at
+                    values |= pairs
+            if places:
+                n, m = out.get((doc, item), (0, 0))
+                out[doc, item] = n + len(places), m + len(values)
+    return out
+
+
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_decontamination_against_all_windows(spark, rows):
+    from netohm.llm import decontamination
+
+    r = np.random.default_rng(11)
+    some = ["apples", "buys", "red", "then", "walks", "shop", "12", "7", "7", "3,5", "4 km", "two", "Anna", "Ben", "So", "Anna", "km", "x.", "Well,"]
+    text = lambda n: " ".join(r.choice(some, n))
+    items = [(i, text(int(r.integers(1, 12)))) for i in range(12)] + [(20, None), (21, ""), (0, "apples buys red then walks 7 shop")]
+    docs = [(i, text(int(r.integers(0, 60)))) for i in range(60)]
+    docs += [(70 + i, f"{text(3)} {x} {text(3)}") for i, (_, x) in enumerate(items) if x] + [(5, items[1][1]), (5, (items[1][1] or "").replace("7", "9")), (90, None), (3, docs[3][1])]
+    # a text of a doc_id with the item, and another with other figures at the same place
+    q = "the shop sells 12 apples and then 5 pears"
+    items.append((30, q))
+    docs += [(95, q), (95, q.replace("12", "40").replace("5", "6"))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["n_windows"], x["n_slots"]) for x in decontamination.leaks(d, b, 5, 3, rows).collect()}
+    # items of one id count together, as their windows do
+    assert {k: v for k, v in got.items() if k[1] != 0} == leaks_by_brute_force(docs, [x for x in items if x[0] != 0], 5, 3)
+    assert {k for k in got if k[1] == 0} == {k for x in items if x[0] == 0 for k in leaks_by_brute_force(docs, [x], 5, 3)}
+    assert (95, 30) in got and len(got) > 30
+
+
+def test_warc_files_in_splits(spark, tmp_path):
+    from netohm.llm import warc
+
+    quoted = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(f"<id:{i}>", f"{'x' * (i * 7)}{quoted * (i % 4)}{'y' * 50}") for i in range(40)]
+    raw = [(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n").encode() for i, b in rows]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(b"".join(raw[:25]))
+    (tmp_path / "w/b.warc").write_bytes(b"".join(raw[25:]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("300", "1000", "7000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            assert sorted((r["record_id"], r["block"]) for r in warc.read_records(spark, str(tmp_path / "w")).collect()) == sorted(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

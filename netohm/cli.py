@@ -38,12 +38,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.error("a SPEF file and --output are needed")
         if a.backmark:
             read = lambda f, path: f(spark, path) if path else None
-            lines = rewrite.backmark(
+            blocks, in_order = rewrite.backmark_blocks(
                 spark, paths[0], read(datafiles.read_cap_targets, a.net_cap_data), read(datafiles.read_res_targets, a.net_res_data), read(datafiles.read_ccap_targets, a.net_ccap_data), a.res_method
-            )
+            ), False
         else:
-            lines = rewrite.shuffle_ids(spark, paths[0], a.seed)
-        rewrite.write_lines(lines, a.output)
+            blocks, in_order = rewrite.shuffle_blocks(spark, paths[0], a.seed)
+        rewrite.write_blocks(blocks, a.output, in_order)
         return 0
     if len(paths) >= 2:
         one, two = read_spefs(spark, paths[:2])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from netohm.sources.shared import kept
 from netohm.sources.spef import SpefLibrary
 
 
@@ -75,7 +76,7 @@ def library(spark: SparkSession, sf_dir: str, second: bool = False, star: bool =
     )
     one = spark.range(1).select(F.lit(lib).alias("lib_id"), F.lit("NS").alias("t_unit"), F.lit("PF").alias("c_unit"), F.lit("OHM").alias("r_unit"), F.lit("HENRY").alias("l_unit"), F.lit(1.0).alias("c_scale"), F.lit(1.0).alias("r_scale"))
     names = full.select("lib_id", F.concat(F.lit("*"), F.col("pos").cast("string")).alias("id"), F.col("net").alias("name"))
-    return SpefLibrary(one, names, full, resolve_coupling(full, one))
+    return SpefLibrary(one, names, full, resolve_coupling(full, one, colons=False))  # nets are named net_<key>
 
 
 #: Name map lines that stay together.
@@ -84,7 +85,7 @@ HEADER = "\n".join(['*SPEF "IEEE 1481-1999"', '*DESIGN "derived"', "*T_UNIT 1.00
 
 
 def spef_lines(lib: SpefLibrary) -> DataFrame:
-    """The library as lines of SPEF text (k1, k2, value), in order of k1 and k2."""
+    """The library as SPEF text (k1, k2, value), in order of k1 and k2: header lines, names, and a row of several lines for each net."""
     short = lambda x: F.regexp_replace(x, "^net_", "*")
     text = lambda v: v.cast("string")
     head = lib.libraries.sparkSession.range(1).select(F.lit(-2).cast("long").alias("k1"), F.posexplode(F.split(F.lit(HEADER), "\n")).alias("k2", "value"))
@@ -99,16 +100,15 @@ def spef_lines(lib: SpefLibrary) -> DataFrame:
         F.transform("edges", lambda e, i: F.concat_ws(" ", (i + 1).cast("string"), short(e["n1"]), short(e["n2"]), text(e["r"]))),
         F.array(F.lit("*END")),
     )
-    nets_ = lib.nets.select(F.col("pos").alias("k1"), F.posexplode(body).alias("k2", "value"))
+    nets_ = lib.nets.select(F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.array_join(body, "\n").alias("value"))
     return head.unionByName(names).unionByName(nets_)
 
 
 def write_lines_of(lines: DataFrame, path: str) -> None:
-    """Lines (k1, k2, value) as sorted text; each net lies in one part file. Names (k1 = -1) are spread by CHUNK, each behind a comment, by which a part file shows that it is header."""
+    """Text (k1, k2, value) in order; each net lies in one part file. Names (k1 = -1) are spread by CHUNK."""
     chunk = F.when(F.col("k1") == -1, F.floor(F.col("k2") / CHUNK)).otherwise(F.lit(0)).cast("int")
-    lines = lines.withColumn("chunk", chunk)
-    marks = lines.where("k1 = -1").select("k1", "chunk").distinct().select("k1", F.lit(-1).alias("k2"), F.lit("// names").alias("value"), "chunk")
-    lines.unionByName(marks).repartitionByRange("k1", "chunk").sortWithinPartitions("k1", "chunk", "k2").select("value").write.mode("overwrite").text(path)
+    lines = kept(lines.withColumn("chunk", chunk), "text")  # else it would be worked out once more for the ranges
+    lines.repartitionByRange("k1", "chunk").sortWithinPartitions("k1", "chunk", "k2").select("value").write.mode("overwrite").text(path)
 
 
 def write_spef(lib: SpefLibrary, path: str) -> None:

@@ -15,7 +15,7 @@ def _uniform(seed: int, *of: Column | int, low: float, high: float) -> Column:
 
 
 def generated_lines(spark: SparkSession, nets: int, seed: int = 42, connected: bool = True) -> DataFrame:
-    """k1, k2, value: lines of a file in order. connected = False leaves the driver outside the resistors."""
+    """k1, k2, value: text of a file in order, a row of several lines for each net. connected = False leaves the driver outside the resistors."""
     i = F.col("id")
     n_sinks = F.pmod(F.xxhash64(F.lit(seed), F.lit("sinks"), i), F.lit(4)) + 1
     total = _uniform(seed, F.lit("total"), i, low=0.01, high=1.0)
@@ -37,7 +37,7 @@ def generated_lines(spark: SparkSession, nets: int, seed: int = 42, connected: b
     rows = spark.range(1, nets + 1)
     head = spark.range(1).select(F.lit(-2).cast("long").alias("k1"), F.posexplode(F.split(F.lit(HEADER), "\n")).alias("k2", "value"))
     names = rows.select(F.lit(-1).cast("long").alias("k1"), i.cast("int").alias("k2"), F.concat(F.lit("*"), text(i), F.lit(" net_"), text(i)).alias("value"))
-    return head.unionByName(names).unionByName(rows.select(i.alias("k1"), F.posexplode(body).alias("k2", "value")))
+    return head.unionByName(names).unionByName(rows.select(i.alias("k1"), F.lit(0).alias("k2"), F.array_join(body, "\n").alias("value")))
 
 
 def write_generated(spark: SparkSession, path: str, nets: int, seed: int = 42, connected: bool = True) -> None:

@@ -158,27 +158,30 @@ def nearest_point(s, d):
     return C.nearest_point(cap_rows(s, d), "c1", "c2", (0.15, 0.15), ["net"]).select("net", MILLI("c1").alias("c1"), MILLI("c2").alias("c2"))
 
 
-def _parsed(s, d, star=False):
-    lib = D.library(s, d, star=star)
+def _file(s, d, star=False):
     path = scratch(s, "spef")
-    D.write_spef(lib, path)
-    return path, read_spef(s, path, "lib1")
+    D.write_spef(D.library(s, d, star=star), path)
+    return path
+
+
+def _parsed(s, d):
+    return read_spef(s, _file(s, d), "lib1")
 
 
 def spef_roundtrip_nets(s, d):
-    return _parsed(s, d)[1].nets.select("net", MILLI("total_cap_pf").alias("total_cap_pf"), "driver", F.size("sinks").cast("long").alias("fanout"))
+    return _parsed(s, d).nets.select("net", MILLI("total_cap_pf").alias("total_cap_pf"), "driver", F.size("sinks").cast("long").alias("fanout"))
 
 
 def spef_roundtrip_pins(s, d):
-    return _parsed(s, d)[1].nets.select("net", F.posexplode("sinks").alias("k", "sink")).select("net", F.col("k").cast("long").alias("k"), "sink")
+    return _parsed(s, d).nets.select("net", F.posexplode("sinks").alias("k", "sink")).select("net", F.col("k").cast("long").alias("k"), "sink")
 
 
 def spef_roundtrip_edges(s, d):
-    return _parsed(s, d)[1].nets.select("net", F.explode("edges").alias("e")).groupBy("net").agg(F.count("*").alias("n"), MILLI_OF(F.sum("e.r")).alias("r"))
+    return _parsed(s, d).nets.select("net", F.explode("edges").alias("e")).groupBy("net").agg(F.count("*").alias("n"), MILLI_OF(F.sum("e.r")).alias("r"))
 
 
 def spef_roundtrip_ccaps(s, d):
-    return _parsed(s, d)[1].coupling_caps.select("net1", "net2", MILLI("cap_pf").alias("cap_pf"))
+    return _parsed(s, d).coupling_caps.select("net1", "net2", MILLI("cap_pf").alias("cap_pf"))
 
 
 def datafile_roundtrip(s, d):
@@ -188,16 +191,15 @@ def datafile_roundtrip(s, d):
 
 
 def shuffle_invariance(s, d):
-    path, _ = _parsed(s, d)
     out = scratch(s, "shuffled")
-    rewrite.write_lines(rewrite.shuffle_ids(s, path, 7), out)
+    blocks, in_order = rewrite.shuffle_blocks(s, _file(s, d), 7)
+    rewrite.write_blocks(blocks, out, in_order)
     return read_spef(s, out, "lib1").nets.select("net", MILLI("total_cap_pf").alias("total_cap_pf"), F.size("sinks").cast("long").alias("fanout"))
 
 
 def _backmarked(s, d, star=False, **targets):
-    path, _ = _parsed(s, d, star)
     out = scratch(s, "backmarked")
-    rewrite.write_lines(rewrite.backmark(s, path, **targets), out)
+    rewrite.write_blocks(rewrite.backmark_blocks(s, _file(s, d, star), **targets), out)
     return read_spef(s, out, "lib1")
 
 

@@ -1,28 +1,30 @@
-"""SPEF files as DataFrames. Files split at net blocks, so large ones are read in parallel.
+"""SPEF files as DataFrames. Files are read in ranges of bytes that hold whole nets, the header in pieces cut at lines.
 
 nets: lib_id, pos, net, total_cap, total_cap_pf, driver, sinks, edges (n1, n2, r), raw_ccaps (n1, n2, c)
 
-Net blocks are parsed once, each in its own row, on Arrow batches; ids become names there, and the result is kept as a
-table in the shared folder. A file's header is one record and so must stay below 2 GB; a folder of part files may spread
-it over several.
+Header text is read once for units and name map, net blocks once for nets: they are parsed as Arrow batches, a buffer of text
+at a time; ids become names there, and the result is kept as a table in the shared folder. Stores that only Spark reaches
+are read by its text source instead; there a file's header is one record of at most 2 GB.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from netohm.functions import text as T
 from netohm.functions import units as U
+from netohm.sources import spef_source
 from netohm.sources.shared import kept, ship
+from netohm.sources.tokens import NET_COLUMNS, Names, parse_blocks, parse_header_text
 
 #: Name maps up to this many names (some 100 bytes each) go to all tasks.
 BROADCAST_NAMES = 300_000
@@ -32,12 +34,22 @@ LIB_KEYS = ("t_unit", "c_unit", "r_unit", "l_unit", "c_scale", "r_scale")
 
 @dataclass(frozen=True)
 class SpefLibrary:
-    """One parsed library: a row of units, the name map, nets and coupling capacitors in pF."""
+    """One parsed library: a row of units, the name map, nets and coupling capacitors in pF.
+
+    blocks has a row for each *D_NET block, before nets that are listed twice merge: pos, NET_COLUMNS and, where read_spef kept it, its
+    text; net is null for damaged ones.
+    """
 
     libraries: DataFrame
     name_map: DataFrame
     nets: DataFrame
     coupling_caps: DataFrame | None = None
+    blocks: DataFrame | None = None
+
+    @property
+    def damaged(self) -> DataFrame:
+        """lib_id, pos and text (its first 200 characters) of the blocks without a net and a total, which nets leaves out."""
+        return self.blocks.where("net is null").select("lib_id", "pos", F.substring("block", 1, 200).alias("text"))
 
 
 def collect_spef_paths(inputs: list[str]) -> list[str]:
@@ -59,74 +71,81 @@ def unique_name(base: str, taken: set[str]) -> str:
     return name
 
 
-def _place() -> Column:
-    """The order of records: file, start of the split, row within the task that reads it."""
+def _by_text(spark: SparkSession, path: str) -> DataFrame:
+    """Rows as the data source has them, by Spark's own reader; pos of a file's header is its least."""
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), row.alias("row"))
+    raw = spark.read.option("lineSep", "\n*D_NET ").text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), row.alias("row"))
+    parts = raw.select("file", "at", "row", F.posexplode(F.split(F.regexp_replace("value", r"(?m)^[ \t]*\*D_NET(?=[ \t])", "\u0001"), "\u0001")).alias("k", "block"))
+    # the first record of a file is header text up to its first mark; others start behind a mark that the reader took
+    opens = (F.col("at") == 0) & (F.col("k") == 0) & (F.col("block").rlike(r'^\s*(\*[A-Za-z]|//|")') | ~F.col("block").rlike(r"^[ \t]*\S+[ \t]+\S"))
+    return parts.select("file", "at", "row", "k", opens.alias("is_header"), F.when(opens, F.col("block")).otherwise(F.concat(F.lit("*D_NET "), F.ltrim("block"))).alias("block"))
 
 
-def read_blocks(spark: SparkSession, path: str, lib_id: str) -> DataFrame:
-    """lib_id, pos, is_header, block: the header and the text of each net after *D_NET, in file order by pos."""
+def read_blocks(spark: SparkSession, path: str, lib_id: str, part: str = "all", split: int | None = None) -> DataFrame:
+    """lib_id, pos, is_header, block: pieces of header text and the text of each net, from its *D_NET line on; by pos in file order.
+
+    part: all, nets, or header (which adds an empty row at the first net of each range). Header text behind a file's first net is what
+    a range holds of a net that began before it: first_nets() tells.
+    """
     ship(spark)
-    raw = spark.read.option("lineSep", "\n*D_NET ").text(path).select("value", _place().alias("rec"))
-    cut = F.split(F.regexp_replace("value", r"(?m)^[ \t]*\*D_NET(?=[ \t])", "\u0001"), "\u0001")
-    parts = raw.select("rec", "value", F.posexplode(cut).alias("k", "block"))
-    opens = (F.col("rec.at") == 0) & (F.col("value").rlike(r'^\s*(\*[A-Za-z]|//|")') | ~F.col("value").rlike(r"^[ \t]*\S+[ \t]+\S"))
-    return parts.select(F.lit(lib_id).alias("lib_id"), F.struct("rec.file", "rec.at", "rec.row", "k").alias("pos"), ((F.col("k") == 0) & opens).alias("is_header"), "block")
+    try:
+        spef_source.files_of(path)
+    except (pa.ArrowInvalid, NotImplementedError) as e:  # no such scheme in pyarrow
+        if "://" not in path:
+            raise
+        rows = _by_text(spark, path)
+        rows = rows.where("is_header" if part == "header" else "not is_header") if part != "all" else rows
+    else:
+        spark.dataSource.register(spef_source.SpefSource)
+        source = spark.read.format(spef_source.NAME).option("path", path).option("part", part).option("parallelism", spark.sparkContext.defaultParallelism)
+        rows = (source.option("split", split) if split else source).load().select("*", F.lit(0).cast("long").alias("row"), F.lit(0).alias("k"))
+    return rows.select(F.lit(lib_id).alias("lib_id"), F.struct("file", "at", "row", "k").alias("pos"), "is_header", "block")
+
+
+def first_nets(blocks: DataFrame) -> DataFrame:
+    """file and the place of its first net: a row for each file."""
+    return blocks.where("not is_header").groupBy(F.col("pos.file").alias("file")).agg(F.min("pos.at").alias("first_net"))
 
 
 HEADER_ROW = f"lib_id string, pos {POS[:-1]},ln:int>, kind string, open boolean, a string, b string, c string"
 
 
 def _header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of header blocks: name (id, value; open is null for a section that an earlier block has to open), unit, and state (at the end of the block)."""
+    """Rows of header text: name (id, value; open is null for a section that an earlier piece has to open), unit, state (at the end of the piece), and net (where one starts)."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
-        for lib, pos, text in zip(batch.column("lib_id").to_pylist(), batch.column("pos").to_pylist(), batch.column("block").to_pylist()):
-            state, seen = None, set()
-
-            def add(ln, *row):
-                for column, x in zip(out, (lib, pos, ln, *row)):
-                    column.append(x)
-
-            for ln, line in enumerate(text.split("\n")):
-                t = _tokens(line)[:4]
-                if not t:
-                    continue
-                if len(t) >= 2 and _ENTRY.match(t[0]):
-                    if state is not False and (state, t[0]) not in seen:
-                        seen.add((state, t[0]))
-                        value = t[1][1:-1] if len(t[1]) >= 2 and t[1][0] == t[1][-1] == '"' else t[1]
-                        add(ln, "name", state, t[0], value.replace("\\[", "[").replace("\\]", "]"), None)
-                    continue
-                state = t[0] == "*NAME_MAP"
-                if len(t) >= 3 and t[0].endswith("_UNIT"):
-                    add(ln, "unit", None, t[0], t[1], t[2])
-            add(0, "state", state, None, None, None)
-        places = pa.array([{**p, "ln": n} for p, n in zip(out[1], out[2])], pa.struct([("file", pa.string()), ("at", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), ("ln", pa.int32())]))
-        flat = [pa.array(out[0], pa.string()), places, pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_()), *(pa.array(c, pa.string()) for c in out[5:])]
-        yield pa.RecordBatch.from_arrays(flat, names=["lib_id", "pos", "kind", "open", "a", "b", "c"])
-
-
-_ENTRY = re.compile(r"\*\d")
+        for lib, pos, is_header, text in zip(*(batch.column(c).to_pylist() for c in ("lib_id", "pos", "is_header", "block"))):
+            if is_header:
+                h = parse_header_text(text)
+                n, units = len(h.ids), list(zip(*h.units)) if h.units else ((),) * 4
+                lines, kinds = [*h.line.tolist(), *units[0], 0], ["name"] * n + ["unit"] * len(units[0]) + ["state"]
+                none = [None] * (len(kinds) - n)
+                a, b = pa.concat_arrays([h.ids, pa.array([*units[1], None], pa.string())]), pa.concat_arrays([h.names, pa.array([*units[2], None], pa.string())])
+                opens, c = [*h.open_, *none[:-1], h.state], [None] * n + [*units[3], None]
+            else:
+                lines, kinds, opens, a, b, c = [0], ["net"], [None], *(pa.nulls(1, pa.string()),) * 2, [None]
+            m = len(kinds)
+            same = [pa.array([pos[f]], t).take(pa.array([0] * m)) for f, t in (("file", pa.string()), ("at", pa.int64()), ("row", pa.int64()), ("k", pa.int32()))]
+            place = pa.StructArray.from_arrays([*same, pa.array(lines, pa.int32())], names=["file", "at", "row", "k", "ln"])
+            flat = [pa.array([lib] * m, pa.string()), place, pa.array(kinds, pa.string()), pa.array(opens, pa.bool_()), a, b, pa.array(c, pa.string())]
+            yield pa.RecordBatch.from_arrays(flat, names=["lib_id", "pos", "kind", "open", "a", "b", "c"])
 
 
 def read_header(blocks: DataFrame) -> DataFrame:
-    """Rows of the header blocks, as _header gives them."""
-    return blocks.where("is_header").select("lib_id", "pos", "block").mapInArrow(_header, HEADER_ROW)
+    """Rows of header text, as _header gives them, and of the first nets behind it."""
+    return blocks.select("lib_id", "pos", "is_header", "block").mapInArrow(_header, HEADER_ROW)
 
 
 def parse_header(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(libraries, name_map) of header rows. Every *NAME_MAP section counts up to its first line that is no entry; of equal ids the first."""
+    nets = rows.where("kind = 'net'").groupBy(F.col("pos.file").alias("file")).agg(F.min("pos.at").alias("first_net"))
+    rows = rows.join(F.broadcast(nets), F.col("pos.file") == F.col("file"), "left").where("first_net is null or pos.at < first_net")  # a row for each file
     block = F.struct("pos.file", "pos.at", "pos.row", "pos.k").alias("block")
-    before = W.partitionBy("lib_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each header block
+    before = W.partitionBy("lib_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each piece of header text
     states = rows.where("kind = 'state'").select("lib_id", block, F.col("open").alias("own"))
     states = states.select("lib_id", "block", F.last("own", True).over(before).alias("inherited"))
     names = rows.where("kind = 'name'").select("lib_id", "pos", block, "open", F.col("a").alias("id"), F.col("b").alias("name"))
     names = names.join(F.broadcast(states), ["lib_id", "block"]).where(F.coalesce("open", "inherited"))
     name_map = names.groupBy("lib_id", "id").agg(F.min_by("name", "pos").alias("name"))
-    if rows.where("kind = 'name'").select(block, "open").distinct().limit(2).count() < 2:  # ids of one block and state differ
-        name_map = names.select("lib_id", "id", "name")
 
     def last(name: str, column: str, default: str) -> Column:
         hit = F.col("a") == name
@@ -136,7 +155,7 @@ def parse_header(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         v = T.parse_number(last(name, "b", "1"))
         return F.when(v == 0, F.lit(1.0)).otherwise(v)
 
-    libraries = rows.where("kind <> 'name'").groupBy("lib_id").agg(
+    libraries = rows.where("kind not in ('name', 'net')").groupBy("lib_id").agg(
         last("*T_UNIT", "c", "NS").alias("t_unit"), last("*C_UNIT", "c", "PF").alias("c_unit"), last("*R_UNIT", "c", "OHM").alias("r_unit"), last("*L_UNIT", "c", "HENRY").alias("l_unit"),
         scale("*C_UNIT").alias("c_scale"), scale("*R_UNIT").alias("r_scale"),
     )
@@ -155,143 +174,81 @@ def resolve(df: DataFrame, name_map: DataFrame, *columns: str, escaped: bool = T
     return df
 
 
-_NUMBER, _END = re.compile(T.NUMBER), re.compile(r"^[ \t]*\*END(?=\s|$)", re.M)
-_ROLES = {("*I", "O"): "driver", ("*I", "I"): "sink", ("*I", "B"): "driver", ("*P", "O"): "sink", ("*P", "I"): "driver", ("*P", "B"): "driver"}
-
-
-def number(token: str) -> float:
-    """As functions.text.parse_number."""
-    m = _NUMBER.match(token)
-    if m is None and len(token) < 64:
-        m = _NUMBER.match(re.sub(r"[^-+.eE0-9]", "", token))
-    return float(m.group()) if m else 0.0
-
-
-def _tokens(line: str) -> list[str]:
-    """Tokens between blanks, without the comment."""
-    line = line.split("//", 1)[0]
-    return line.split() if line.isascii() else [x for x in re.split(r"[ \t\r]+", line) if x]
-
-
-def _pairs(lists: list[list[tuple[str, str, float]]], value: str) -> pa.Array:
-    """Lists of (n1, n2, value) as an Arrow column."""
-    n1, n2, v = zip(*chain.from_iterable(lists)) if any(lists) else ((), (), ())
-    flat = pa.StructArray.from_arrays([pa.array(n1, pa.string()), pa.array(n2, pa.string()), pa.array(v, pa.float64())], names=["n1", "n2", value])
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), flat)
-
-
-def parse_block(text: str) -> tuple[str, float, str, list[str], list, list] | None:
-    """net, total, driver, sinks, resistors and coupling capacitors of a block as they stand; None without a total."""
-    end = _END.search(text)
-    lines = (text[: end.start()] if end else text).split("\n")
-    head = _tokens(lines[0])
-    if len(head) < 2:
-        return None
-    section, driver, sinks, wires = "", "", [], {"*RES": [], "*CAP": []}
-    for line in lines[1:]:
-        t = _tokens(line)
-        if not t:
-            continue
-        first = t[0]
-        if first in ("*CONN", "*CAP", "*RES"):
-            section = first
-        elif first in ("*I", "*P"):
-            if len(t) >= 3:
-                role = _ROLES.get((first, next((x[0] for x in t[2:6] if x[0] in "OBI"), "")))
-                if role == "sink":
-                    sinks.append(t[1])
-                elif role and not driver:
-                    driver = t[1]
-        elif len(t) >= 4 and section in wires and first[0] != "*":
-            wires[section].append((t[1], t[2], number(t[3])))
-    return head[0], number(head[1]), driver, sinks, wires["*RES"], wires["*CAP"]
-
-
 BLOCK = "net string, total_cap double, driver string, sinks array<string>, edges array<struct<n1:string,n2:string,r:double>>, raw_ccaps array<struct<n1:string,n2:string,c:double>>"
 
 
-def _columns(rows: list[tuple]) -> list[pa.Array]:
-    """Arrow columns of BLOCK."""
-    net, total, driver, sinks, edges, caps = zip(*rows) if rows else ((),) * 6
-    flat = pa.array(list(chain.from_iterable(sinks)), pa.string())
-    sinks = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, sinks))], pa.int32()), flat)
-    return [pa.array(net, pa.string()), pa.array(total, pa.float64()), pa.array(driver, pa.string()), sinks, _pairs(edges, "r"), _pairs(caps, "c")]
-
-
-_NAMES = ["net", "total_cap", "driver", "sinks", "edges", "raw_ccaps"]
-
-
-def _named(row: tuple, known: dict[str, str]) -> tuple:
-    """A parsed block with names for ids; escaped brackets lose their mark, but for nets."""
-
-    def whole(n: str, plain: bool = True) -> str:
-        if n[:1] == "*":
-            base, colon, tail = n.partition(":")
-            n = known.get(base, base) + colon + tail
-        return n.replace("\\[", "[").replace("\\]", "]") if plain and "\\" in n else n
-
-    net, total, driver, sinks, *wires = row
-    return whole(net, False), total, whole(driver), [whole(s) for s in sinks], *([(whole(a), whole(b), v) for a, b, v in x] for x in wires)
-
-
-def _parse(names):
-    """names: a broadcast name map, or None where blocks bring their own as the column names."""
+def _parse(names, text: bool):
+    """names: a broadcast name map, or None where blocks bring their own as the column names. text: keep the text of blocks that can be parsed, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            maps = [names.value] * b.num_rows if names is not None else [dict(m or ()) for m in b.column("names").to_pylist()]
-            got = [parse_block(x) for x in b.column("block").to_pylist()]
-            rows = [_named(r, m) for r, m in zip(got, maps) if r is not None]
-            held = b.filter(pa.array([r is not None for r in got], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([held.column("lib_id"), held.column("pos"), *_columns(rows)], names=["lib_id", "pos", *_NAMES])
+            # an id has one name in all blocks of a library
+            known = names.value if names is not None else Names(b.column("names").keys, b.column("names").items)
+            held, columns = parse_blocks(b.column("block"), known)
+            if not held.all():  # damaged blocks get nulls
+                at = pa.array(np.where(held, np.cumsum(held) - 1, -1), mask=~held)
+                columns = [c.take(at) for c in columns]
+            block = b.column("block") if text else pc.if_else(pa.array(held), pa.scalar(None, pa.string()), b.column("block"))
+            yield pa.RecordBatch.from_arrays([b.column("lib_id"), b.column("pos"), *columns, block], names=["lib_id", "pos", *NET_COLUMNS, "block"])
 
     return run
 
 
-def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """Nets of net blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order.
+def parse_blocks_of(blocks: DataFrame, name_map: DataFrame, broadcast_names: int = BROADCAST_NAMES, text: bool = False) -> DataFrame:
+    """A row for each net block, as SpefLibrary.blocks has them, kept as a table.
 
     Up to broadcast_names names go to all tasks; more of them meet the blocks in a join on the ids that each block holds.
     """
     spark = blocks.sparkSession
     rows, names = blocks.where("not is_header").select("lib_id", "pos", "block"), None
-    if name_map.count() <= broadcast_names:
-        listed = name_map.select("id", "name").toArrow()
-        names = spark.sparkContext.broadcast(dict(zip(listed.column("id").to_pylist(), listed.column("name").to_pylist())))
+    listed = name_map.select("id", "name").limit(broadcast_names + 1).toArrow().combine_chunks()
+    if listed.num_rows <= broadcast_names:
+        names = spark.sparkContext.broadcast(Names(*(pa.concat_arrays(listed.column(c).chunks) if listed.num_rows else pa.array([], pa.string()) for c in ("id", "name"))))
     else:
         ids = rows.select("lib_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("block", F.lit(r"(\*\d[^\s:]*)"), F.lit(1)))).alias("id"))
-        net = rows.select("lib_id", "pos", F.regexp_extract("block", r"^[ \t]*(\*[^\s:]+)", 1).alias("id"))
+        net = rows.select("lib_id", "pos", F.regexp_extract("block", r"^\s*\*D_NET[ \t]+(\*[^\s:]+)", 1).alias("id"))
         met = ids.unionByName(net).distinct().join(name_map, ["lib_id", "id"]).groupBy("lib_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names"))
         rows = rows.join(met, ["lib_id", "pos"], "left")
-    named = kept(rows.mapInArrow(_parse(names), f"lib_id string, pos {POS}, {BLOCK}"), "nets")
-    twice = named.groupBy("lib_id", "net").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    again = named.join(twice, ["lib_id", "net"], "left_semi").groupBy("lib_id", "net").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in _NAMES if c != "net"]))).alias("x"))
+    return kept(rows.mapInArrow(_parse(names, text), f"lib_id string, pos {POS}, {BLOCK}, block string"), "nets")
+
+
+def merge_nets(blocks: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Nets of parsed blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order."""
+    named = blocks.where("net is not null").drop("block")
+    times = named.groupBy("lib_id", "net").agg(F.count("*").alias("n"))
+    twice = times.where("n > 1").drop("n")
+    again = named.join(twice, ["lib_id", "net"], "left_semi").groupBy("lib_id", "net").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in NET_COLUMNS if c != "net"]))).alias("x"))
     flat = lambda c: F.flatten(F.transform("x", lambda r: r[c])).alias(c)
     merged = again.select(
         "lib_id", F.get("x", F.lit(0))["pos"].alias("pos"), "net", F.element_at("x", -1)["total_cap"].alias("total_cap"),
         F.coalesce(F.get(F.filter(F.transform("x", lambda r: r["driver"]), lambda d: d != ""), F.lit(0)), F.lit("")).alias("driver"), flat("sinks"), flat("edges"), flat("raw_ccaps"),
     )
     nets = named
-    if not twice.isEmpty():
+    if (times.agg(F.max("n").alias("n")).first()["n"] or 0) > 1:
         nets = named.join(twice, ["lib_id", "net"], "left_anti").select(merged.columns).unionByName(merged)
     nets = nets.join(F.broadcast(libraries.select("lib_id", "c_unit", "c_scale")), "lib_id")  # a row for each library
     total = U.convert_capacitance(F.col("total_cap") * F.col("c_scale"), F.col("c_unit")).alias("total_cap_pf")
     return nets.select("lib_id", "pos", "net", "total_cap", total, "driver", "sinks", "edges", "raw_ccaps")
 
 
-def read_spef(spark: SparkSession, path: str, lib_id: str | None = None) -> SpefLibrary:
-    """A SPEF file, or a folder of part files, as a library with resolved coupling. It is parsed here, once."""
+def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
+    """Nets of net blocks."""
+    return merge_nets(parse_blocks_of(blocks, name_map, broadcast_names), libraries)
+
+
+def read_spef(spark: SparkSession, path: str, lib_id: str | None = None, text: bool = False) -> SpefLibrary:
+    """A SPEF file, or a folder of part files, as a library with resolved coupling. It is parsed here, once. text: keep the text of its blocks."""
     from netohm.operators.coupling import resolve_coupling
 
     lib_id = lib_id or os.path.splitext(os.path.basename(path))[0]
-    blocks = read_blocks(spark, path, lib_id)
-    libraries, name_map = parse_header(kept(read_header(blocks), "header"))
+    libraries, name_map = parse_header(kept(read_header(read_blocks(spark, path, lib_id, "header")), "header"))
     name_map = kept(name_map, "names")
-    one = spark.createDataFrame([(lib_id,)], "lib_id string")  # a file without a header has default units
-    defaults = {"t_unit": "NS", "c_unit": "PF", "r_unit": "OHM", "l_unit": "HENRY", "c_scale": 1.0, "r_scale": 1.0}
-    libraries = one.join(libraries, "lib_id", "left").select("lib_id", *[F.coalesce(c, F.lit(defaults[c])).alias(c) for c in LIB_KEYS])
-    nets = parse_nets(blocks, name_map, libraries)
-    return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map))
+    row = libraries.first()
+    units = tuple(row[c] for c in LIB_KEYS) if row else ("NS", "PF", "OHM", "HENRY", 1.0, 1.0)  # a file without a header has default units
+    libraries = spark.createDataFrame([(lib_id, *units)], "lib_id string, t_unit string, c_unit string, r_unit string, l_unit string, c_scale double, r_scale double")
+    blocks = parse_blocks_of(read_blocks(spark, path, lib_id, "nets"), name_map, text=text)
+    nets = merge_nets(blocks, libraries)
+    return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map), blocks)
 
 
 def read_spefs(spark: SparkSession, paths: list[str]) -> list[SpefLibrary]:

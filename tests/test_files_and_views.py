@@ -15,7 +15,7 @@ from netohm.operators.filters import CompareFilter
 from netohm.plans import generator
 from netohm.sources import datafiles
 from netohm.sources.registry import Registry
-from netohm.sources.spef import number, parse_block, read_spef, read_spefs
+from netohm.sources.spef import read_spef, read_spefs
 from netohm.streaming.data_stream import stream_caps
 
 HEAD = "*C_UNIT 1 PF\n*R_UNIT 1 OHM\n*NAME_MAP\n*1 a\n*2 b\n*3 c\nend of section\n*9 lost\n*NAME_MAP\n*4 d\n*1 other\n*PORTS\n*5 I\n"
@@ -130,7 +130,7 @@ def test_backmark_with_totals_and_pairs(spark, two, tmp_path):
     (tmp_path / "in.spef").write_text(text)
     cap = spark.createDataFrame([("a", 10.0)], "net string, value double")
     pairs = spark.createDataFrame([("b", "a", 4.0)], "net1 string, net2 string, value double")
-    rewrite.write_lines(rewrite.backmark(spark, str(tmp_path / "in.spef"), cap=cap, ccap=pairs), str(tmp_path / "out"))
+    rewrite.write_blocks(rewrite.backmark_blocks(spark, str(tmp_path / "in.spef"), cap=cap, ccap=pairs), str(tmp_path / "out"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     # ground: the new total without the target of one pair and the old value of the other
     assert "*D_NET *1 10" in lines and "1 *1:d 4" in lines and "  2 *1:d *2:d 4 // pair" in lines and "3 *1:d *3:d 9 2" in lines
@@ -178,12 +178,6 @@ def test_segment_scales_on_shared_segments():
     assert R.segment_scales("d", ["s", "t"], e(("d", "s", 1.0), ("s", "t", 2.0)), {"s": 0.1, "t": 9.0}, 5.0) == [("d", "s", 5.0), ("s", "t", 11.0)]
 
 
-def test_block_parser():
-    assert parse_block("*7 1.5 // c\n*CONN\n*I *7:a O *C 1\n*P p I\n*I *7:b B\n*I *7:c I\n*N *7:2\n*CAP\n1 *7:a 2\n2 *7:a x 3e-1 extra\n*RES\n1 a b 1k\n*2 a b 3\n*END\n1 a b 9") == (
-        "*7", 1.5, "*7:a", ["*7:c"], [("a", "b", 1.0)], [("*7:a", "x", 0.3)])
-    assert parse_block("lonely\n*CONN") is None and number("pF-2.5e1") == -25.0 and number("x") == 0.0
-
-
 @pytest.mark.parametrize("connected", [True, False])
 def test_generated_files(spark, tmp_path, connected):
     generator.write_generated(spark, str(tmp_path / "g"), 300, 5, connected)

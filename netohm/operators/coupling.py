@@ -23,32 +23,27 @@ def nodes_to_nets(df: DataFrame, nets: DataFrame, name_map: DataFrame | None, co
     return df.withColumn(out, found).drop("__b", "__exact", "__base", "__third")
 
 
-def resolve_ends(rows: DataFrame, nets: DataFrame, name_map: DataFrame | None, colons: bool | None = None) -> DataFrame:
+def resolve_ends(rows: DataFrame, nets: DataFrame, name_map: DataFrame | None, plain: bool = False) -> DataFrame:
     """rows (lib_id, owner, n1, n2 and others) with the nets a and b of their nodes, null for nodes of no net.
 
-    Nearly all rows run from a node of their section's owner to net:pin of another net. Unless some net's own name holds a
-    colon (colons; looked up where it is None), such a node can only be its base's. So these rows are joined to the nets once,
-    by the right end's base. The few that start elsewhere, or whose right end is an id that only the name map knows, go
-    through all three ways of nodes_to_nets.
+    Nearly all files are plain: no net's own name holds a colon, rows run from a node of their section's owner to net:pin of another
+    net, and no right end is an id that only the name map knows. A node can then only be its base's, so rows are joined to
+    the nets once, by the right end's base. Rows of other files go through all three ways of nodes_to_nets.
     """
-    if colons is None:
-        colons = not nets.where(F.col("net").contains(":")).isEmpty()
-    every = lambda x: nodes_to_nets(nodes_to_nets(x, nets, name_map, "n1", "a"), nets, name_map, "n2", "b")
-    if colons:
-        return every(rows)
-    plain = (T.pin_base(F.col("n1")) == F.col("owner")) & ~F.col("n2").startswith("*")
+    if not plain:
+        return nodes_to_nets(nodes_to_nets(rows, nets, name_map, "n1", "a"), nets, name_map, "n2", "b")
     names = nets.select("lib_id", F.col("net").alias("__base")).distinct().withColumn("b", F.col("__base"))
-    own = rows.where(plain).withColumn("a", F.col("owner")).withColumn("__base", T.pin_base(F.col("n2")))
-    return own.join(names, ["lib_id", "__base"], "left").drop("__base").unionByName(every(rows.where(~plain)))
+    own = rows.withColumn("a", F.col("owner")).withColumn("__base", T.pin_base(F.col("n2")))
+    return own.join(names, ["lib_id", "__base"], "left").drop("__base")
 
 
-def resolve_coupling(nets: DataFrame, libraries: DataFrame, name_map: DataFrame | None = None, colons: bool | None = None) -> DataFrame:
+def resolve_coupling(nets: DataFrame, libraries: DataFrame, name_map: DataFrame | None = None, plain: bool = False) -> DataFrame:
     """(lib_id, net1, net2, cap_pf) with net1 < net2. Entries of one section add up; of two sections that list a pair, that of the least owner counts.
 
-    A left end that is no net's counts as the section's owner, a right end that is none drops the entry.
+    A left end that is no net's counts as the section's owner, a right end that is none drops the entry. plain: as resolve_ends has it.
     """
     rows = nets.select("lib_id", F.col("net").alias("owner"), F.explode("raw_ccaps").alias("c")).select("lib_id", "owner", "c.n1", "c.n2", "c.c")
-    rows = resolve_ends(rows, nets, name_map, colons).withColumn("a", F.coalesce("a", "owner")).where("b is not null and a <> b")
+    rows = resolve_ends(rows, nets, name_map, plain).withColumn("a", F.coalesce("a", "owner")).where("b is not null and a <> b")
     met = rows.select("lib_id", "owner", F.least("a", "b").alias("net1"), F.greatest("a", "b").alias("net2"), "c")
     # both sums below find a pair's rows together
     per = met.repartition("lib_id", "net1", "net2").groupBy("lib_id", "net1", "net2", "owner").agg(F.sum("c").alias("c"))

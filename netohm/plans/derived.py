@@ -76,7 +76,7 @@ def library(spark: SparkSession, sf_dir: str, second: bool = False, star: bool =
     )
     one = spark.range(1).select(F.lit(lib).alias("lib_id"), F.lit("NS").alias("t_unit"), F.lit("PF").alias("c_unit"), F.lit("OHM").alias("r_unit"), F.lit("HENRY").alias("l_unit"), F.lit(1.0).alias("c_scale"), F.lit(1.0).alias("r_scale"))
     names = full.select("lib_id", F.concat(F.lit("*"), F.col("pos").cast("string")).alias("id"), F.col("net").alias("name"))
-    return SpefLibrary(one, names, full, resolve_coupling(full, one, colons=False))  # nets are named net_<key>
+    return SpefLibrary(one, names, full, resolve_coupling(full, one, plain=True))  # nets are named net_<key>
 
 
 #: Name map lines that stay together.

@@ -12,23 +12,24 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from netohm.functions import text as T
 from netohm.functions import units as U
 from netohm.sources import spef_source
 from netohm.sources.shared import kept, ship
-from netohm.sources.tokens import NET_COLUMNS, Names, parse_blocks, parse_header_text
+from netohm.sources.tokens import NET_COLUMNS, Names, number, parse_blocks, parse_header_text
 
 #: Name maps up to this many names (some 100 bytes each) go to all tasks.
 BROADCAST_NAMES = 300_000
 POS = "struct<file:string,at:bigint,row:bigint,k:int>"
+DEFAULT_UNITS = ("NS", "PF", "OHM", "HENRY")
 LIB_KEYS = ("t_unit", "c_unit", "r_unit", "l_unit", "c_scale", "r_scale")
 
 
@@ -45,6 +46,8 @@ class SpefLibrary:
     nets: DataFrame
     coupling_caps: DataFrame | None = None
     blocks: DataFrame | None = None
+    #: As operators.coupling.resolve_ends has it.
+    plain: bool = False
 
     @property
     def damaged(self) -> DataFrame:
@@ -117,16 +120,16 @@ def _header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_header:
                 h = parse_header_text(text)
                 n, units = len(h.ids), list(zip(*h.units)) if h.units else ((),) * 4
-                lines, kinds = [*h.line.tolist(), *units[0], 0], ["name"] * n + ["unit"] * len(units[0]) + ["state"]
-                none = [None] * (len(kinds) - n)
-                a, b = pa.concat_arrays([h.ids, pa.array([*units[1], None], pa.string())]), pa.concat_arrays([h.names, pa.array([*units[2], None], pa.string())])
-                opens, c = [*h.open_, *none[:-1], h.state], [None] * n + [*units[3], None]
+                kinds, lines = ["unit"] * len(units[0]) + ["state"], np.append(h.line, [*units[0], 0])
+                text_ = lambda x: pa.array([*x, None], pa.string())
+                a, b, c = pa.concat_arrays([h.ids, text_(units[1])]), pa.concat_arrays([h.names, text_(units[2])]), pa.concat_arrays([pa.nulls(n, pa.string()), text_(units[3])])
+                opens = pa.concat_arrays([h.open_, pa.array([*[None] * len(units[0]), h.state], pa.bool_())])
             else:
-                lines, kinds, opens, a, b, c = [0], ["net"], [None], *(pa.nulls(1, pa.string()),) * 2, [None]
-            m = len(kinds)
-            same = [pa.array([pos[f]], t).take(pa.array([0] * m)) for f, t in (("file", pa.string()), ("at", pa.int64()), ("row", pa.int64()), ("k", pa.int32()))]
-            place = pa.StructArray.from_arrays([*same, pa.array(lines, pa.int32())], names=["file", "at", "row", "k", "ln"])
-            flat = [pa.array([lib] * m, pa.string()), place, pa.array(kinds, pa.string()), pa.array(opens, pa.bool_()), a, b, pa.array(c, pa.string())]
+                n, kinds, lines, opens, a, b, c = 0, ["net"], np.zeros(1), pa.nulls(1, pa.bool_()), *(pa.nulls(1, pa.string()),) * 3
+            m = n + len(kinds)
+            same = [pa.repeat(pa.scalar(pos[f], t), m) for f, t in (("file", pa.string()), ("at", pa.int64()), ("row", pa.int64()), ("k", pa.int32()))]
+            place = pa.StructArray.from_arrays([*same, pa.array(lines.astype(np.int32))], names=["file", "at", "row", "k", "ln"])
+            flat = [pa.repeat(pa.scalar(lib, pa.string()), m), place, pa.concat_arrays([pa.repeat("name", n), pa.array(kinds)]), opens, a, b, c]
             yield pa.RecordBatch.from_arrays(flat, names=["lib_id", "pos", "kind", "open", "a", "b", "c"])
 
 
@@ -135,31 +138,36 @@ def read_header(blocks: DataFrame) -> DataFrame:
     return blocks.select("lib_id", "pos", "is_header", "block").mapInArrow(_header, HEADER_ROW)
 
 
-def parse_header(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(libraries, name_map) of header rows. Every *NAME_MAP section counts up to its first line that is no entry; of equal ids the first."""
-    nets = rows.where("kind = 'net'").groupBy(F.col("pos.file").alias("file")).agg(F.min("pos.at").alias("first_net"))
-    rows = rows.join(F.broadcast(nets), F.col("pos.file") == F.col("file"), "left").where("first_net is null or pos.at < first_net")  # a row for each file
-    block = F.struct("pos.file", "pos.at", "pos.row", "pos.k").alias("block")
-    before = W.partitionBy("lib_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each piece of header text
-    states = rows.where("kind = 'state'").select("lib_id", block, F.col("open").alias("own"))
-    states = states.select("lib_id", "block", F.last("own", True).over(before).alias("inherited"))
-    names = rows.where("kind = 'name'").select("lib_id", "pos", block, "open", F.col("a").alias("id"), F.col("b").alias("name"))
-    names = names.join(F.broadcast(states), ["lib_id", "block"]).where(F.coalesce("open", "inherited"))
-    name_map = names.groupBy("lib_id", "id").agg(F.min_by("name", "pos").alias("name"))
+def parse_header(rows: DataFrame) -> tuple[dict[str, tuple], DataFrame]:
+    """(LIB_KEYS of each library, name_map) of header rows. Every *NAME_MAP section counts up to its first line that is no entry; of equal ids the first.
 
-    def last(name: str, column: str, default: str) -> Column:
-        hit = F.col("a") == name
-        return F.coalesce(F.max_by(F.when(hit, F.col(column)), F.when(hit, F.col("pos"))), F.lit(default))
-
-    def scale(name: str) -> Column:
-        v = T.parse_number(last(name, "b", "1"))
-        return F.when(v == 0, F.lit(1.0)).otherwise(v)
-
-    libraries = rows.where("kind not in ('name', 'net')").groupBy("lib_id").agg(
-        last("*T_UNIT", "c", "NS").alias("t_unit"), last("*C_UNIT", "c", "PF").alias("c_unit"), last("*R_UNIT", "c", "OHM").alias("r_unit"), last("*L_UNIT", "c", "HENRY").alias("l_unit"),
-        scale("*C_UNIT").alias("c_scale"), scale("*R_UNIT").alias("r_scale"),
-    )
-    return libraries, name_map
+    The driver sees all rows but those of names: some for each range of bytes and piece of header text.
+    """
+    spark, place = rows.sparkSession, ["lib_id", "file", "at", "row", "k"]
+    rest = rows.where("kind <> 'name'").select("lib_id", "pos.*", "kind", "open", "a", "b", "c").collect()
+    first_net: dict[tuple, int] = {}
+    for r in rest:
+        if r["kind"] == "net":
+            first_net[r["lib_id"], r["file"]] = min(r["at"], first_net.get((r["lib_id"], r["file"]), r["at"]))
+    rest = sorted((r for r in rest if r["kind"] != "net" and r["at"] < first_net.get((r["lib_id"], r["file"]), 1 << 62)), key=lambda r: tuple(r[c] for c in (*place, "ln")))
+    units: dict[str, dict] = {}
+    pieces, state = [], {}
+    for r in rest:
+        of = units.setdefault(r["lib_id"], {})
+        if r["kind"] == "unit":
+            of[r["a"]] = (r["b"], r["c"])
+        else:
+            pieces.append((*(r[c] for c in place), state.get(r["lib_id"], False)))
+            if r["open"] is not None:
+                state[r["lib_id"]] = r["open"]
+    libraries = {lib: (*(u.get(f"*{k}_UNIT", ("1", d))[1] for k, d in zip("TCRL", DEFAULT_UNITS)), *(number(u.get(f"*{k}_UNIT", ("1",))[0]) or 1.0 for k in "CR")) for lib, u in units.items()}
+    names = rows.where("kind = 'name'").select("lib_id", "pos", "open", F.col("a").alias("id"), F.col("b").alias("name"))
+    if len(pieces) == 1:  # ids of one piece differ
+        is_it = [F.col(f"pos.{c}") == x for c, x in zip(place[1:], pieces[0][1:5])]
+        return libraries, names.where(reduce(Column.__and__, is_it, F.col("open"))).select("lib_id", "id", "name")
+    held = F.broadcast(spark.createDataFrame(pieces, "lib_id string, file string, at long, row long, k int, inherited boolean"))  # a row for each piece
+    names = names.select("lib_id", "pos.file", "pos.at", "pos.row", "pos.k", "pos", "open", "id", "name").join(held, place).where(F.coalesce("open", "inherited"))
+    return libraries, names.groupBy("lib_id", "id").agg(F.min_by("name", "pos").alias("name"))
 
 
 def resolve(df: DataFrame, name_map: DataFrame, *columns: str, escaped: bool = True) -> DataFrame:
@@ -174,7 +182,7 @@ def resolve(df: DataFrame, name_map: DataFrame, *columns: str, escaped: bool = T
     return df
 
 
-BLOCK = "net string, total_cap double, driver string, sinks array<string>, edges array<struct<n1:string,n2:string,r:double>>, raw_ccaps array<struct<n1:string,n2:string,c:double>>"
+BLOCK = "net string, total_cap double, driver string, sinks array<string>, edges array<struct<n1:string,n2:string,r:double>>, raw_ccaps array<struct<n1:string,n2:string,c:double>>, plain boolean"
 
 
 def _parse(names, text: bool):
@@ -212,28 +220,26 @@ def parse_blocks_of(blocks: DataFrame, name_map: DataFrame, broadcast_names: int
     return kept(rows.mapInArrow(_parse(names, text), f"lib_id string, pos {POS}, {BLOCK}, block string"), "nets")
 
 
-def merge_nets(blocks: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Nets of parsed blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order."""
-    named = blocks.where("net is not null").drop("block")
-    times = named.groupBy("lib_id", "net").agg(F.count("*").alias("n"))
-    twice = times.where("n > 1").drop("n")
-    again = named.join(twice, ["lib_id", "net"], "left_semi").groupBy("lib_id", "net").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in NET_COLUMNS if c != "net"]))).alias("x"))
-    flat = lambda c: F.flatten(F.transform("x", lambda r: r[c])).alias(c)
-    merged = again.select(
-        "lib_id", F.get("x", F.lit(0))["pos"].alias("pos"), "net", F.element_at("x", -1)["total_cap"].alias("total_cap"),
-        F.coalesce(F.get(F.filter(F.transform("x", lambda r: r["driver"]), lambda d: d != ""), F.lit(0)), F.lit("")).alias("driver"), flat("sinks"), flat("edges"), flat("raw_ccaps"),
-    )
+def merge_nets(blocks: DataFrame, libraries: dict[str, tuple]) -> tuple[DataFrame, bool]:
+    """(nets, whether all are plain) of parsed blocks. Nets listed twice merge: the last total, the first driver, all sinks and resistors in file order."""
+    named = blocks.where("net is not null").drop("block", "plain")
+    times = blocks.where("net is not null").groupBy("lib_id", "net").agg(F.count("*").alias("n"), F.bool_and("plain").alias("plain"))
+    most = times.agg(F.max("n").alias("n"), F.bool_and("plain").alias("plain")).first()
     nets = named
-    if (times.agg(F.max("n").alias("n")).first()["n"] or 0) > 1:
+    if (most["n"] or 0) > 1:
+        twice = times.where("n > 1").select("lib_id", "net")
+        again = named.join(twice, ["lib_id", "net"], "left_semi").groupBy("lib_id", "net").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in named.columns if c not in ("lib_id", "pos", "net")]))).alias("x"))
+        flat = lambda c: F.flatten(F.transform("x", lambda r: r[c])).alias(c)
+        merged = again.select(
+            "lib_id", F.get("x", F.lit(0))["pos"].alias("pos"), "net", F.element_at("x", -1)["total_cap"].alias("total_cap"),
+            F.coalesce(F.get(F.filter(F.transform("x", lambda r: r["driver"]), lambda d: d != ""), F.lit(0)), F.lit("")).alias("driver"), flat("sinks"), flat("edges"), flat("raw_ccaps"),
+        )
         nets = named.join(twice, ["lib_id", "net"], "left_anti").select(merged.columns).unionByName(merged)
-    nets = nets.join(F.broadcast(libraries.select("lib_id", "c_unit", "c_scale")), "lib_id")  # a row for each library
-    total = U.convert_capacitance(F.col("total_cap") * F.col("c_scale"), F.col("c_unit")).alias("total_cap_pf")
-    return nets.select("lib_id", "pos", "net", "total_cap", total, "driver", "sinks", "edges", "raw_ccaps")
-
-
-def parse_nets(blocks: DataFrame, name_map: DataFrame, libraries: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """Nets of net blocks."""
-    return merge_nets(parse_blocks_of(blocks, name_map, broadcast_names), libraries)
+    total = F.lit(None).cast("double")
+    for lib, u in libraries.items():
+        unit, scale = u[LIB_KEYS.index("c_unit")], u[LIB_KEYS.index("c_scale")]
+        total = F.when(F.col("lib_id") == lib, U.convert_capacitance(F.col("total_cap") * scale, F.lit(unit))).otherwise(total)
+    return nets.select("lib_id", "pos", "net", "total_cap", total.alias("total_cap_pf"), "driver", "sinks", "edges", "raw_ccaps"), most["plain"] is not False
 
 
 def read_spef(spark: SparkSession, path: str, lib_id: str | None = None, text: bool = False) -> SpefLibrary:
@@ -241,14 +247,12 @@ def read_spef(spark: SparkSession, path: str, lib_id: str | None = None, text: b
     from netohm.operators.coupling import resolve_coupling
 
     lib_id = lib_id or os.path.splitext(os.path.basename(path))[0]
-    libraries, name_map = parse_header(kept(read_header(read_blocks(spark, path, lib_id, "header")), "header"))
-    name_map = kept(name_map, "names")
-    row = libraries.first()
-    units = tuple(row[c] for c in LIB_KEYS) if row else ("NS", "PF", "OHM", "HENRY", 1.0, 1.0)  # a file without a header has default units
-    libraries = spark.createDataFrame([(lib_id, *units)], "lib_id string, t_unit string, c_unit string, r_unit string, l_unit string, c_scale double, r_scale double")
+    found, name_map = parse_header(kept(read_header(read_blocks(spark, path, lib_id, "header")), "header"))
+    units = {lib_id: found.get(lib_id, (*DEFAULT_UNITS, 1.0, 1.0))}  # a file without a header has default units
+    libraries = spark.createDataFrame([(lib_id, *units[lib_id])], "lib_id string, t_unit string, c_unit string, r_unit string, l_unit string, c_scale double, r_scale double")
     blocks = parse_blocks_of(read_blocks(spark, path, lib_id, "nets"), name_map, text=text)
-    nets = merge_nets(blocks, libraries)
-    return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map), blocks)
+    nets, plain = merge_nets(blocks, units)
+    return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map, plain), blocks, plain)
 
 
 def read_spefs(spark: SparkSession, paths: list[str]) -> list[SpefLibrary]:

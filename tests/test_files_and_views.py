@@ -46,11 +46,11 @@ def test_header_sections_and_repeated_nets(spark, two):
 
 
 def test_names_by_broadcast_and_by_join(spark, two):
-    from netohm.sources.spef import parse_header, parse_nets, read_blocks, read_header
+    from netohm.sources.spef import merge_nets, parse_blocks_of, parse_header, read_blocks, read_header
 
-    blocks = read_blocks(spark, two[0], "x")
-    libraries, names = parse_header(read_header(blocks))
-    found = [sorted(map(str, parse_nets(blocks, names, libraries, n).select("net", "driver", "sinks", "edges", "raw_ccaps").collect())) for n in (0, 1, 100)]
+    libraries, names = parse_header(read_header(read_blocks(spark, two[0], "x", "header")))
+    blocks = read_blocks(spark, two[0], "x", "nets")
+    found = [sorted(map(str, merge_nets(parse_blocks_of(blocks, names, n), libraries)[0].select("net", "driver", "sinks", "edges", "raw_ccaps").collect())) for n in (0, 1, 100)]
     assert found[0] == found[1] == found[2] and len(found[0]) == 3
 
 

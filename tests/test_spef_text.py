@@ -74,6 +74,8 @@ def test_buffers_against_lines(seed):
     held, columns = parse_blocks(pa.array([*blocks, None, ""]).slice(0, 1500), Names(pa.array(list(names)), pa.array(list(names.values()))))
     got = [[c if not isinstance(c, list) else [tuple(x.values()) if isinstance(x, dict) else x for x in c] for c in row] for row in zip(*(c.to_pylist() for c in columns))]
     want = [parse_lines(b, names) for b in blocks]
+    plain = [row.pop() for row in got]
+    assert plain == [":" not in w[0] and all(a.split(":")[0] == w[0] and b[:1] != "*" for a, b, _ in w[5]) for w in want if w is not None]
     assert held.tolist() == [w is not None for w in want]
     assert repr(got) == repr([list(w) for w in want if w is not None])
     assert [len(c) for c in parse_blocks(pa.array([], pa.string()), Names(pa.array([], pa.string()), pa.array([], pa.string())))[1]] == [0] * len(NET_COLUMNS)
@@ -85,7 +87,7 @@ def test_numbers_of_any_spelling():
 
 def test_header_text():
     h = parse_header_text('*1 early\n*C_UNIT 1 FF // c\n*NAME_MAP\n*1 a\\[0\\]\n*2 "b"\n  *3 c d\n*PORTS\n*9 lost\n*NAME_MAP\n*4 "')
-    assert list(zip(h.ids.to_pylist(), h.names.to_pylist(), h.open_)) == [("*1", "early", None), ("*1", "a[0]", True), ("*2", "b", True), ("*3", "c", True), ("*4", '"', True)]
+    assert list(zip(h.ids.to_pylist(), h.names.to_pylist(), h.open_.to_pylist())) == [("*1", "early", None), ("*1", "a[0]", True), ("*2", "b", True), ("*3", "c", True), ("*4", '"', True)]
     assert h.units == [(1, "*C_UNIT", "1", "FF")] and h.state is True and parse_header_text("").state is None
 
 
@@ -112,7 +114,7 @@ def test_header_over_several_ranges_and_one_scan_each(spark, tmp_path):
     for split in (64, 1000, 1 << 20):
         libraries, known = parse_header(read_header(read_blocks(spark, path, "x", "header", split)))
         assert {(r["id"], r["name"]) for r in known.collect()} == {(f"*{i}", f"name_{i}") for i in range(1, 400)}
-        assert libraries.first()["c_unit"] == "FF"
+        assert libraries["x"] == ("NS", "FF", "OHM", "HENRY", 1.0, 1.0)
         assert read_blocks(spark, path, "x", "nets", split).count() == 399
         text = rewrite.header_text(spark, path, "x", "all").orderBy("pos").collect()
         assert "".join(r["block"] for r in text) == (tmp_path / "a.spef").read_text()
@@ -147,13 +149,14 @@ def three_ways(node, nets, names):
     return node if node in nets else base if base in nets else names.get(base) if names.get(base) in nets else None
 
 
-@pytest.mark.parametrize("colon", [False, True])
-def test_nodes_by_all_three_ways(spark, colon):
+@pytest.mark.parametrize("plain", [False, True])
+def test_nodes_by_all_three_ways(spark, plain):
     r = random.Random(4)
-    nets = ["a", "b", "c", "d"] + (["e:1", "a:x"] if colon else [])
+    nets = ["a", "b", "c", "d"] + ([] if plain else ["e:1", "a:x"])
     names = {"*1": "a", "*2": "c", "*3": "gone", "c": "d"}
     nodes = ["a", "a:1", "a:x", "b:2", "e:1", "*1:z", "*2", "*3:y", "*4", "ghost", "c:c", "d"]
-    rows = [("l", n, [{"n1": r.choice([f"{n}:p", *nodes]), "n2": r.choice(nodes), "c": float(r.randint(1, 9))} for _ in range(25)]) for n in nets]
+    right = [x for x in nodes if not (plain and x[0] == "*")]
+    rows = [("l", n, [{"n1": f"{n}:p" if plain else r.choice([f"{n}:p", *nodes]), "n2": r.choice(right), "c": float(r.randint(1, 9))} for _ in range(25)]) for n in nets]
     df = spark.createDataFrame(rows, "lib_id string, net string, raw_ccaps array<struct<n1:string,n2:string,c:double>>")
     known = spark.createDataFrame([("l", k, v) for k, v in names.items()], "lib_id string, id string, name string")
     units = spark.createDataFrame([("l", "PF", 1.0)], "lib_id string, c_unit string, c_scale double")
@@ -165,14 +168,15 @@ def test_nodes_by_all_three_ways(spark, colon):
                 key = (min(a, b), max(a, b))
                 sums.setdefault(key, {})[owner] = sums.setdefault(key, {}).get(owner, 0) + x["c"]
     want = sorted((*k, v[min(v)]) for k, v in sums.items())
-    got = resolve_coupling(df, units, known).select("net1", "net2", "cap_pf")
+    got = resolve_coupling(df, units, known, plain).select("net1", "net2", "cap_pf")
     assert sorted(map(tuple, got.collect())) == want
 
 
 def test_coupling_rows_are_dealt_twice(spark, tmp_path):
     generator.write_generated(spark, str(tmp_path / "g"), 200, 5)
     lib = read_spef(spark, str(tmp_path / "g"), "g")
-    plan = resolve_coupling(lib.nets, lib.libraries)  # the common way, without a name map
+    assert lib.plain
+    plan = lib.coupling_caps
     lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
     assert sum("Exchange hashpartitioning" in x and "net1" in x for x in lines) == 1
     assert sum("Exchange hashpartitioning" in x and ("__base" in x or "SHUFFLE_MERGE" in x) for x in lines) <= 2  # rows and names

@@ -8,11 +8,14 @@ texts; in larger groups first each text with the group's hub, whose choice diffe
 verified by alignment: labels of one text are matched to the other's inside a diagonal band, the longest chain in order
 is aligned, and a pair is linked if aligned / (labels of both - aligned) >= threshold.
 
-Then every pair of a larger group whose texts are not yet in one class is linked or ruled out: the group is cut into
-blocks of up to about `block` texts, and for each two blocks the labels that all pairs share are counted. Aligned labels
-are shared ones, so only pairs that share enough are aligned. The largest class of a group is not compared with itself,
-and a pair is compared on the first sketch that it agrees on. The work grows with texts outside the largest class times
-texts of the group; groups that the hubs have joined cost nothing.
+Then every pair of a larger group whose texts are not yet in one class is linked or ruled out. First by rare labels: with
+the labels of all such texts ordered by the number of texts that hold them, two texts that reach the threshold share one of
+the first ones of both, as many as a text may lack of the other's (a prefix filter). Texts whose first labels are held by no text of another class are done; their number does not
+multiply anything, so pages that share a frame and differ in the rest cost a pass over their labels. What is left
+of a group is cut into blocks of up to about `block` texts, and for each two blocks the labels that all pairs
+share are counted. Aligned labels are shared ones, so only pairs that share enough are aligned. The largest class of a
+group is not compared with itself, and a pair is compared on the first sketch that it agrees on. Which groups count as larger
+decides the way, not the classes.
 
 Classes are the components of the links. Texts with equal words are one class before sketching, so copies cost nothing.
 
@@ -217,13 +220,52 @@ def _settle(k: int, threshold: float):
     return run
 
 
+def _label_rows(k: int):
+    """A row for each label of each text."""
+
+    def run(batches):
+        for b in batches:
+            seqs = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("seq")]
+            if not seqs:
+                continue
+            first = np.concatenate([[0], np.cumsum([len(x) for x in seqs])])
+            labels, count = _labels(np.concatenate(seqs).astype(np.uint64), first, k)
+            at = pa.array(np.repeat(np.arange(len(seqs)), count))
+            columns = [b.column("doc_id").take(at), b.column("class_id").take(at), pa.array(np.repeat(count, count), pa.int64()), pa.array(H.signed(labels), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class_id", "n", "label"])
+
+    return run
+
+
+def _in_reach(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Of texts (doc_id, class_id, seq) the doc_ids that share one of their first labels, by rising number of texts, with a text of another class."""
+    rows = texts.select("doc_id", "class_id", "seq").mapInArrow(_label_rows(k), "doc_id long, class_id long, n long, label long")
+    held = rows.groupBy("label").agg(F.count("*").alias("times"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("times > 1")
+    held = written(held.select("label", "times", (F.col("low") != F.col("high")).alias("mixed")), "labels")
+    # labels of one text only come first of all
+    own = rows.join(held, "label").groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("times", "label", "mixed"))).alias("x"))
+    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("x"))
+    return own.where((first > 0) & F.exists(F.slice("x", F.lit(1), F.greatest(first, F.lit(0)).cast("int")), lambda y: y["mixed"])).select("doc_id")
+
+
 def _rest(large: DataFrame, classes: DataFrame, reps: DataFrame, seqs: DataFrame, k: int, threshold: float, block: int) -> DataFrame | None:
     """Links of all pairs in large groups whose texts are in different classes; None where there are no such pairs."""
     rows = large.join(classes, "doc_id", "left").select("key", "s", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     rows = written(rows, "large_classes")
-    held = rows.groupBy("key", "class_id").agg(F.count("*").alias("m"))
-    mixed = held.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("c"), F.max(F.struct("m", "class_id")).alias("most")).where("c > 1")
-    mixed = written(mixed.select("key", "n", "most"), "mixed")
+
+    def mixed_of(rows: DataFrame, name: str) -> DataFrame:
+        held = rows.groupBy("key", "class_id").agg(F.count("*").alias("m"))
+        mixed = held.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("c"), F.max(F.struct("m", "class_id")).alias("most")).where("c > 1")
+        return written(mixed.select("key", "n", "most"), name)
+
+    mixed = mixed_of(rows, "mixed")
+    if mixed.isEmpty():
+        return None
+    unsure = written(rows.join(mixed.select("key"), "key", "left_semi").select("doc_id", "class_id").distinct(), "unsure")
+    texts = written(seqs.join(unsure, "doc_id").join(reps.select("doc_id", "keys"), "doc_id"), "unsure_texts")
+    near = written(_in_reach(texts, k, threshold), "in_reach")
+    rows = written(rows.join(near, "doc_id", "left_semi"), "reach_classes")
+    mixed = mixed_of(rows, "mixed_in_reach")
     if mixed.isEmpty():
         return None
     main, others = F.ceil(F.col("most.m") / block), F.ceil((F.col("n") - F.col("most.m")) / block)
@@ -235,8 +277,7 @@ def _rest(large: DataFrame, classes: DataFrame, reps: DataFrame, seqs: DataFrame
         F.sequence(F.when(inside, main).otherwise(F.lit(0).cast("long")), main + others - 1).alias("with"),
     )
     rows = written(rows, "blocks")
-    texts = seqs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").join(reps.select("doc_id", "keys"), "doc_id")
-    wide = rows.join(written(texts, "block_texts"), "doc_id").withColumn("other", F.explode("with"))
+    wide = rows.join(texts.drop("class_id"), "doc_id").withColumn("other", F.explode("with"))
     wide = wide.select("key", "s", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "class_id", "keys", "seq")
     return wide.groupBy("key", "bi", "bj").applyInArrow(_settle(k, threshold), "a long, b long").distinct()
 
@@ -260,7 +301,7 @@ def _candidates(reps: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, sketches: int = SKETCHES, least: int = LEAST, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row; class_id is the least doc_id of the class, n_links counts verified links of its distinct text."""
+    """(doc_id, class_id) of every row; class_id is the least doc_id of the class."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = written(docs.mapInArrow(_signatures(k, sketches, least), "doc_id long, n_words long, d1 long, d2 long, keys array<long>"), "signatures")
@@ -283,9 +324,8 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     if more is not None:
         links = written(links.unionByName(more), "all_links")
         classes = components(links)
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = written(classes.withColumnRenamed("doc_id", "rep").join(degree, "rep"), "classes")
-    return named.join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = written(classes.withColumnRenamed("doc_id", "rep"), "classes")
+    return named.join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -60,8 +60,7 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL below states the runs of two lines; the operator and the pipeline also take single long lines
-    out = line_dedup.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), single_words=None)
+    out = line_dedup.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
@@ -130,7 +129,8 @@ s AS (SELECT doc_id, i, line, len(string_split_regex(line, '[\x20\x09-\x0D]+'))
 w AS (SELECT doc_id, i, line, n, lead(line) OVER x AS line2, lead(i) OVER x AS i2, lead(n) OVER x AS n2 FROM s WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT *, row_number() OVER x AS k, first_value(doc_id) OVER x AS fd, first_value(i) OVER x AS f1, first_value(i2) OVER x AS f2
   FROM w WHERE line2 IS NOT NULL AND n + n2 >= 10 WINDOW x AS (PARTITION BY line, line2 ORDER BY doc_id, i)),
-g AS (SELECT doc_id, i FROM r WHERE k > 1 AND NOT (doc_id = fd AND i IN (f1, f2)) UNION SELECT doc_id, i2 FROM r WHERE k > 1 AND NOT (doc_id = fd AND i2 IN (f1, f2))),
+g AS (SELECT doc_id, i FROM r WHERE k > 1 AND NOT (doc_id = fd AND i IN (f1, f2)) UNION SELECT doc_id, i2 FROM r WHERE k > 1 AND NOT (doc_id = fd AND i2 IN (f1, f2))
+  UNION SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM s WHERE n >= 50) WHERE k > 1),
 k AS (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.i) AS kept FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id),
 c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_deleted,

@@ -296,3 +296,54 @@ def test_warc_files_in_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+# --- 9 ---
+
+
+def test_pages_that_share_a_frame(spark):
+    import time
+
+    from netohm.llm import order_minhash
+
+    r = np.random.default_rng(17)
+    frame = [f"f{x}" for x in range(150)]
+    own = lambda i, n: [f"p{i}x{x}" for x in range(n)]
+    pages = [frame + own(i, 100) for i in range(2000)]
+    # two near copies of one page, a page of another length, and a family that a chain of edits holds together
+    pages += [[*pages[7][:-3], "a", "b", "c"], [*pages[7][:-6], "a", "b", "c"], frame + own(7, 40)]
+    chain = frame + own("c", 50)
+    for i in range(30):
+        chain = list(chain)
+        chain[int(r.integers(150, 200))] = f"e{i}"
+        pages.append(chain)
+    d = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = dict(map(tuple, order_minhash.near_duplicates(d).collect()))
+    assert time.time() - began < 180
+    want = {i: i for i in range(2003)} | {2000: 7, 2001: 7} | {2003 + i: 2003 for i in range(30)}
+    assert got == want
+
+
+@pytest.mark.parametrize("small", [2, 16, 10_000])
+def test_classes_do_not_depend_on_what_counts_as_large(spark, small):
+    from netohm.llm import order_minhash
+
+    r = np.random.default_rng(23)
+    base = [[f"b{f}w{x}" for x in range(120)] for f in range(3)]
+    texts = []
+    for i in range(90):
+        w = list(base[i % 3])
+        for j in r.choice(120, int(r.integers(0, 9)), replace=False):
+            w[j] = f"e{i}x{j}"
+        texts.append(w)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    code = {}
+    seqs = [np.array([code.setdefault(x, len(code)) for x in t], np.uint32) for t in texts]
+    root = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if order_minhash.aligned(seqs[i], seqs[j], 5, 0.8) >= 0.8:
+                u, v = root[i], root[j]
+                root = [min(u, v) if x in (u, v) else x for x in root]
+    assert dict(map(tuple, order_minhash.near_duplicates(d, small=small).collect())) == dict(enumerate(root))

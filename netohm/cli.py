@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from netohm.operators import rewrite
 from netohm.operators.compare import compare, coupling_report, summary_text
 from netohm.sources import datafiles
-from netohm.sources.spef import collect_spef_paths, read_spefs
+from netohm.sources.shared import phases
+from netohm.sources.spef import collect_spef_paths, read_each
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,10 +26,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=-1)
     p.add_argument("--output", "-o")
     p.add_argument("--res-method", choices=("dijkstra", "equivalent"), default="dijkstra")
+    p.add_argument("--phases", action="store_true", help="print seconds and figures of each phase")
     return p
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    with phases() as log:
+        code = _main(args, spark)
+    if "--phases" in (args or []):
+        for x in log:
+            print(f"[phase] {x['phase']}: {x['seconds']:.2f} s, " + ", ".join(f"{v} {k}" for k, v in x.items() if k not in ("phase", "seconds")))
+    return code
+
+
+def _main(args: list[str] | None, spark: SparkSession | None) -> int:
     p = parser()
     a = p.parse_args(args)
     paths = collect_spef_paths(a.spef)
@@ -46,7 +57,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         rewrite.write_blocks(blocks, a.output, in_order)
         return 0
     if len(paths) >= 2:
-        one, two = read_spefs(spark, paths[:2])
+        libraries, report = read_each(spark, paths[:2])
+        for r in report.where("error is not null or damaged > 0").collect():  # two rows at most
+            print(f"[spef] {r['path']}: {r['error'] or str(r['damaged']) + ' damaged blocks left out'}")
+        if len(libraries) < 2:
+            for name, lib in libraries.items():
+                print(f"[spef] {name}: {lib.nets.count()} nets, {lib.coupling_caps.count()} coupling pairs")
+            return 1
+        one, two = libraries.values()
         c = compare(one, two, a.res_method)
         for df, path, columns in ((c.cap, a.net_cap_data, datafiles.CAP), (c.res, a.net_res_data, datafiles.RES), (c.ccap, a.net_ccap_data, datafiles.CCAP)):
             if path:

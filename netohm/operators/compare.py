@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from netohm.functions import stats
 from netohm.functions import units as U
 from netohm.operators.coupling import regroup
-from netohm.operators.resistance import driver_sink_resistances
 from netohm.sources.shared import kept
 from netohm.sources.spef import SpefLibrary
 
@@ -69,7 +68,7 @@ def in_ohm(resistances: DataFrame, libraries: DataFrame) -> DataFrame:
 
 def compare(a: SpefLibrary, b: SpefLibrary, method: str = "dijkstra") -> Comparison:
     """All sections, worked out once as tables in the shared folder."""
-    res = [in_ohm(driver_sink_resistances(x.nets, method), x.libraries) for x in (a, b)]
+    res = [in_ohm(x.resistances(method), x.libraries) for x in (a, b)]
     parts = {"cap": compare_caps(a.nets, b.nets), "res": compare_resistances(*res), "ccap": compare_coupling(a.coupling_caps, b.coupling_caps)}
     return Comparison(**{k: kept(df, k) for k, df in parts.items()})
 
@@ -94,7 +93,7 @@ def with_coupling_pct(ccap: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def nearest_point(df: DataFrame, x: str, y: str, at: tuple[float, float], keys: list[str], radius: float | None = None) -> DataFrame:
-    """The row next to a place; ties go to the least keys."""
+    """The row next to a place by a look at all rows; ties go to the least keys. For many look-ups there is operators.nearest."""
     d2 = (F.col(x) - at[0]) ** 2 + (F.col(y) - at[1]) ** 2
     out = df.withColumn("d2", d2)
     if radius is not None:

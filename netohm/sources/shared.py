@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_LOG = threading.local()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,10 +43,36 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: worked out once, and it survives lost executors."""
+@contextmanager
+def phases() -> Iterator[list[dict]]:
+    """The tables that this thread makes meanwhile, one after the other: phase, seconds, rows and the figures that Spark observed while writing each."""
+    before, _LOG.phases = getattr(_LOG, "phases", None), []
+    try:
+        yield _LOG.phases
+    finally:
+        _LOG.phases = before
+
+
+def phase_table(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """A row for each phase; figures that a phase doesn't have are null."""
+    names = ("phase", "seconds", "rows", "names", "nets", "sinks", "resistors", "capacitors")
+    return spark.createDataFrame([tuple(p.get(n) for n in names) for p in log], "phase string, seconds double, " + ", ".join(f"{n} long" for n in names[2:]))
+
+
+def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """df as a table in the shared folder, worked out once so that it survives lost executors; rows, and figures (aggregates) observed on the way."""
     spark = df.sparkSession
     ship(spark)
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = scratch(spark, name), Observation()
+    began = time.time()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in figures.items()]).write.parquet(path)
+    got = {"rows": 0} | {k: v or 0 for k, v in seen.get.items()}
+    log = getattr(_LOG, "phases", None)
+    if log is not None:
+        log.append({"phase": name, "seconds": time.time() - began, **got})
+    return spark.read.schema(df.schema).parquet(path), got
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table of measured()."""
+    return measured(df, name)[0]

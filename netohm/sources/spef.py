@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from netohm.functions import text as T
 from netohm.functions import units as U
 from netohm.sources import spef_source
-from netohm.sources.shared import kept, ship
+from netohm.sources.shared import kept, measured, ship
 from netohm.sources.tokens import NET_COLUMNS, Names, number, parse_blocks, parse_header_text
 
 #: Name maps up to this many names (some 100 bytes each) go to all tasks.
@@ -48,6 +48,15 @@ class SpefLibrary:
     blocks: DataFrame | None = None
     #: As operators.coupling.resolve_ends has it.
     plain: bool = False
+    _resistances: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+
+    def resistances(self, method: str = "dijkstra") -> DataFrame:
+        """driver_sink_resistances() of the nets, worked out once for each method and kept as a table: all that use this library share it."""
+        if method not in self._resistances:
+            from netohm.operators.resistance import driver_sink_resistances
+
+            self._resistances[method] = kept(driver_sink_resistances(self.nets, method), f"resistances_{method}")
+        return self._resistances[method]
 
     @property
     def damaged(self) -> DataFrame:
@@ -202,14 +211,16 @@ def _parse(names, text: bool):
     return run
 
 
-def parse_blocks_of(blocks: DataFrame, name_map: DataFrame, broadcast_names: int = BROADCAST_NAMES, text: bool = False) -> DataFrame:
+def parse_blocks_of(blocks: DataFrame, name_map: DataFrame, broadcast_names: int = BROADCAST_NAMES, text: bool = False, most_names: int | None = None) -> DataFrame:
     """A row for each net block, as SpefLibrary.blocks has them, kept as a table.
 
-    Up to broadcast_names names go to all tasks; more of them meet the blocks in a join on the ids that each block holds.
+    Up to broadcast_names names go to all tasks; more of them meet the blocks in a join on the ids that each block holds. most_names, if known, is
+    a bound of the names.
     """
     spark = blocks.sparkSession
     rows, names = blocks.where("not is_header").select("lib_id", "pos", "block"), None
-    listed = name_map.select("id", "name").limit(broadcast_names + 1).toArrow().combine_chunks()
+    listed = name_map.select("id", "name")
+    listed = (listed if (most_names or broadcast_names + 1) <= broadcast_names else listed.limit(broadcast_names + 1)).toArrow().combine_chunks()
     if listed.num_rows <= broadcast_names:
         names = spark.sparkContext.broadcast(Names(*(pa.concat_arrays(listed.column(c).chunks) if listed.num_rows else pa.array([], pa.string()) for c in ("id", "name"))))
     else:
@@ -217,7 +228,9 @@ def parse_blocks_of(blocks: DataFrame, name_map: DataFrame, broadcast_names: int
         net = rows.select("lib_id", "pos", F.regexp_extract("block", r"^\s*\*D_NET[ \t]+(\*[^\s:]+)", 1).alias("id"))
         met = ids.unionByName(net).distinct().join(name_map, ["lib_id", "id"]).groupBy("lib_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("names"))
         rows = rows.join(met, ["lib_id", "pos"], "left")
-    return kept(rows.mapInArrow(_parse(names, text), f"lib_id string, pos {POS}, {BLOCK}, block string"), "nets")
+    found = rows.mapInArrow(_parse(names, text), f"lib_id string, pos {POS}, {BLOCK}, block string")
+    total = lambda c: F.sum(F.size(c).cast("long"))
+    return measured(found, "nets", nets=F.count("net"), sinks=total("sinks"), resistors=total("edges"), capacitors=total("raw_ccaps"))[0]
 
 
 def merge_nets(blocks: DataFrame, libraries: dict[str, tuple]) -> tuple[DataFrame, bool]:
@@ -247,20 +260,41 @@ def read_spef(spark: SparkSession, path: str, lib_id: str | None = None, text: b
     from netohm.operators.coupling import resolve_coupling
 
     lib_id = lib_id or os.path.splitext(os.path.basename(path))[0]
-    found, name_map = parse_header(kept(read_header(read_blocks(spark, path, lib_id, "header")), "header"))
+    header, figures = measured(read_header(read_blocks(spark, path, lib_id, "header")), "header", names=F.count_if(F.col("kind") == "name"))
+    found, name_map = parse_header(header)
     units = {lib_id: found.get(lib_id, (*DEFAULT_UNITS, 1.0, 1.0))}  # a file without a header has default units
     libraries = spark.createDataFrame([(lib_id, *units[lib_id])], "lib_id string, t_unit string, c_unit string, r_unit string, l_unit string, c_scale double, r_scale double")
-    blocks = parse_blocks_of(read_blocks(spark, path, lib_id, "nets"), name_map, text=text)
+    blocks = parse_blocks_of(read_blocks(spark, path, lib_id, "nets"), name_map, text=text, most_names=figures["names"])
     nets, plain = merge_nets(blocks, units)
     return SpefLibrary(libraries, name_map, nets, resolve_coupling(nets, libraries, name_map, plain), blocks, plain)
 
 
-def read_spefs(spark: SparkSession, paths: list[str]) -> list[SpefLibrary]:
-    """Libraries of several files, in their order, with unique names."""
+def _named(paths: list[str]) -> list[tuple[str, str]]:
+    """(path, name) with unique names."""
     taken: set[str] = set()
     out = []
     for p in paths:
-        name = unique_name(os.path.splitext(os.path.basename(p))[0], taken)
-        taken.add(name)
-        out.append(read_spef(spark, p, name))
+        out.append((p, unique_name(os.path.splitext(os.path.basename(p))[0], taken)))
+        taken.add(out[-1][1])
     return out
+
+
+def read_spefs(spark: SparkSession, paths: list[str]) -> list[SpefLibrary]:
+    """Libraries of several files, in their order, with unique names; the first error ends it."""
+    return [read_spef(spark, p, name) for p, name in _named(paths)]
+
+
+def read_each(spark: SparkSession, paths: list[str]) -> tuple[dict[str, SpefLibrary], DataFrame]:
+    """(libraries by name, report): each file for itself, so that one that fails leaves the others.
+
+    report: lib_id, path, nets, damaged (blocks without a net and a total), error; a row for each file, error is null for those that were read.
+    """
+    libraries, rows = {}, []
+    for p, name in _named(paths):
+        try:
+            lib = libraries[name] = read_spef(spark, p, name)
+            got = lib.blocks.agg(F.count_if(F.col("net").isNotNull()).alias("nets"), F.count_if(F.col("net").isNull()).alias("damaged")).first()
+            rows.append((name, p, got["nets"], got["damaged"], None))
+        except Exception as e:  # noqa: BLE001  a file that fails is reported, the others stay
+            rows.append((name, p, None, None, f"{type(e).__name__}: {e}"[:1000]))
+    return libraries, spark.createDataFrame(rows, "lib_id string, path string, nets long, damaged long, error string")

@@ -10,12 +10,13 @@ from netohm import cli
 from netohm.functions import text as T
 from netohm.operators import compare as C
 from netohm.operators import resistance as R
-from netohm.operators import rewrite, views
+from netohm.operators import nearest, rewrite, views
 from netohm.operators.filters import CompareFilter
 from netohm.plans import generator
 from netohm.sources import datafiles
 from netohm.sources.registry import Registry
-from netohm.sources.spef import read_spef, read_spefs
+from netohm.sources.shared import phase_table, phases
+from netohm.sources.spef import read_each, read_spef, read_spefs
 from netohm.streaming.data_stream import stream_caps
 
 HEAD = "*C_UNIT 1 PF\n*R_UNIT 1 OHM\n*NAME_MAP\n*1 a\n*2 b\n*3 c\nend of section\n*9 lost\n*NAME_MAP\n*4 d\n*1 other\n*PORTS\n*5 I\n"
@@ -198,3 +199,66 @@ def test_stream(spark, tmp_path):
     q = stream_caps(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("caps").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("caps").collect())) == [("a", 1.0, 2.0), ("c", 5.0, 6.0)]
+
+
+def test_files_read_each_for_itself(spark, two, tmp_path, capsys):
+    (tmp_path / "bad.spef").write_text(open(two[1]).read() + "*D_NET lonely\n*CONN\n*END\n")
+    bad, gone = str(tmp_path / "bad.spef"), str(tmp_path / "gone.spef")
+    libraries, report = read_each(spark, [gone, bad, two[0], bad])
+    assert list(libraries) == ["bad", "one", "bad_2"] and {r["net"] for r in libraries["bad"].nets.collect()} == {"a", "b", "d"}
+    got = {r["lib_id"]: r for r in report.collect()}
+    assert got["gone"]["error"].startswith("FileNotFoundError") and got["bad"]["error"] is None
+    assert [(n, got[n]["nets"], got[n]["damaged"]) for n in ("bad", "one", "gone")] == [("bad", 3, 1), ("one", 4, 0), ("gone", None, None)]
+    assert cli.main([two[0], bad, "--phases"], spark) == 0
+    said = capsys.readouterr().out
+    assert f"[spef] {bad}: 1 damaged blocks left out" in said and "cap: 2 rows" in said
+    assert "[phase] header: " in said and "4 nets" in said and "capacitors" in said
+
+
+def test_phases(spark, two):
+    with phases() as log:
+        a, b = read_spefs(spark, two)
+        C.compare(a, b)
+    rows = phase_table(spark, log).collect()
+    assert [r["phase"] for r in rows] == ["header", "nets", "header", "nets", "resistances_dijkstra", "resistances_dijkstra", "cap", "res", "ccap"]
+    nets = [r for r in rows if r["phase"] == "nets"]
+    assert [(r["rows"], r["nets"], r["sinks"], r["resistors"], r["capacitors"]) for r in nets] == [(4, 4, 4, 6, 4), (3, 3, 3, 4, 4)]
+    assert [r["names"] for r in rows if r["phase"] == "header"] == [4, 4] and rows[-2]["rows"] == 3 and all(r["seconds"] > 0 for r in rows)
+    kept_before = len(log)
+    read_spef(spark, two[0])
+    assert len(log) == kept_before
+
+
+def test_graph_searches_run_once_for_a_library(spark, two):
+    a, b = (read_spef(spark, p, text=True) for p in two)
+    with phases() as log:
+        C.compare(a, b)
+        C.compare(b, a)
+        res = spark.createDataFrame([("b", "b:s", 6.0)], "net string, sink string, value double")
+        rewrite.backmark_blocks(spark, two[0], res=res, lib=a).collect()
+        C.compare(a, b, "equivalent")
+    assert [x["phase"] for x in log].count("resistances_dijkstra") == 2 and [x["phase"] for x in log].count("resistances_equivalent") == 2
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan(a.resistances()) and "MapInPandas" not in plan(C.in_ohm(a.resistances(), a.libraries))
+    assert "MapInPandas" in plan(R.driver_sink_resistances(a.nets))
+
+
+@pytest.mark.parametrize("per_cell", [1, 7, 10_000])
+def test_nearest_points_by_grid(spark, per_cell):
+    r = random.Random(per_cell)
+    points = [(f"p{i}", r.choice([round(r.gauss(0, 1), 2), r.uniform(0, 90)]), round(r.gauss(0, 1), 2)) for i in range(400)]
+    points += [("tie1", 3.0, 3.0), ("tie0", 3.0, 1.0), ("tie2", 3.0, 3.0), ("null", None, 1.0), ("nan", float("nan"), 1.0), ("inf", 1.0, float("inf"))]
+    g = nearest.grid(spark.createDataFrame(points, "net string, c1 double, c2 double"), "c1", "c2", ["net"], per_cell)
+    whole = points[:-3]
+    for at in [(3.0, 2.0), (0.0, 0.0), (-50.0, 4.0), (45.5, 100.0), (r.uniform(0, 90), r.gauss(0, 1))]:
+        for radius in (None, 0.3, 60.0):
+            near = min(((x - at[0]) ** 2 + (y - at[1]) ** 2, n) for n, x, y in whole)
+            got = [(x["d2"], x["net"]) for x in g.nearest(at, radius).collect()]
+            assert got == ([near] if radius is None or near[0] <= radius * radius else [])
+    if per_cell == 7:
+        assert g.cells > 5 and g.around((0.0, 0.0), 0).count() < 200
+        scan = g.around((80.0, 0.0), 1)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(gx" in scan and "GreaterThanOrEqual(gy" in scan
+    assert nearest.grid(spark.createDataFrame([], "net string, c1 double, c2 double"), "c1", "c2", ["net"]).nearest((0.0, 0.0)).count() == 0
+    same = nearest.grid(spark.createDataFrame([("b", 1.0, 1.0), ("a", 1.0, 1.0)], "net string, c1 double, c2 double"), "c1", "c2", ["net"], 1)
+    assert same.nearest((5.0, 5.0)).first()["net"] == "a"

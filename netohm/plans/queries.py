@@ -329,7 +329,7 @@ def backmark_chain(s, d):
     """Resistance targets on chains, whose sinks share segments: the last segment takes what its target leaves, the others the average ratio."""
     want = resistance.driver_sink_resistances(D.nets(s, d, True)).select("net", "sink", F.col("r").alias("value"))
     edges = _backmarked(s, d, res=want).nets.select("net", F.explode("edges").alias("e"))
-    return edges.groupBy("net").agg(F.count("*").alias("n"), (F.floor(F.sum("e.r") * 1e4 + 0.5) / 1e4).alias("r"))
+    return edges.groupBy("net").agg(F.count("*").alias("n"), (F.floor(F.sum("e.r") * 1e4 + 0.505) / 1e4).alias("r"))  # sums of values with six decimals never lie on this border
 
 
 def damaged_blocks(s, d):
@@ -452,6 +452,6 @@ g AS (SELECT net, c1, c2, CASE WHEN c2 IS NULL THEN c1 / 2 ELSE c2 - coalesce(co
 SELECT net, {_m('coalesce(c2, c1)', 'total_cap')}, {_m("CASE WHEN abs(g) < 1e-4 THEN g ELSE CAST(printf('%.6f', g) AS DOUBLE) END", 'ground')} FROM g""",
     "backmark_chain": f"""WITH {_RES}, x AS (SELECT res.*, r2 / r1 AS q, row_number() OVER (PARTITION BY net ORDER BY sink DESC) AS back FROM res), v AS (SELECT net, avg(q) AS mean FROM x GROUP BY net),
 s AS (SELECT x.net, sink, mean, CASE WHEN back > 1 OR r2 - (r1 - m1) * mean <= 0 THEN mean ELSE (r1 * q - (r1 - m1) * mean) / m1 END AS scale FROM x JOIN v USING (net) JOIN seg ON 'net_' || k = x.net AND sink = x.net || ':s' || ln)
-SELECT 'net_' || l_orderkey AS net, count(*) AS n, floor(sum(round(l_quantity * scale, 6)) * 1e4 + 0.5) / 1e4 AS r FROM lineitem JOIN s ON net = 'net_' || l_orderkey AND sink = 'net_' || l_orderkey || ':s' || l_linenumber GROUP BY ALL""",
+SELECT 'net_' || l_orderkey AS net, count(*) AS n, floor(sum(round(l_quantity * scale, 6)) * 1e4 + 0.505) / 1e4 AS r FROM lineitem JOIN s ON net = 'net_' || l_orderkey AND sink = 'net_' || l_orderkey || ':s' || l_linenumber GROUP BY ALL""",
     "damaged_blocks": "SELECT 'read' AS state, count(*) FILTER (o_orderkey % 5 <> 0) AS nets, count(*) FILTER (o_orderkey % 5 = 0) AS damaged FROM orders UNION ALL SELECT 'failed', 0, 0",
 } | {f"r_agg_{how}": f"WITH {_RES} SELECT net, floor({fn}(r1) * 1e6 + 0.5) / 1e6 AS r FROM res GROUP BY ALL" for how, fn in (("max", "max"), ("avg", "avg"), ("total", "sum"))}

@@ -347,3 +347,58 @@ def test_classes_do_not_depend_on_what_counts_as_large(spark, small):
                 u, v = root[i], root[j]
                 root = [min(u, v) if x in (u, v) else x for x in root]
     assert dict(map(tuple, order_minhash.near_duplicates(d, small=small).collect())) == dict(enumerate(root))
+
+
+# --- 2 ---
+
+
+def small_network(seed=3):
+    from netohm.llm import toxicity as X
+
+    r = np.random.default_rng(seed)
+    net = X.Network(np.zeros(0, np.uint64), np.zeros((1, X.WORD_DIM), np.float32), r.standard_normal((X.CHAR_TABLE, X.CHAR_DIM)).astype(np.float32), seed)
+    return X, r, net
+
+
+def test_gradients_against_differences():
+    X, r, net = small_network()
+    x = r.standard_normal((9, X.WORD_DIM + X.CHAR_DIM)).astype(np.float32)
+    window = r.integers(0, 9, (5, X.WIDTH))
+    for i, n in enumerate((1, 7, 20, 48, 33)):
+        window[i, n:] = -1
+    y = np.array([0, 1, 1, 0, 1], np.float32)
+
+    def loss(x):
+        logit = net.run(net.gates(x), window)[0].astype(float)
+        return np.mean(np.logaddexp(0, logit) - y * logit)
+
+    g, dx = net.gradient(x, window, y)
+    step = 1e-2
+    for name in ("w", "b", "v", "Wf", "Uf", "cf", "Wb", "Ub", "cb"):
+        p = net.p[name]
+        for at in {tuple(int(r.integers(0, n)) for n in p.shape) for _ in range(6)}:
+            old = p[at]
+            p[at] = old + step
+            up = loss(x)
+            p[at] = old - step
+            down = loss(x)
+            p[at] = old
+            assert abs((up - down) / (2 * step) - g[name][at]) < 2e-4 + 0.02 * abs(g[name][at]), (name, at)
+    for at in [(0, 0), (3, 5), (8, 15)]:
+        up, down = x.copy(), x.copy()
+        up[at] += step
+        down[at] -= step
+        assert abs((loss(up) - loss(down)) / (2 * step) - dx[at]) < 2e-4 + 0.02 * abs(dx[at])
+
+
+def test_scores_window_by_window():
+    import pyarrow as pa
+
+    X, r, net = small_network(4)
+    texts = [" ".join(f"word{x}" for x in r.integers(0, 40, n)) for n in (1, 20, 48, 49, 81, 200)] + ["", None, "...", "x " * 70]
+    got = net.scores(pa.array(texts, pa.string()), most=3)
+    for text, score in zip(texts, got):
+        words = (text or "").replace(".", " ").split()
+        starts = [0, *range(X.STRIDE, len(words) - X.WIDTH + X.STRIDE, X.STRIDE)] if words else []
+        each = [float(net.scores(pa.array([" ".join(words[s : s + X.WIDTH])]))[0]) for s in starts]
+        assert abs(max(each, default=0.0) - score) < 1e-5

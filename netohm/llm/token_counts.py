@@ -19,6 +19,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 from pathlib import Path
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ LIMIT = 1024
 HEAD, LONG = 200_000, 64
 #: Distinct strings that a task holds before it hands its frequencies on.
 MOST = 300_000
+#: Chunks whose tokens a task remembers.
+MEMO = 700_000
 
 
 def key_of(piece: str) -> str:
@@ -44,51 +47,39 @@ def key_of(piece: str) -> str:
     return "#" + hashlib.sha256(b).hexdigest()
 
 
-class _Odd(Exception):
-    """White space that this chunk doesn't hold in whole."""
-
-
-class _Chunks(dict):
-    """The pre-tokens of chunks between single spaces; front is the space before them or nothing."""
-
-    def __init__(self, front: str):
-        self.front = front
-
-    def __missing__(self, chunk: str) -> tuple[str, ...]:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Odd
-        if len(self) >= MOST:
-            self.clear()
-        self[chunk] = out = tuple(PATTERN.findall(self.front + chunk))
-        return out
-
-
 class Splitter:
-    """Pre-token frequencies of texts."""
+    """Texts as pre-tokens, or as chunks between single spaces that are split into pre-tokens once for each distinct chunk."""
 
     def __init__(self, special: tuple[str, ...]):
         longest = sorted(special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest))) if special else None
-        self.first, self.rest = _Chunks(""), _Chunks(" ")
+        self.good: set[str] = set()  # chunks without white space at their ends
 
-    def _add(self, part: str, out: dict[str, int]) -> None:
-        first, *rest = part.split(" ")
-        try:
-            found = [(self.first[first], 1), *((self.rest[c], f) for c, f in Counter(rest).items())]
-        except _Odd:
-            found = [((p,), f) for p, f in Counter(PATTERN.findall(part)).items()]
-        for pieces, f in found:
-            for p in pieces:
-                out[p] = out.get(p, 0) + f
-
-    def frequencies(self, text: str) -> tuple[dict[str, int], int]:
-        """Frequencies of a text's pre-tokens, and the number of special strings in it."""
+    def parts(self, text: str) -> tuple[list[str], int]:
+        """The stretches between special strings, and the number of those."""
         parts = self.special.split(text) if self.special else [text]
-        out: dict[str, int] = {}
-        for part in parts:
-            if part:
-                self._add(part, out)
-        return out, len(parts) - 1
+        return [p for p in parts if p], len(parts) - 1
+
+    def pieces(self, part: str) -> tuple[list[str], list[str]]:
+        """(pre-tokens, chunks) of a stretch: chunks stand for what follows a space, the front for itself. White space beside a space is for the pattern to divide, in whole."""
+        first, *rest = part.split(" ")
+        if not self.good.issuperset(rest):
+            if len(self.good) >= MEMO:
+                self.good.clear()
+            for c in set(rest) - self.good:
+                if not c or c[0].isspace() or c[-1].isspace():
+                    return PATTERN.findall(part), []
+                self.good.add(c)
+        return (PATTERN.findall(part), []) if first[-1:].isspace() else (PATTERN.findall(first), rest)
+
+
+def of_chunk(chunk: str) -> list[str]:
+    """The pre-tokens of a chunk and the space before it."""
+    if chunk.isalpha():  # letters are one
+        return [" " + chunk]
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return PATTERN.findall(" " + chunk)
 
 
 def _special(path: str) -> tuple[str, ...]:
@@ -106,22 +97,29 @@ def _gathered(special: tuple[str, ...]):
     """Frequencies of keys by task; piece is null where it is the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, held = Splitter(special), {}
+        splitter, alone, chunks = Splitter(special), Counter(), Counter()
 
         def rows():
-            keys = [key_of(p) for p in held]
-            pieces = [None if k == p else p for k, p in zip(keys, held)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(pieces, pa.string()), pa.array(held.values(), pa.int64())], names=["key", "piece", "n"])
+            for c, f in chunks.items():
+                for p in of_chunk(c):
+                    alone[p] += f
+            keys = [key_of(p) for p in alone]
+            pieces = [None if k == p else p for k, p in zip(keys, alone)]
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(pieces, pa.string()), pa.array(alone.values(), pa.int64())], names=["key", "piece", "n"])
+            alone.clear()
+            chunks.clear()
+            return out
 
         for batch in batches:
             for b in H.pieces(batch):
                 for text in b.column("text").to_pylist():
-                    for p, f in splitter.frequencies(text or "")[0].items():
-                        held[p] = held.get(p, 0) + f
-                if len(held) >= MOST:
+                    for part in splitter.parts(text or "")[0]:
+                        own, rest = splitter.pieces(part)
+                        alone.update(own)
+                        chunks.update(rest)
+                if len(alone) + len(chunks) >= MOST:
                     yield rows()
-                    held.clear()
-        if held:
+        if alone or chunks:
             yield rows()
 
     return run
@@ -139,29 +137,65 @@ def _counted(path: str):
     return run
 
 
+class _Costs(dict):
+    """Tokens of a chunk in broadcast pre-tokens; rest has the others of chunks that hold some."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.rest = known, {}
+
+    def bound(self) -> None:
+        """Between texts: forget chunks where there are too many."""
+        if len(self) >= MEMO:
+            self.clear()
+            self.rest.clear()
+
+    def of(self, pieces: list[str]) -> tuple[int, list[str]]:
+        total, others = 0, []
+        for p in pieces:
+            n = self.known.get(p)
+            if n is None and len(p) * 4 > LONG:
+                p = key_of(p)
+                n = self.known.get(p)
+            if n is None:
+                others.append(p)
+            else:
+                total += n
+        return total, others
+
+    def __missing__(self, chunk: str) -> int:
+        total, others = self.of(of_chunk(chunk))
+        self[chunk] = total
+        if others:
+            self.rest[chunk] = others
+        return total
+
+
 def _met(special: tuple[str, ...], head):
     """Each document's tokens in broadcast pre-tokens, and the frequencies of its others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, known = Splitter(special), head.value
+        splitter, costs = Splitter(special), _Costs(head.value)
         for batch in batches:
             for b in H.pieces(batch):
                 tokens, keys, freqs, sizes = [], [], [], []
                 for text in b.column("text").to_pylist():
-                    own, total = splitter.frequencies(text or "")
-                    before = len(keys)
-                    for p, f in own.items():
-                        k = known.get(p)
-                        if k is None and len(p) * 4 > LONG:
-                            p = key_of(p)
-                            k = known.get(p)
-                        if k is None:
-                            keys.append(p)
-                            freqs.append(f)
-                        else:
-                            total += k * f
+                    costs.bound()
+                    parts, total = splitter.parts(text or "")
+                    others: dict[str, int] = {}
+                    for part in parts:
+                        own, rest = splitter.pieces(part)
+                        more, left = costs.of(own)
+                        chunks = Counter(rest)
+                        total += more + sum(map(mul, map(costs.__getitem__, chunks), chunks.values()))
+                        for k in left:
+                            others[k] = others.get(k, 0) + 1
+                        for c in [c for c in chunks if c in costs.rest]:
+                            for k in costs.rest[c]:
+                                others[k] = others.get(k, 0) + chunks[c]
                     tokens.append(total)
-                    sizes.append(len(keys) - before)
+                    keys += others
+                    freqs += others.values()
+                    sizes.append(len(others))
                 rest = [H.lists(keys, sizes, pa.string()), H.lists(freqs, sizes, pa.int64())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), b.column("n_bytes"), pa.array(tokens, pa.int64()), *rest], names=["doc_id", "t", "n_bytes", "tokens", "keys", "freqs"])
 

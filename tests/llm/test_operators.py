@@ -191,6 +191,41 @@ def test_line_dedup_against_brute_force(spark, min_lines):
     assert got == {i: t for (i, _), t in zip(texts, brute_lines(texts, min_lines, 10, 12))}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_line_runs_are_maximal(spark, size):
+    r = np.random.default_rng(40 + size)
+    seqs = [[f"line {k} of a few words" for k in r.choice(4, r.integers(0, 40), p=[0.4, 0.3, 0.2, 0.1])] for _ in range(15)]
+    seqs += [seqs[3] + seqs[4], ["line 0 of a few words"] * 20, [f"other line {k} that comes in one place and its copy" for k in range(70)]]
+    seqs += [seqs[-1][5:60] + ["an end"], seqs[-1]]
+    first, want = {}, set()
+    for d, s in enumerate(seqs):
+        for j in range(len(s) - size + 1):
+            first.setdefault(tuple(s[j : j + size]), (d, j))
+    source = lambda d, j: first.get(tuple(seqs[d][j : j + size])) if 0 <= j <= len(seqs[d]) - size else None
+    for d, s in enumerate(seqs):
+        for j in range(len(s) - size + 1):
+            e, f = source(d, j)
+            if (e, f) == (d, j) or j and source(d, j - 1) == (e, f - 1) != (d, j - 1):
+                continue
+            n = 1
+            while source(d, j + n) == (e, f + n):
+                n += 1
+            n += size - 1
+            assert s[j : j + n] == seqs[e][f : f + n]
+            want.add((d, j, e, f, n))
+    docs = spark.createDataFrame([(d, "\n \n".join(s)) for d, s in enumerate(seqs)], "doc_id long, text string").repartition(3)
+    rows = line_dedup.repeated_runs(docs, size, 0, None).collect()
+    assert {(x["doc_id"], x["j"], x["first"]["doc_id"], x["first"]["j"], x["lcp"]) for x in rows} == want and len(rows) == len(want)
+    assert all(x["lines"] == list(range(2 * x["j"], 2 * (x["j"] + x["lcp"]), 2)) for x in rows)
+
+
+def test_lines_of_rows_without_id(spark):
+    a = "alpha beta gamma delta epsilon\none two three four five six\n" + " ".join(words(33, 60))
+    d = spark.createDataFrame([(None, a), (1, a), (2, a), (None, None)], "doc_id long, text string")
+    got = [(x["doc_id"], x["text"], x["n_deleted"]) for x in line_dedup.remove_repeated_runs(d).collect()]
+    assert sorted(got, key=str) == sorted([(None, a, 0), (1, a, 0), (2, "", 3), (None, None, 0)], key=str)
+
+
 def test_line_dedup_of_overlaps_and_repeated_ids(spark):
     a, b, own = "alpha beta gamma delta epsilon", "one two three four five six", "nothing else holds this line\nnor this one of six words"
     texts = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}"), (2, own), (3, f"{own}"), (4, "\n".join(["some words that make a line"] * 3)), (5, "x"), (5, "x")]

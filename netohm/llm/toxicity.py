@@ -3,8 +3,9 @@
 A step's input is a word: a learnt vector for words that several training documents hold, joined to the sum of learnt
 vectors of the word's hashed character 3- and 4-grams. Two gated recurrent layers read a window of words in both
 directions; attention pools their states; a logistic unit gives the window's score. Windows of WIDTH words start at every
-STRIDE-th word and overlap; a document scores as its highest window. Training takes the highest window of each document
-(multiple instances), by Adam and back-propagation through time.
+STRIDE-th word and overlap, so that any WIDTH - STRIDE + 1 words in a row lie whole in one; a document scores as its highest
+window. Training takes the highest window of each document (multiple instances) of those at every LEARN_STRIDE-th word, by
+Adam and back-propagation through time.
 
 The fit uses at most PER_CLASS labelled documents of each class, those with the least hash of doc_id among texts
 of up to MAX_CHARS characters; scoring covers every window of every whole text.
@@ -24,7 +25,7 @@ from netohm.llm import hashing as H
 from netohm.llm.work import ship
 
 PER_CLASS, MAX_CHARS = 1500, 20_000
-WIDTH, STRIDE = 48, 32
+WIDTH, STRIDE, LEARN_STRIDE = 48, 20, 32
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 12
 #: Tables learn more slowly, so that the network reads them before they learn single documents by heart.
 TABLE_RATE = 0.05
@@ -53,14 +54,14 @@ def _text(words: H.Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Inputs:
     """The distinct words of a batch of texts as inputs, and the windows of its texts as indices of them."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, stride: int = STRIDE):
         words = H.Words(texts, BETWEEN, FOLD)
         self.hash, first, self.word = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.grams, self.gram_count = _text(words, first)
         n = words.counts
-        per = np.where(n > 0, np.maximum(-(-(n - WIDTH) // STRIDE), 0) + 1, 0)
+        per = np.where(n > 0, np.maximum(-(-(n - WIDTH) // stride), 0) + 1, 0)
         self.doc = np.repeat(np.arange(len(n)), per)
-        start = np.repeat(words.first[:-1], per) + STRIDE * (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per))
+        start = np.repeat(words.first[:-1], per) + stride * (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per))
         self.size = np.minimum(WIDTH, np.repeat(words.first[1:], per) - start)
         self.at = start
         self.n_docs = len(n)
@@ -175,7 +176,7 @@ class Network:
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     """Train on whole texts and their 0/1 labels."""
-    inp = Inputs(pa.array(texts, pa.string()))
+    inp = Inputs(pa.array(texts, pa.string()), LEARN_STRIDE)
     y = labels.astype(np.float32)
     # every fifth document only tells when to stop
     teach = np.arange(len(y)) % 5 != 4 if len(y) >= 20 else np.ones(len(y), bool)

@@ -402,3 +402,15 @@ def test_scores_window_by_window():
         starts = [0, *range(X.STRIDE, len(words) - X.WIDTH + X.STRIDE, X.STRIDE)] if words else []
         each = [float(net.scores(pa.array([" ".join(words[s : s + X.WIDTH])]))[0]) for s in starts]
         assert abs(max(each, default=0.0) - score) < 1e-5
+
+
+def test_a_toxic_span_counts_wherever_it_starts():
+    """Spans of up to WIDTH - STRIDE + 1 words lie whole in a window, so no place in a long text hides one."""
+    import pyarrow as pa
+
+    X, _, _ = small_network()
+    for n in (1, 20, X.WIDTH - X.STRIDE + 1):
+        for length in (n, 60, 137, 300):
+            inp = X.Inputs(pa.array([" ".join(f"w{k}" for k in range(length))], pa.string()))
+            at, end = inp.at, inp.at + inp.size
+            assert all(((at <= k) & (k + n <= end)).any() for k in range(length - n + 1))

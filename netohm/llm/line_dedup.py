@@ -1,13 +1,16 @@
 """Removal of repeated line runs from a suffix array over line ids, by distributed prefix doubling.
 
 Every line with a word gets an id; lines without words are no part of the sequence and stay. Suffixes are ranked by their
-first line, then by their first 2, 4, ... lines: the rank over 2n lines is that of the pair of ranks at j and j + n, in one
-global sort of the distinct pairs by range. The last step joins two ranks that overlap, so suffixes end up ranked by exactly
-min_lines lines; the ranks order them as the suffix array does. Suffixes whose prefix occurs once are dropped in each
-step, as they share no longer prefix either. Suffixes of one rank are a maximal interval of the suffix array whose longest common
-prefixes are min_lines lines or more.
+first line, then by their first 2, 4, ... lines: a step sorts all open suffixes globally, by range, by the pair of ranks at j and
+j + n, and a group's new ranks count the suffixes before them in it, so they stay comparable with those of all other groups. A suffix is
+closed when its rank is its own or when its end has been compared; steps go on until none is open. Suffixes that are equal up to
+their ends follow by place. The lines of texts that share no line are told from all others in the first step and go no further.
 
-Prefixes past min_lines are measured against the first suffix of an interval (least doc_id, then line). The prefix that the
+The ranks that two neighbours of the array held after each step tell the longest common prefix: its leading power of two is the last step in which they
+agree, and the lower ones follow from their ranks in earlier steps, at the places behind the part that is known. Neighbours whose prefix is
+min_lines lines or more form the maximal intervals of the array: all places of one run of min_lines lines, the least of which (doc_id, then line) is kept.
+
+Longer prefixes with an interval's first place are those of neighbouring intervals: what the
 suffix at j shares with its interval's first at f is one line longer than that of j + 1 where the interval of j + 1 starts
 at f + 1, and else ends with min_lines lines (or goes on as a copy of a still earlier place). So intervals whose places and first places both move
 on by a line make one maximal run: it has no longer copy of the same place to either side. Later copies are deleted by whole runs; a run
@@ -22,15 +25,23 @@ alike; rows without a doc_id stay whole and are no copy's first place; an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from netohm.llm.work import written
+from netohm.llm.work import ship, written
 
 MIN_LINES, MIN_WORDS, SINGLE_WORDS = 2, 10, 50
 BLANKS = " \t\n\x0b\x0c\r"
 #: A place: document, hash of its text, index among lines with words.
 PLACE = ("doc_id", "t", "j")
+#: Positions of the array that one window goes over, and rows for which a sort gets one more shard, up to the session's shuffle partitions.
+STRETCH, SHARD = 1 << 13, 20_000
+
+
+def _text() -> WindowSpec:
+    return Window.partitionBy("doc_id", "t")
 
 
 def _lines(text: Column) -> Column:
@@ -49,52 +60,136 @@ def sequences(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines).alias("j", "x")).select(*PLACE, "x.*")
 
 
-def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys, rank, first: values of the keys that have several places, ranked in their order, with the first place."""
-    several = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = several.select(*keys, "first").repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
-    return written(ordered.withColumn("rank", F.monotonically_increasing_id()), name)  # rises with the range and the row
-
-
-def _doubled(ranks: DataFrame, by: int, name: str) -> DataFrame:
-    """Pairs of ranks at j and j + by, with the lines of both and the words n and n2 of each."""
-    after = ranks.select("doc_id", "t", (F.col("j") - by).alias("j"), F.col("rank").alias("rank2"), F.col("n").alias("n2"), F.slice("lines", -by, by).alias("more"))
-    pairs = ranks.join(after, list(PLACE)).select(*PLACE, F.concat("lines", "more").alias("lines"), F.col("rank").alias("rank1"), "rank2", "n", "n2")
-    return written(pairs, name)
-
-
-def intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """(single, runs): PLACE, lines (indices among all), rank, first and n (words) of repeated lines, and of repeated runs of min_lines lines."""
-    lines = written(sequences(docs), "lines")
+def _counted(keys: list[str]):
+    def run(batches):
+        rows = list(batches)
+        if not sum(b.num_rows for b in rows):
+            return
+        rows = pa.Table.from_batches(rows)
+        row = np.arange(rows.num_rows)
+
+        def differs(names: list[str]) -> np.ndarray:
+            out = row == 0
+            for x in (rows.column(c).to_numpy() for c in names):
+                out[1:] |= x[1:] != x[:-1]
+            return out
+
+        group, part = differs(keys[:1]), differs(keys)
+        starts = [np.maximum.accumulate(np.where(x, row, 0)) for x in (group, part)]
+        for name, x in (("row", row), ("g", starts[0]), ("s", starts[1]), ("last", np.append(part[1:], True))):
+            rows = rows.append_column(name, pa.array(x))
+        yield from rows.to_batches()
+
+    return run
+
+
+def _ranked(rows: DataFrame, by: list[str], name: str, n: int | None = None) -> DataFrame:
+    """rows without `by`, with the rank after a sort of each rank's rows by `by`, pos (rows before, ties by place) and alone (no other row has the rank)."""
+    spark, keys = rows.sparkSession, ["rank", *by]
+    ship(spark)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards if n is None else min(shards, 1 + n // SHARD)
+    ordered = rows.repartitionByRange(shards, *keys, *PLACE).sortWithinPartitions(*keys, *PLACE)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", row long, g long, s long, last boolean"
+    counted = written(ordered.mapInArrow(_counted(keys), schema).withColumn("shard", F.spark_partition_id()), name)
+    # a row for each shard: where the group and the part that it starts with began
+    ends = counted.groupBy("shard").agg(F.count("*").alias("n"), F.min_by(F.struct(*keys), "row").alias("head"), F.max_by(F.struct(*keys, "g", "s"), "row").alias("tail"))
+    facts: list[list] = []
+    before, group, part, tail = 0, 0, 0, None
+    for x in sorted(ends.collect(), key=lambda x: x["shard"]):
+        goes_on = tail is not None and all(x["head"][c] == tail[c] for c in keys)
+        group = group if tail is not None and x["head"]["rank"] == tail["rank"] else before
+        part = part if goes_on else before
+        if goes_on:
+            facts[-1][-1] = x["n"] > 0
+        facts.append([x["shard"], before, x["n"], group, part, False])
+        tail = x["tail"]
+        group, part = before + tail["g"] if tail["g"] else group, before + tail["s"] if tail["s"] else part
+        before += x["n"]
+    shard = spark.createDataFrame(facts, "shard int, before long, rows long, group long, part long, goes_on boolean")
+    at = F.col("before") + F.col("row")
+    g, s = (F.when(F.col(c) == 0, F.col(first)).otherwise(F.col("before") + F.col(c)) for c, first in (("g", "group"), ("s", "part")))
+    alone = (s == at) & F.col("last") & ~(F.col("goes_on") & (F.col("row") == F.col("rows") - 1))
+    keep = [c for c in rows.columns if c not in (*keys, "pos", "alone")]
+    return counted.join(F.broadcast(shard), "shard").select(*keep, (F.col("rank") + s - g).alias("rank"), (F.col("rank") + at - g).alias("pos"), alone.alias("alone"))
+
+
+def _ranks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(rows, steps): PLACE, i, n, left (lines to the text's end), common (another suffix has the first line), pos (place in the array) and ranks (after each step) of texts that share a line."""
+    lines = sequences(docs).repartition("doc_id", "t").dropDuplicates(list(PLACE))
+    rows = _ranked(written(lines.withColumn("rank", F.lit(0).cast("long")), "lines"), ["h1", "h2"], "order1")
+    rows = rows.withColumn("common", ~F.col("alone")).withColumn("left", F.count("*").over(_text()) - F.col("j")).withColumn("ranks", F.array("rank"))
+    rows = rows.withColumn("shares", F.max("common").over(_text())).where("shares").drop("shares")
+    done, size = [], 1
+    while True:
+        rows = rows.withColumn("alone", F.col("alone") | (F.col("left") < size))  # closed
+        rows = rows.withColumn("rank2", F.coalesce(F.lead("rank", size).over(_text().orderBy("j")), F.lit(-1).cast("long"))).withColumn("closed", F.min("alone").over(_text()))
+        rows = written(rows, f"ranks{size}")
+        done.append(rows.where("closed").drop("rank", "rank2", "alone", "closed"))
+        rows = rows.where("not closed").drop("closed")
+        n = rows.where("not alone").count()
+        if not n:
+            break
+        size *= 2
+        opened = _ranked(rows.where("not alone"), ["rank2"], f"order{size}", n)
+        rows = opened.unionByName(rows.where("alone").drop("rank2")).withColumn("ranks", F.concat("ranks", F.array("rank")))
+    array = done[0]
+    for d in done[1:]:
+        array = array.unionByName(d)
+    return written(array, "ranks"), len(done)
+
+
+def _prefixes(array: DataFrame, steps: int) -> DataFrame:
+    """pos, lcp: the lines that the suffix at pos shares with the one before it, where there are any."""
+    rows = array.where("common")
+    before = rows.select((F.col("pos") + 1).alias("pos"), F.struct(*PLACE).alias("x"), F.col("ranks").alias("x_ranks"))
+    pairs = rows.select("pos", F.struct(*PLACE).alias("y"), "ranks", "left").join(before, "pos").where(F.col("ranks")[0] == F.col("x_ranks")[0])
+    same = F.aggregate(F.zip_with("ranks", "x_ranks", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda a, b: a + b)
+    ends = F.element_at("ranks", -1) == F.element_at("x_ranks", -1)  # a rank that is shared to the last is that of equal suffixes
+    pairs = pairs.select("pos", "x", "y", same.alias("same"), ends.alias("ends"), F.when(ends, F.col("left")).otherwise(F.pow(F.lit(2), same - 1)).cast("long").alias("lcp"))
+    pairs = written(pairs, "pairs")
+    deep = None
+    for k in range(steps - 3, -1, -1):  # pairs that agree in k + 2 steps enter here
+        enter = pairs.where((F.col("same") == k + 2) & ~F.col("ends")).select("pos", "x", "y", "lcp")
+        deep = enter if deep is None else deep.unionByName(enter)
+        for p in "xy":
+            rank = array.where(F.size("ranks") > k + 2).select(*[F.col(c).alias(f"_{c}") for c in PLACE], F.get("ranks", F.lit(k)).alias(f"{p}_rank"))
+            here = (F.col(f"{p}.doc_id") == F.col("_doc_id")) & (F.col(f"{p}.t") == F.col("_t")) & (F.col(f"{p}.j") + F.col("lcp") == F.col("_j"))
+            deep = deep.join(rank, here, "left").drop("_doc_id", "_t", "_j")
+        more = F.when(F.col("x_rank") == F.col("y_rank"), 1 << k).otherwise(0)
+        deep = written(deep.select("pos", "x", "y", (F.col("lcp") + more).alias("lcp")), f"pairs{k}")
+    shallow = pairs.where("same = 1 or ends").select("pos", "lcp")
+    return shallow if deep is None else shallow.unionByName(deep.select("pos", "lcp"))
+
+
+def suffix_array(docs: DataFrame) -> DataFrame:
+    """PLACE, i, n, left, common, pos and lcp (lines shared with the suffix at pos - 1) of all suffixes of texts that share a line."""
+    array, steps = _ranks(docs)
+    return written(array.drop("ranks").join(_prefixes(array, steps), "pos", "left").fillna(0, ["lcp"]), "array")
+
+
+def intervals(array: DataFrame, size: int, least: int) -> DataFrame:
+    """PLACE, lines (indices among all), n (words) and first (the least place) of the suffixes in the array's maximal intervals of prefixes of `size` lines and `least` words or more."""
+    window = _text().orderBy("j").rowsBetween(0, size - 1)
+    rows = array.withColumn("lines", F.collect_list("i").over(window)).withColumn("n", F.sum("n").over(window)) if size > 1 else array.withColumn("lines", F.array("i"))
+    rows = rows.where("common").withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    start = F.when(F.col("lcp") < size, F.col("pos"))
+    inside = F.max(start).over(Window.partitionBy("stretch").orderBy("pos"))
+    carried = array.where("common").groupBy(F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(F.max(start).alias("start"))
+    carried = carried.select("stretch", F.max("start").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
+    rows = rows.withColumn("inside", inside).join(carried, "stretch").where((F.col("left") >= size) & (F.col("n") >= least))
+    rows = written(rows.select(*PLACE, "lines", "n", F.coalesce("inside", "start").alias("interval")), f"members{size}")
+    firsts = rows.groupBy("interval").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("places")).where("places > 1")
     # tables on both sides of a join let Spark split a hot key
-    single = lines.join(_ranked(lines, ["h1", "h2"], "ids"), ["h1", "h2"]).select(*PLACE, F.array("i").alias("lines"), "rank", "first", "n").distinct()
-    single = runs = written(single, "ranks1")
-    size = 1
-    while size < min_lines:
-        by = min(size, min_lines - size)
-        pairs = _doubled(runs, by, f"pairs{size + by}")
-        # the words of a run of size + by lines are those of the first run and of the last `by` lines
-        tail = pairs if by == size else _with_tail(pairs, lines, size, by)
-        runs = tail.join(_ranked(pairs, ["rank1", "rank2"], f"names{size + by}"), ["rank1", "rank2"])
-        runs = written(runs.select(*PLACE, "lines", "rank", "first", (F.col("n") + F.col("n2")).alias("n")), f"ranks{size + by}")
-        size += by
-    return single, runs
-
-
-def _with_tail(pairs: DataFrame, lines: DataFrame, size: int, by: int) -> DataFrame:
-    """pairs with n2 as the words of the last `by` lines only."""
-    at = pairs.select(*PLACE, F.explode(F.sequence(F.col("j") + size, F.col("j") + size + by - 1)).alias("at"))
-    words = at.join(lines.select("doc_id", "t", F.col("j").alias("at"), "n").distinct(), ["doc_id", "t", "at"]).groupBy(*PLACE).agg(F.sum("n").alias("n2"))
-    return pairs.drop("n2").join(words, list(PLACE))
+    return rows.join(written(firsts.drop("places"), f"firsts{size}"), "interval").drop("interval")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, single_words: int | None = SINGLE_WORDS) -> DataFrame:
     """A row for each maximal run that copies an earlier place: doc_id, t, j (where it starts), size (min_lines, or 1 for long lines), first (the earlier place), lcp (lines of the run) and lines (their indices among all)."""
-    single, runs = intervals(docs, min_lines)
-    found = runs.where(F.col("n") >= min_words).withColumn("size", F.lit(min_lines))
+    array = suffix_array(docs)
+    found = intervals(array, min_lines, min_words).withColumn("size", F.lit(min_lines))
     if single_words is not None:
-        found = found.unionByName(single.where(F.col("n") >= single_words).withColumn("size", F.lit(1)))
+        found = found.unionByName(intervals(array, 1, single_words).withColumn("size", F.lit(1)))
     found = found.where(F.struct(*PLACE) != F.col("first"))
     before = Window.partitionBy("doc_id", "t").orderBy("size", "j")  # the windows of one text
     last = F.lag(F.struct("size", "j", "first")).over(before)

@@ -219,6 +219,40 @@ def test_line_runs_are_maximal(spark, size):
     assert all(x["lines"] == list(range(2 * x["j"], 2 * (x["j"] + x["lcp"]), 2)) for x in rows)
 
 
+def test_suffix_array_is_whole_and_in_order(spark):
+    r = np.random.default_rng(77)
+    seqs = [[f"line {k}" for k in r.choice(4, r.integers(0, 40), p=[0.4, 0.3, 0.2, 0.1])] for _ in range(12)]
+    seqs += [seqs[3], ["line 0"] * 21, [f"only {k}" for k in range(5)], [f"long {k}" for k in range(90)]]
+    seqs += [seqs[-1][7:80] + ["line 1"], seqs[-1], ["line 3", "line 0", "an end"]]
+    docs = spark.createDataFrame([(d, "\n".join(s)) for d, s in enumerate(seqs)], "doc_id long, text string").repartition(3)
+    ids = {(x["doc_id"], x["j"]): (x["h1"], x["h2"]) for x in line_dedup.sequences(docs).collect()}
+    suffixes = sorted(([ids[d, k] for k in range(j, len(s))], d, j) for d, s in enumerate(seqs) for j in range(len(s)))
+    want, before = [], []
+    for pos, (x, d, j) in enumerate(suffixes):
+        n = 0
+        while n < min(len(x), len(before)) and x[n] == before[n]:
+            n += 1
+        if seqs[d][0] != "only 0":
+            want.append((pos, d, j, n))
+        before = x
+    array = line_dedup.suffix_array(docs)
+    got = sorted((x["pos"], x["doc_id"], x["j"], x["lcp"]) for x in array.collect())
+    assert got == want
+    for size in (1, 2, 3, 6, 40):
+        first = {}
+        for _, d, j, _ in sorted(want, key=lambda x: x[1:3]):
+            if j + size <= len(seqs[d]):
+                first.setdefault(tuple(seqs[d][j : j + size]), []).append((d, j))
+        places = {(*p, *of[0]) for of in first.values() if len(of) > 1 for p in of}
+        found = line_dedup.intervals(array, size, 0).collect()
+        assert {(x["doc_id"], x["j"], x["first"]["doc_id"], x["first"]["j"]) for x in found} == places and len(found) == len(places)
+    stretch, line_dedup.STRETCH = line_dedup.STRETCH, 7  # intervals that span several windows of positions
+    try:
+        assert sorted(line_dedup.intervals(array, 40, 0).collect(), key=str) == sorted(found, key=str)
+    finally:
+        line_dedup.STRETCH = stretch
+
+
 def test_lines_of_rows_without_id(spark):
     a = "alpha beta gamma delta epsilon\none two three four five six\n" + " ".join(words(33, 60))
     d = spark.createDataFrame([(None, a), (1, a), (2, a), (None, None)], "doc_id long, text string")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from netohm.llm.work import ship, written
+from netohm.llm.work import ship, write, written
 
 MIN_LINES, MIN_WORDS, SINGLE_WORDS = 2, 10, 50
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,15 +49,21 @@ def _lines(text: Column) -> Column:
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """PLACE, i (index among all lines), h1, h2 (the id) and n (words) of every line with words."""
-
-    def entry(x: Column, i: Column) -> Column:
-        line = F.trim(x, F.lit(BLANKS))
-        words = F.when(line == "", F.lit(0)).otherwise(F.size(F.split(line, r"[\x20\x09-\x0D]+")))
-        return F.struct(i.cast("int").alias("i"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"), words.alias("n"))
-
-    lines = F.filter(F.transform(_lines(F.col("text")), entry), lambda x: x["n"] > 0)
-    return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines).alias("j", "x")).select(*PLACE, "x.*")
+    """PLACE, i (index among all lines), h1, h2 (the id) and n (words) of every line with words; rows equal in doc_id and text count once."""
+    # a text is hashed once, before its lines become rows, and its lines are cut once: without "outer" Spark cuts them again for a filter
+    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    cut = texts.select("doc_id", "t", F.posexplode_outer(_lines(F.col("text"))).alias("i", "x"))
+    rows = cut.where(F.ltrim("x", F.lit(BLANKS)) != "").select("doc_id", "t", "i", F.trim("x", F.lit(BLANKS)).alias("line"))
+    line = F.col("line")
+    odd = line.contains("  ")
+    for c in BLANKS.replace(" ", ""):
+        odd |= line.contains(c)
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    words = F.when(odd, F.size(F.split(line, r"[\x20\x09-\x0D]+"))).otherwise(spaces + 1)
+    rows = rows.select("doc_id", "t", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), words.alias("n"))
+    inside = _text().orderBy("i")
+    rows = rows.withColumn("j", F.dense_rank().over(inside) - 1).withColumn("before", F.lag("i").over(inside))
+    return rows.where("before is null or before < i").select(*PLACE, "i", "h1", "h2", "n")
 
 
 def _counted(keys: list[str]):
@@ -116,27 +122,26 @@ def _ranked(rows: DataFrame, by: list[str], name: str, n: int | None = None) ->
 
 def _ranks(docs: DataFrame) -> tuple[DataFrame, int]:
     """(rows, steps): PLACE, i, n, left (lines to the text's end), common (another suffix has the first line), pos (place in the array) and ranks (after each step) of texts that share a line."""
-    lines = sequences(docs).repartition("doc_id", "t").dropDuplicates(list(PLACE))
-    rows = _ranked(written(lines.withColumn("rank", F.lit(0).cast("long")), "lines"), ["h1", "h2"], "order1")
+    rows = _ranked(written(sequences(docs).withColumn("rank", F.lit(0).cast("long")), "lines"), ["h1", "h2"], "order1")
     rows = rows.withColumn("common", ~F.col("alone")).withColumn("left", F.count("*").over(_text()) - F.col("j")).withColumn("ranks", F.array("rank"))
     rows = rows.withColumn("shares", F.max("common").over(_text())).where("shares").drop("shares")
-    done, size = [], 1
+    paths, size = [], 1
+    # after a step ranks has an entry more, so its length tells size; a number would make each step's code another one to compile
+    reach = F.pow(F.lit(2), F.size("ranks") - 1)
     while True:
-        rows = rows.withColumn("alone", F.col("alone") | (F.col("left") < size))  # closed
+        rows = rows.withColumn("alone", F.col("alone") | (F.col("left") < reach))  # closed
         rows = rows.withColumn("rank2", F.coalesce(F.lead("rank", size).over(_text().orderBy("j")), F.lit(-1).cast("long"))).withColumn("closed", F.min("alone").over(_text()))
-        rows = written(rows, f"ranks{size}")
-        done.append(rows.where("closed").drop("rank", "rank2", "alone", "closed"))
-        rows = rows.where("not closed").drop("closed")
+        table = rows.select(*PLACE, "i", "n", "left", "common", "pos", "ranks", "rank", "rank2", "alone", "closed")
+        paths.append(write(table, f"ranks{size}"))
+        rows = docs.sparkSession.read.schema(table.schema).parquet(paths[-1]).where("not closed").drop("closed")
         n = rows.where("not alone").count()
         if not n:
             break
         size *= 2
         opened = _ranked(rows.where("not alone"), ["rank2"], f"order{size}", n)
         rows = opened.unionByName(rows.where("alone").drop("rank2")).withColumn("ranks", F.concat("ranks", F.array("rank")))
-    array = done[0]
-    for d in done[1:]:
-        array = array.unionByName(d)
-    return written(array, "ranks"), len(done)
+    array = docs.sparkSession.read.schema(table.schema).parquet(*paths).where("closed")
+    return written(array.drop("rank", "rank2", "alone", "closed"), "ranks"), len(paths)
 
 
 def _prefixes(array: DataFrame, steps: int) -> DataFrame:
@@ -215,10 +220,11 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
     gone = deleted_lines(docs.select("doc_id", "text"), min_lines, min_words, single_words)
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "__gone")
     lines = _lines(F.col("text"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted") and not c.startswith("__")]
     return docs.select(keep).join(gone, (docs["doc_id"] == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left").select(
         *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in keep],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted"),
     )

@@ -42,15 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/netohm-{uuid.uuid4().hex}/{name}"
+def write(df: DataFrame, name: str) -> str:
+    """The path of df as a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/netohm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     made = getattr(_MADE, "tables", None)
     if made is not None:
         made.append(path.rpartition("/")[0])
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: it cuts lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
 @contextmanager

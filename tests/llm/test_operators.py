@@ -253,6 +253,17 @@ def test_suffix_array_is_whole_and_in_order(spark):
         line_dedup.STRETCH = stretch
 
 
+def test_lines_are_cut_and_hashed_once(spark):
+    text = "one two\n\n \t \n a  b\tc\x0bd \r\nlast one here\n\u00a0 x"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, ""), (3, None), (4, " \n")], "doc_id long, text string").repartition(2)
+    rows = line_dedup.sequences(docs)
+    assert sorted((x["doc_id"], x["j"], x["i"], x["n"]) for x in rows.collect()) == [(1, 0, 0, 2), (1, 1, 3, 4), (1, 2, 4, 3), (1, 3, 5, 2)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate ", 1)
+    assert "xxhash64(text" not in above and below.count("xxhash64(text") == 1
+    assert plan.count("split(text") == 1
+
+
 def test_lines_of_rows_without_id(spark):
     a = "alpha beta gamma delta epsilon\none two three four five six\n" + " ".join(words(33, 60))
     d = spark.createDataFrame([(None, a), (1, a), (2, a), (None, None)], "doc_id long, text string")

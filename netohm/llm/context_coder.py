@@ -1,18 +1,17 @@
 """Adaptive context-mixing range coder for token ids, run over many blocks at once.
 
-Each block starts with a reset model and carries a checksum. Three orders predict the next id: a table of the id that
-last followed the two ids before (order 2), one of the id that last followed the id before (order 1), and a ranking of
-the block's frequent ids (order 0). An id is coded as one of EVENTS: the order-2 guess holds, the order-1 guess holds, its rank
-has one of 7 magnitudes, or it is not ranked and has one of 16; the bits below a magnitude's leading one follow. A ranked id
-that is coded by its rank moves to half that rank; one without rank takes a place of the lower half in turn. Ids that a higher
-order has predicted leave the ranking alone.
+Ids are coded as ranks in a table of ids by falling frequency (`by_frequency`), which a block brings with it or shares
+with others. Each block starts with a reset model and carries a checksum. Three orders predict the next rank: a table of
+the rank that last followed the two ranks before (order 2), one of the rank that last followed the rank before (order 1),
+and adaptive counts of classes of ranks (order 0). A rank is coded as one of EVENTS: the order-2 guess holds, the order-1
+guess holds, or its class, with its place in it; classes hold 1 to 2**15 ranks, two or more of them an octave below 4096.
 
 The event's distribution mixes three adaptive count vectors: one for the block, one chosen by how well the order-1
 guess at this context has done, one by the order-2 guess. Counts add up, so a context weighs more as it learns more;
-the sums that coding reads follow them every REFRESH ids, and after each of the first REFRESH.
+they are held as running sums, which is how coding reads them.
 
-The range has 48 bits and leaves in 16-bit words; a word's carry is added to the words before it at the end. Blocks
-are lanes of numpy arrays: step t codes id t of every block.
+The range has 48 bits and leaves in 16-bit words; a word's carry is added to the words before it at the end. Numbers
+are whole and below 2**53, so doubles hold them exactly. Blocks are lanes of numpy arrays: step t codes id t of every block.
 """
 
 from __future__ import annotations
@@ -22,25 +21,38 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR3"
-HEAD = struct.Struct("<4sIII")
-RANKS, RANK_CLASSES, STATES = 127, 7, 4
-EVENTS = 2 + RANK_CLASSES + 16
+MAGIC = b"CMR4"
+HEAD = struct.Struct("<4sIIII")
+STATES = 4
+SIZES = [1] * 4 + [1 << k - 1 for k in range(2, 12) for _ in range(2)] + [1 << k for k in range(12, 16)]
+EVENTS, WIDTH = 2 + len(SIZES), 32
 ROWS = 1 + 2 * STATES
-TABLE1, TABLE2, PLACES = 1 << 10, 1 << 12, 1 << 11
+TABLE1, TABLE2 = 1 << 10, 1 << 11
 GAIN, LIMIT, REFRESH = 24, 1 << 12, 16
-#: While a range is below BOT, 16 bits leave. Ids take two words at most: 14 bits of counts, 15 below the class.
-FULL, BOT = 1 << 48, 1 << 32
+#: Steps whose ranks are laid out together.
+SPAN = 128
+#: While a range is below BOT, 16 bits leave. A rank takes two words at most: 14 bits of counts, 15 within the class.
+FULL, BOT, WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 NONE = 65535
 
-CLASS = np.frexp(np.arange(NONE) + 1.0)[1].astype(np.int64) - 1
-BELOW = np.arange(NONE) + 1 - (1 << CLASS)
+#: Of an event: its first rank, and one over the number of its ranks. Of a rank: its event, and its place there.
+FIRST = np.array([0, 0, *np.cumsum([0, *SIZES[:-1]]), *[0] * (WIDTH - EVENTS)]).astype(np.uint16)
+SHARE = 1 / np.array([1.0, 1.0, *SIZES])
+EVENT = np.repeat(np.arange(2, EVENTS), SIZES).astype(np.uint8)
+PLACE = (np.arange(len(EVENT)) - FIRST[EVENT]).astype(np.uint16)
+#: Running sums of one count for each event, and what an event adds to them.
+START = np.minimum(np.arange(WIDTH), EVENTS).astype(np.uint16)
+STEP = (np.arange(WIDTH) > np.arange(EVENTS)[:, None]).astype(np.uint16) * np.uint16(GAIN)
 #: A context's trust after a guess that failed, and after one that held.
 NEXT = np.array([s >> 1 for s in range(STATES)] + [min(s + 1, STATES - 1) for s in range(STATES)], np.uint32) << 16
+BYTES = np.uint64(0x0101010101010101)
 
 
-def _hashed(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint32) * np.uint32(40503) >> np.uint32(5)) & np.uint32(PLACES - 1)
+def by_frequency(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids by falling frequency."""
+    n = np.bincount(ids, minlength=1)
+    order = np.argsort(-n, kind="stable")
+    return order[: np.count_nonzero(n)].astype(np.uint16)
 
 
 class _Model:
@@ -51,186 +63,203 @@ class _Model:
         slots = TABLE1 + TABLE2
         self.slot = np.full(n * slots, NONE, np.uint32)  # the guess, and trust in the bits above it
         self.base = np.stack([lane * slots, lane * slots + TABLE1])
-        self.context, self.last = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        self.at, self.last = self.base.copy(), np.zeros(n, np.int64)
         self.row = np.stack([lane * ROWS, lane * ROWS + 1, lane * ROWS + 1 + STATES])
-        self.width = n * ROWS
-        self.counts, self.sums = np.ones((EVENTS, n * ROWS), np.uint16), np.zeros((EVENTS + 1, n * ROWS), np.uint16)
-        self.flat_counts, self.flat_sums = self.counts.reshape(-1), self.sums.reshape(-1)
+        self.sums = np.tile(START, (n * ROWS, 1))
+        self.whole = self.sums.view(f"V{2 * WIDTH}").reshape(-1)  # a row as one item: faster to write back
+        self.cell = lane * WIDTH
         self.step = 0
-        self.ranked = np.full((n, RANKS + 1), NONE, np.uint16)
-        self.ranked[:, :RANKS] = np.arange(RANKS)
-        self.flat_ranked, self.rank_base = self.ranked.reshape(-1), lane * (RANKS + 1)
-        self.where, self.where_base = np.zeros(n * PLACES, np.uint8), lane * PLACES
-        self.where.reshape(n, PLACES)[:, _hashed(np.arange(RANKS, dtype=np.uint16))] = np.arange(RANKS)
-        self._refresh(n)
-
-    def _refresh(self, m: int) -> None:
-        counts, sums = self.counts[:, : m * ROWS], self.sums[:, : m * ROWS]
-        for e in range(EVENTS):  # row by row: much faster than a sum along the first axis
-            np.add(sums[e], counts[e], out=sums[e + 1])
-        heavy = np.flatnonzero(sums[-1] > LIMIT)
-        if len(heavy):
-            counts[:, heavy] = (counts[:, heavy] + 1) >> 1
-            sums[1:, heavy] = np.cumsum(counts[:, heavy], axis=0, dtype=np.uint16)
-
-    def look(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Guesses of both orders, and the three rows of counts to mix."""
-        self.at = self.base[:, :m] + self.context[:, :m]
-        slot = self.slot.take(self.at)
+
+    def look(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Guesses of both orders, mixed running sums, and their totals."""
+        slot = self.slot.take(self.at[:, :m])
         self.guessed, self.trusted = slot.astype(np.uint16), slot >> 16
         self.rows = self.row[:, :m].copy()
         self.rows[1:] += self.trusted
-        return self.guessed, self.rows
-
-    def rank(self, m: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each id's rank in its block, and whether it has one (that its place in `where` still tells)."""
-        rank = self.where.take(self.where_base[:m] + _hashed(ids))
-        return rank, self.flat_ranked.take(self.rank_base[:m] + rank) == ids
-
-    def rerank(self, ids: np.ndarray, rank: np.ndarray, event: np.ndarray) -> None:
-        """rank counts for ids that were coded by it."""
-        at = np.flatnonzero(event > 1)
-        ids, rank, base, place = ids.take(at), rank.take(at), self.rank_base.take(at), self.where_base.take(at)
-        new = event.take(at) >= 2 + RANK_CLASSES
-        to = np.where(new, RANKS // 2 + self.step % (RANKS - RANKS // 2), rank >> 1)
-        rank = np.where(new, to, rank)
-        other = self.flat_ranked.take(base + to)
-        self.flat_ranked[base + rank] = other
-        self.where[place + _hashed(other)] = rank
-        self.flat_ranked[base + to] = ids
-        self.where[place + _hashed(ids)] = to
-
-    def learn(self, m: int, ids: np.ndarray, event: np.ndarray) -> None:
-        self.flat_counts[self.rows + event * self.width] += GAIN
-        self.slot[self.at] = NEXT.take((self.guessed == ids) * np.uint8(STATES) + self.trusted) | ids
-        ids = ids.astype(np.int64)
-        mixed = ids * 40503
-        self.context[0, :m] = (mixed >> 6) & (TABLE1 - 1)
-        self.context[1, :m] = ((mixed + self.last[:m] * 30011) >> 4) & (TABLE2 - 1)
-        self.last[:m] = ids
-        self.step += 1
-        if self.step < REFRESH or self.step % REFRESH == 0:
-            self._refresh(m)
+        self.three = self.sums.take(self.rows, axis=0)
+        mixed = self.three[0] + self.three[1]
+        mixed += self.three[2]
+        return self.guessed, mixed, mixed[:, -1].astype(np.float64)
 
+    def learn(self, m: int, ranks: np.ndarray, event: np.ndarray) -> None:
+        self.three += STEP.take(event, axis=0)
+        np.put(self.whole, self.rows, self.three.view(self.whole.dtype), mode="clip")
+        held = (self.guessed == ranks).view(np.uint8)
+        held <<= 2
+        self.slot[self.at[:, :m]] = NEXT.take(held | self.trusted) | ranks
+        ranks = ranks.astype(np.int64)
+        np.add(self.base[0, :m], ranks & (TABLE1 - 1), out=self.at[0, :m])
+        np.add(self.base[1, :m], (ranks + self.last[:m]) & (TABLE2 - 1), out=self.at[1, :m])
+        np.multiply(ranks, 613, out=self.last[:m])
+        self.step += 1
+        if self.step % REFRESH == 0:
+            heavy = np.flatnonzero(self.sums[:, -1] > LIMIT)
+            if len(heavy):
+                self.sums[heavy] = (self.sums.take(heavy, axis=0) - START >> 1) + START
 
-def _mixed(three: np.ndarray) -> np.ndarray:
-    return (three[0] + three[1] + three[2]).astype(np.int64)
 
+def encode_blocks(blocks: list[np.ndarray], tables: list[np.ndarray] | None = None) -> list[bytes]:
+    """Each block of ids below 65535 as bytes: magic, numbers of ids, checksum, numbers of its own table and of words, that table, words.
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids below 65535 as bytes: magic, number of ids, checksum, number of words, words."""
+    tables has a table for each block, which must then be given to decode_blocks too; without it each block brings its own.
+    """
     if not blocks:
         return []
+    if any(len(b) and int(np.max(b)) >= NONE for b in blocks):
+        raise ValueError("ids must be below 65535")
+    own = [by_frequency(b) for b in blocks] if tables is None else []
+    rank, ranks, known = np.zeros(NONE, np.uint16), [], None
+    for b, table in zip(blocks, tables or own):
+        if table is not known:
+            rank[table], known = np.arange(len(table)), table
+        ranks.append(rank.take(b))
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     size = np.array([len(blocks[i]) for i in order])
     n, longest = len(order), int(size[0])
-    ids = np.zeros((longest, n), np.uint16)
-    for j, i in enumerate(order):
-        if len(blocks[i]) and int(np.max(blocks[i])) >= NONE:
-            raise ValueError("ids must be below 65535")
-        ids[: size[j], j] = blocks[i]
     model = _Model(n)
-    low, span = np.zeros(n, np.int64), np.full(n, FULL, np.int64)
-    words, end = np.zeros((longest * 2 + 8, n), np.uint32), np.arange(n)
-    flat = words.reshape(-1)
+    low, span = np.zeros(n), np.full(n, FULL)
+    room = longest * 2 + 8
+    words, begin = np.zeros((n, room), np.uint32), np.arange(n) * room
+    flat, end = words.reshape(-1), begin.copy()
 
     def emit(act):
-        at, lo = end[act], low[act]
-        flat[at] = lo >> 32
-        end[act] = at + n
-        low[act] = (lo & (BOT - 1)) << 16
+        word = np.floor(low[act] / BOT)
+        flat[end[act]] = word
+        end[act] += 1
+        low[act] = (low[act] - word * BOT) * WORD
 
     live = np.searchsorted(-size, -np.arange(longest), side="left")
     for t in range(longest):
         m = int(live[t])
-        x = ids[t, :m]
-        (one, two), rows = model.look(m)
-        rank, has = model.rank(m, x)
-        coded = np.where(has, rank, x)
-        cls = CLASS.take(coded)
-        event = np.where(x == two, 0, np.where(x == one, 1, cls + np.where(has, 2, 2 + RANK_CLASSES)))
-        plain = event > 1
-        at = rows + event * model.width
-        total = _mixed(model.sums[-1].take(rows))
-        bottom, top = _mixed(model.flat_sums.take(at)), _mixed(model.flat_sums.take(at + model.width))
+        if t % SPAN == 0:
+            some = np.zeros((SPAN, n), np.uint16)
+            for j, i in enumerate(order[:m]):
+                part = ranks[i][t : t + SPAN]
+                some[: len(part), j] = part
+        x = some[t % SPAN, :m]
+        (one, two), mixed, total = model.look(m)
+        event, place = EVENT.take(x), PLACE.take(x)
+        first, second = one == x, two == x
+        np.putmask(event, first, 1)
+        np.putmask(event, second, 0)
+        np.putmask(place, first | second, 0)
+        at = model.cell[:m] + event
+        mixed = mixed.reshape(-1)
+        bottom = mixed.take(at).astype(np.float64)
+        at += 1
+        top = mixed.take(at).astype(np.float64)
         lo, sp = low[:m], span[:m]
-        r = (sp / total).astype(np.int64)  # whole numbers below 2**53: exact
-        sp[:] = ((top - bottom) * r) >> (cls * plain)
-        lo += bottom * r + BELOW.take(coded) * plain * sp
+        r = np.floor(sp / total)
+        top -= bottom
+        top *= r
+        top *= SHARE.take(event)
+        np.floor(top, out=sp)
+        bottom *= r
+        lo += bottom
+        lo += sp * place
+        # one word leaves where it must, without a selection; few ranks need a second
+        word = np.floor(lo * (1 / BOT))
+        full = sp < BOT
+        flat[end[:m]] = word
+        end[:m] += full
+        word *= full
+        word *= BOT
+        lo -= word
+        shift = full * (WORD - 1)
+        shift += 1
+        lo *= shift
+        sp *= shift
         act = np.flatnonzero(sp < BOT)
-        while len(act):
+        if len(act):
             emit(act)
-            s = sp[act] << 16
-            sp[act] = s
-            act = act[s < BOT]
-        model.rerank(x, rank, event)
+            sp[act] *= WORD
         model.learn(m, x, event)
     for _ in range(3):
         emit(np.arange(n))
-    fill = end // n
-    for k in range(int(fill.max()) - 1, 0, -1):
-        words[k - 1] += words[k] >> 16
+    fill = end - begin
+    words = words[:, : int(fill.max())]
+    while len(act := np.flatnonzero((words >> 16).any(axis=1))):
+        carry = words[act] >> 16
+        words[act] &= 0xFFFF
+        words[act, :-1] += carry[:, 1:]
     out: list[bytes] = [b""] * n
     for j, i in enumerate(order):
-        w = words[: fill[j], j].astype("<u2").tobytes()
-        out[i] = HEAD.pack(MAGIC, size[j], zlib.crc32(ids[: size[j], j].astype("<u4").tobytes()), len(w) // 2) + w
+        table = own[i].astype("<u2").tobytes() if own else b""
+        out[i] = HEAD.pack(MAGIC, size[j], zlib.crc32(blocks[i].astype("<u4").tobytes()), len(table) // 2, fill[j]) + table + words[j, : fill[j]].astype("<u2").tobytes()
     return out
 
 
-def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], tables: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """The ids of each block; a damaged block raises ValueError."""
     if not coded:
         return []
+    if any(len(c) < HEAD.size for c in coded):
+        raise ValueError("not a block of this format")
     heads = [HEAD.unpack_from(c) for c in coded]
-    if any(h[0] != MAGIC or len(c) != HEAD.size + 2 * h[3] or h[3] > 2 * h[1] + 3 for h, c in zip(heads, coded)):
+    if any(h[0] != MAGIC or len(c) != HEAD.size + 2 * (h[3] + h[4]) or not 3 <= h[4] <= 2 * h[1] + 3 for h, c in zip(heads, coded)):
         raise ValueError("not a block of this format")
+    tables = tables or [np.frombuffer(c, "<u2", h[3], HEAD.size) for h, c in zip(heads, coded)]
     order = np.argsort([-h[1] for h in heads], kind="stable")
     size = np.array([heads[i][1] for i in order])
     n, longest = len(order), int(size[0])
-    words = np.zeros((longest * 2 + 8, n), np.uint16)
+    most = max(h[4] for h in heads) + 2
+    words = np.zeros((n, most), np.uint16)
     for j, i in enumerate(order):
-        words[: heads[i][3], j] = np.frombuffer(coded[i], "<u2", offset=HEAD.size)
-    ids = np.zeros((longest, n), np.uint16)
+        words[j, : heads[i][4]] = np.frombuffer(coded[i], "<u2", heads[i][4], HEAD.size + 2 * heads[i][3])
+    ranks = np.zeros((n, longest), np.uint16)
     model = _Model(n)
-    w = words[:3].astype(np.int64)
-    code, span, at = (w[0] << 32) | (w[1] << 16) | w[2], np.full(n, FULL, np.int64), 3 * n + np.arange(n)
-    flat, lane = words.reshape(-1), np.arange(n)
+    w = words[:, :3].astype(np.float64)
+    code, span, at = (w[:, 0] * WORD + w[:, 1]) * WORD + w[:, 2], np.full(n, FULL), np.arange(n) * most + 3
+    flat = words.reshape(-1)
+    first = np.tile(FIRST, (n, 1))
     live = np.searchsorted(-size, -np.arange(longest), side="left")
     for t in range(longest):
         m = int(live[t])
-        (one, two), rows = model.look(m)
-        a = model.sums.take(rows, axis=1)
-        a = a[:, 0] + a[:, 1] + a[:, 2]
+        (one, two), mixed, total = model.look(m)
         co, sp = code[:m], span[:m]
-        total = a[-1].astype(np.int64)
-        r = (sp / total).astype(np.int64)
-        value = np.minimum((co / r).astype(np.int64), total - 1).astype(np.uint16)
-        event = (a[1:EVENTS] <= value).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
-        i, a = event * m + lane[:m], a.reshape(-1)
-        bottom, top = a.take(i).astype(np.int64), a.take(i + m).astype(np.int64)
-        ranked = event < 2 + RANK_CLASSES
-        cls = np.where(ranked, np.maximum(event - 2, 0), event - 2 - RANK_CLASSES)
-        sp[:] = ((top - bottom) * r) >> cls
-        co -= bottom * r
-        rest = np.minimum((co / sp).astype(np.int64), (1 << cls) - 1)
-        co -= rest * sp
-        coded = (1 << cls) + rest - 1
-        rank = np.where(ranked, coded, 0)
-        x = np.where(ranked, model.flat_ranked.take(model.rank_base[:m] + rank), coded.astype(np.uint16))
-        x = np.where(event == 0, two, np.where(event == 1, one, x))
-        ids[t, :m] = x
+        r = np.floor(sp / total)
+        value = np.minimum(np.floor(co / r), total - 1).astype(np.uint16)
+        below = (mixed <= value[:, None]).view(np.uint64)  # eight answers of 0 or 1 an item
+        event = below[:, 0] + below[:, 1]
+        event += below[:, 2]
+        event += below[:, 3]
+        event *= BYTES
+        event >>= np.uint64(56)
+        event = event.view(np.int64)
+        event -= 1
+        i, mixed = model.cell[:m] + event, mixed.reshape(-1)
+        first[:m, 0], first[:m, 1] = two, one
+        x = first.reshape(-1).take(i)
+        bottom = mixed.take(i).astype(np.float64)
+        i += 1
+        top = mixed.take(i).astype(np.float64)
+        share = SHARE.take(event)
+        top -= bottom
+        top *= r
+        top *= share
+        np.floor(top, out=sp)
+        bottom *= r
+        co -= bottom
+        place = np.minimum(np.floor(co / sp), 1 / share - 1)
+        co -= place * sp
+        x += place.astype(np.uint16)
+        ranks[:m, t] = x
+        full = sp < BOT
+        shift = full * (WORD - 1)
+        shift += 1
+        sp *= shift
+        co *= shift
+        co += flat.take(at[:m], mode="clip") * full
+        at[:m] += full
         act = np.flatnonzero(sp < BOT)
-        while len(act):
-            k, s = at[act], sp[act] << 16
-            code[act] = (code[act] << 16) | flat[k]
-            at[act] = k + n
-            sp[act] = s
-            act = act[s < BOT]
-        model.rerank(x, rank, event)
+        if len(act):
+            code[act] = code[act] * WORD + flat.take(at[act], mode="clip")
+            at[act] += 1
+            sp[act] *= WORD
         model.learn(m, x, event)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
     for j, i in enumerate(order):
-        out[i] = ids[: size[j], j].copy()
+        out[i] = tables[i].take(ranks[j, : size[j]], mode="clip") if size[j] and len(tables[i]) else np.zeros(size[j], np.uint16)
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][2]:
             raise ValueError("a block's checksum does not match")
     return out

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,55 @@ def test_coder_learns_the_ids_of_a_block():
     assert np.array_equal(context_coder.decode_blocks(coded)[0], block)
 
 
+def test_batch_of_texts_matches_the_library(monkeypatch):
+    enc = tokens.Encoder(tokens.default_path())
+    odd = [None, "", " ", "\n", "a", " a", "a ", "a\n", "\na", "a \nb", "a\n b", "a\n\nb", "a  b", "a\tb c", "a\u00a0b \u00a0 c", "x\ud7ffy à.\nàb", "it's 12.5% <|endoftext|> b", "Ünï.\nÇa va?!\n1", "é" * 300]
+    r = np.random.default_rng(4)
+    many = [" ".join("".join(chr(97 + c) for c in r.integers(0, 26, 9)) for _ in range(500)) for _ in range(4)]
+    texts = odd + many + [t for _, t, *_ in rows()] + odd
+    calls = []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, x):
+            calls.append(x)
+            return self.model.tokenize(x)
+
+    monkeypatch.setattr(enc.many.pieces, "model", Model(enc.many.pieces.model))
+    enc.batch(pa.array(many, pa.string()), 2)
+    assert len(calls) < 100  # 2,000 new words
+    for _ in range(2):
+        got, sizes = enc.batch(pa.array(texts, pa.string()), 2)
+        assert [x.tolist() for x in np.split(got, np.cumsum(sizes)[:-1])] == [[*enc.whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    monkeypatch.setattr(tokens, "MOST", 100)  # words forgotten between batches
+    for k in range(0, len(texts), 7):
+        got, sizes = enc.batch(pa.array(texts[k : k + 7], pa.string()), 2)
+        assert got.tolist() == [i for t in texts[k : k + 7] for i in [*enc.whole.encode(t or "", add_special_tokens=False).ids, 2]]
+    assert [len(x) for x in enc.batch(pa.array([], pa.string()), 2)] == [0, 0]
+
+
+def test_coder_shares_a_table_and_beats_single_ids():
+    r = np.random.default_rng(9)
+    share = 1 / np.arange(1, 2001)
+    share /= share.sum()
+    names = r.permutation(50_000)[:2000]
+    row = names[r.choice(2000, 1 << 17, p=share)].astype(np.uint16)
+    row[1::2] = names[(row[0::2].astype(int) * 7) % 2000]  # every second id follows from the one before
+    blocks = [row[i : i + 4096] for i in range(0, len(row), 4096)]
+    tables = [context_coder.by_frequency(row)] * len(blocks)
+    coded = context_coder.encode_blocks(blocks, tables)
+    p = np.bincount(row)[np.unique(row)] / len(row)
+    assert 8 * (sum(map(len, coded)) + 2 * len(tables[0])) / len(row) < -(p * np.log2(p)).sum()
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, context_coder.decode_blocks(coded, tables)))
+    assert np.array_equal(context_coder.decode_blocks(coded[5:6], tables[5:6])[0], blocks[5])
+    with pytest.raises(ValueError):
+        context_coder.decode_blocks(coded[5:6], [tables[0][::-1]])
+    every = r.permutation(65535).astype(np.uint16)  # all ids once: all classes
+    assert np.array_equal(context_coder.decode_blocks(context_coder.encode_blocks([every]))[0], every)
+
+
 def ids(t, end):
     enc = tokens.encoder(tokens.default_path())
     return np.append(np.asarray(enc.whole.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(end)).astype("<u4")

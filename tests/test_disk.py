@@ -39,7 +39,7 @@ def shuffles(spark):
     return {str(blocks.apply(i)) for i in range(blocks.size()) if "shuffle" in str(blocks.apply(i))}
 
 
-@pytest.mark.parametrize("name", ["backmark_chain", "backmark_ccap"])
+@pytest.mark.parametrize("name", ["backmark_chain", "backmark_totals_and_pairs", "backmark_ccap"])
 def test_only_the_last_file_and_its_tables_stay(spark, shared, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
     assert sorted(shared()) == sorted(["header", "nets", "backmarked"])

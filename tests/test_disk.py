@@ -39,10 +39,10 @@ def shuffles(spark):
     return {str(blocks.apply(i)) for i in range(blocks.size()) if "shuffle" in str(blocks.apply(i))}
 
 
-@pytest.mark.parametrize("name", ["backmark_chain", "backmark_totals_and_pairs", "backmark_ccap"])
+@pytest.mark.parametrize("name", ["backmark_chain", "backmark_totals_and_pairs", "backmark_ccap", "shuffle_invariance"])
 def test_only_the_last_file_and_its_tables_stay(spark, shared, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
-    assert sorted(shared()) == sorted(["header", "nets", "backmarked"])
+    assert sorted(shared()) == sorted(["header", "nets", "shuffled" if name == "shuffle_invariance" else "backmarked"])
 
 
 @pytest.mark.parametrize("name", ["spef_roundtrip_pins"])
@@ -78,6 +78,18 @@ def test_passing_keeps_the_last_for_the_outer_one(spark, shared):
     assert sorted(shared()) == []
 
 
+def test_shuffle_with_id_0_goes_without_a_join(spark, tmp_path):
+    text = "*NAME_MAP\n" + "".join(f"*{i} n{i}\n" for i in range(5)) + "".join(f"*D_NET *{i} 1.5\n*CONN\n*I *{i}:x O\n*CAP\n1 *{i}:x *{(i + 1) % 5}:y 2\n2 *{i}:x *00:y 2\n*END\n" for i in range(5))
+    (tmp_path / "a.spef").write_text(text)
+    blocks, in_order = rewrite.shuffle_blocks(spark, str(tmp_path / "a.spef"), 3)
+    assert in_order
+    new = "".join(r["new"] for r in blocks.orderBy("pos").collect())
+    old_ids, new_ids = re.findall(r"\*([0-9]+)", text), re.findall(r"\*([0-9]+)", new)
+    to = dict(zip(old_ids, new_ids))
+    assert new_ids == [to[x] for x in old_ids] and to.pop("00") == "00"
+    assert sorted(to) == sorted(to.values()) == list("01234") and all(k != v for k, v in to.items())
+
+
 def test_names_meet_packs_of_blocks(spark, tmp_path, monkeypatch):
     names = "".join(f"*{i} net{i}/x[{i}]\n" for i in range(40)) + "*a other\n"
     nets = "".join(f"*D_NET *{i} {i}.5\n*CONN\n*I *{i}:d O\n*I *{i}:s I\n*CAP\n1 *{i}:s *{(i * 7) % 40}:s 2\n*RES\n1 *{i}:d *{i}:s 3\n*END\n" for i in range(40))

@@ -39,13 +39,13 @@ def shuffles(spark):
     return {str(blocks.apply(i)) for i in range(blocks.size()) if "shuffle" in str(blocks.apply(i))}
 
 
-@pytest.mark.parametrize("name", ["backmark_chain", "backmark_totals_and_pairs", "backmark_ccap", "shuffle_invariance"])
+@pytest.mark.parametrize("name", ["backmark_chain", "backmark_totals_and_pairs", "backmark_ccap", "backmark_res", "backmark_cap", "shuffle_invariance"])
 def test_only_the_last_file_and_its_tables_stay(spark, shared, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
     assert sorted(shared()) == sorted(["header", "nets", "shuffled" if name == "shuffle_invariance" else "backmarked"])
 
 
-@pytest.mark.parametrize("name", ["spef_roundtrip_pins"])
+@pytest.mark.parametrize("name", ["spef_roundtrip_pins", "repeated_nets"])
 def test_files_are_packed_and_their_lines_not_kept(spark, shared, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
     assert sorted(shared()) == ["header", "nets", "spef"]

@@ -342,7 +342,7 @@ def damaged_blocks(s, d):
     lines = D.spef_lines(lib)
     broken = F.when((F.col("k1") >= 0) & (F.col("k1") % 5 == 0), F.regexp_replace("value", r"^(\*D_NET \S+)[^\n]*", "$1")).otherwise(F.col("value"))
     path = scratch(s, "spef")
-    D.write_lines_of(lines.withColumn("value", broken), path)
+    D.write_lines_of(lines.withColumn("value", broken), path, packed=True)
     libraries, report = read_each(s, [path, path + "-missing"])
     return report.select(F.when(F.col("error").isNull(), F.lit("read")).otherwise(F.lit("failed")).alias("state"), F.coalesce("nets", F.lit(0)).alias("nets"), F.coalesce("damaged", F.lit(0)).alias("damaged"))
 

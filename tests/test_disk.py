@@ -45,7 +45,7 @@ def test_only_the_last_file_and_its_tables_stay(spark, shared, name):
     assert sorted(shared()) == sorted(["header", "nets", "shuffled" if name == "shuffle_invariance" else "backmarked"])
 
 
-@pytest.mark.parametrize("name", ["spef_roundtrip_pins", "repeated_nets"])
+@pytest.mark.parametrize("name", ["spef_roundtrip_pins", "repeated_nets", "damaged_blocks"])
 def test_files_are_packed_and_their_lines_not_kept(spark, shared, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
     assert sorted(shared()) == ["header", "nets", "spef"]
